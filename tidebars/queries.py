@@ -1,0 +1,4 @@
+"""Every operator of the library applied to the driver's tables, with the SQL it is held against."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
