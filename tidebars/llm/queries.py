@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import secrets, sql
+from tidebars import session
+from tidebars.llm import packing, secrets, sharding, sql, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return session.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents", "doc_id", "text"), 2048)
+
+
+def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.plan(_read(spark, sf_dir, "documents", "doc_id", "text"), 16)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op7_warc_reassembly": op7_warc_reassembly,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
 ORACLE_SQL = {
     "op1_secret_scan": sql.SECRET_SCAN,
+    "op7_warc_reassembly": sql.WARC_REASSEMBLY,
 }

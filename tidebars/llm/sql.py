@@ -28,3 +28,9 @@ SECRET_SCAN = (
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 )
+
+WARC_REASSEMBLY = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS keeper FROM p),
+r AS (SELECT *, n >= 1000 AND page_id IS DISTINCT FROM keeper AS again FROM k)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN again THEN keeper END AS refers_to FROM r"""
