@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidebars import session
-from tidebars.llm import packing, secrets, sharding, sql, warc
+from tidebars.llm import decontaminate, lines, ordinal, packing, quality, secrets, sharding, sql, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -16,6 +17,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeats(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("__key")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = (F.col("quality") >= 1) & (F.col("toxic") < 1)
+    return quality.apply(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), good)
+
+
 def op7_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -24,18 +38,29 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents", "doc_id", "text"), 2048)
 
 
+def op9_ordinal_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    model = ordinal.train(docs, _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), ordinal.ratings())
+    return ordinal.grade(docs, model).drop("text")
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.plan(_read(spark, sf_dir, "documents", "doc_id", "text"), 16)
 
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_warc_reassembly": op7_warc_reassembly,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_ordinal_classifier": op9_ordinal_classifier,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
 ORACLE_SQL = {
     "op1_secret_scan": sql.SECRET_SCAN,
+    "op5_line_dedup": sql.LINE_DEDUP,
     "op7_warc_reassembly": sql.WARC_REASSEMBLY,
 }

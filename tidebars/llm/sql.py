@@ -34,3 +34,10 @@ k AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS keeper FROM p),
 r AS (SELECT *, n >= 1000 AND page_id IS DISTINCT FROM keeper AS again FROM k)
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN again THEN keeper END AS refers_to FROM r"""
+
+LINE_DEDUP = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit FROM documents),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
+n AS (SELECT *, list_filter(string_split_regex(lower(line), '\\s+'), lambda w: w <> '') AS words FROM o),
+u AS (SELECT doc_id, unit, start, start + length(line) AS "end", len(words) AS n_words, array_to_string(words, ' ') AS norm FROM n WHERE len(words) >= 20),
+f AS (SELECT *, first_value(doc_id) OVER w AS keeper_doc_id, first_value(unit) OVER w AS keeper_unit FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit))
+SELECT doc_id, unit::INTEGER AS unit, start, "end", n_words::INTEGER AS n_words, keeper_doc_id, keeper_unit::INTEGER AS keeper_unit FROM f WHERE (doc_id, unit) <> (keeper_doc_id, keeper_unit)"""
