@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,13 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id", tex
     """
     chosen = labels.select(id_col, grade.alias("__grade")).where(F.col(id_col).isNotNull() & F.col("__grade").isNotNull())
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col, "__grade").limit(most)
-    rows = _feature_rows(docs.join(F.broadcast(chosen), id_col), text_col, "__grade", id_col).toPandas()
-    rows = rows.sort_values(["id", "grade"], kind="stable")
-    sizes = [len(x) for x in rows["features"]]
-    if not sizes:
+    rows = _feature_rows(docs.join(F.broadcast(chosen), id_col), text_col, "__grade", id_col).toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
+    if not rows.num_rows:
         return Model(np.zeros(BUCKETS), np.full(1, -10.0))
-    feature, value = (np.concatenate([np.asarray(x) for x in rows[c]]) for c in ("features", "shares"))
-    return fit(feature.astype(np.int64), value.astype(float), np.repeat(np.arange(len(sizes)), sizes), rows["grade"].to_numpy(np.int64))
+    sizes = pa.compute.list_value_length(rows["features"]).to_numpy()
+    feature, value = (rows[c].combine_chunks().flatten().to_numpy() for c in ("features", "shares"))
+    return fit(feature, value, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), rows["grade"].to_numpy().astype(np.int64))
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
