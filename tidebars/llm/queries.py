@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars import session
-from tidebars.llm import decontaminate, lines, minhash, ordinal, packing, quality, secrets, sharding, sql, warc
+from tidebars.llm import decontaminate, lines, minhash, ordinal, packing, quality, secrets, sharding, sql, warc, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("__key")
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
+    "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc_reassembly": op7_warc_reassembly,
@@ -66,6 +71,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_secret_scan": sql.SECRET_SCAN,
+    "op4_html_extraction": sql.HTML_EXTRACTION,
     "op5_line_dedup": sql.LINE_DEDUP,
     "op7_warc_reassembly": sql.WARC_REASSEMBLY,
 }

@@ -41,3 +41,10 @@ n AS (SELECT *, list_filter(string_split_regex(lower(line), '\\s+'), lambda w: w
 u AS (SELECT doc_id, unit, start, start + length(line) AS "end", len(words) AS n_words, array_to_string(words, ' ') AS norm FROM n WHERE len(words) >= 20),
 f AS (SELECT *, first_value(doc_id) OVER w AS keeper_doc_id, first_value(unit) OVER w AS keeper_unit FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit))
 SELECT doc_id, unit::INTEGER AS unit, start, "end", n_words::INTEGER AS n_words, keeper_doc_id, keeper_unit::INTEGER AS keeper_unit FROM f WHERE (doc_id, unit) <> (keeper_doc_id, keeper_unit)"""
+
+#: Holds for these tables' pages: one article a page, of headings and paragraphs, with two kinds of references in it.
+HTML_EXTRACTION = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^>]*$', '') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp$', '&amp;'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""
