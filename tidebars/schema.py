@@ -1,0 +1,33 @@
+"""The tables of the library, and checks of bars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TICKS = "symbol string, ts timestamp_ntz, price double, qty double, id long"
+TRADES = "symbol string, ts timestamp_ntz, price double, qty double, is_buyer_maker boolean, id long"
+BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+DEPTH = "symbol string, ts timestamp_ntz, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
+
+
+def require(df: DataFrame, *columns: str) -> DataFrame:
+    """df itself, or a ValueError that names the columns it lacks."""
+    lacking = sorted(set(columns) - set(df.columns))
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
+    return df
+
+
+def violations(bars: DataFrame) -> DataFrame:
+    """The rows that break a rule of bars, with the rule's name."""
+    o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
+    rules = {
+        "null_price": o.isNull() | h.isNull() | low.isNull() | c.isNull(),
+        "high_below_low": h < low,
+        "outside_range": (o > h) | (o < low) | (c > h) | (c < low),
+        "not_positive": F.least(o, h, low, c) <= 0,
+        "negative_volume": v < 0,
+    }
+    marked = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    return bars.select("*", F.explode(marked).alias("rule"))
