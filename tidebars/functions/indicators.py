@@ -446,7 +446,7 @@ def liquidity_zone(df, n: int = 20, k: float = 2.0):
 def pivots(df):
     """Traditional, Woodie and Camarilla levels of each bar."""
     p, r = typical(), F.col("high") - F.col("low")
-    out = {"pivot": p, "r1": 2 * p - F.col("low"), "s1": 2 * p - F.col("high"), "r2": p + r, "s2": p - r, "r3": F.col("high") + 2 * (p - F.col("low")), "s3": F.col("low") - 2 * (F.col("high") - p), "woodie": (F.col("high") + F.col("low") + 2 * F.col("close")) / 4}
+    out = {"pp": p, "r1": 2 * p - F.col("low"), "s1": 2 * p - F.col("high"), "r2": p + r, "s2": p - r, "r3": F.col("high") + 2 * (p - F.col("low")), "s3": F.col("low") - 2 * (F.col("high") - p), "woodie": (F.col("high") + F.col("low") + 2 * F.col("close")) / 4}
     for n, part in enumerate((12, 6, 4), 1):
         out |= {f"camarilla_r{n}": F.col("close") + r * 1.1 / part, f"camarilla_s{n}": F.col("close") - r * 1.1 / part}
     x = F.when(F.col("close") < F.col("open"), F.col("high") + 2 * F.col("low") + F.col("close")).when(F.col("close") > F.col("open"), 2 * F.col("high") + F.col("low") + F.col("close")).otherwise(F.col("high") + F.col("low") + 2 * F.col("close"))

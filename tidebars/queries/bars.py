@@ -1,3 +1,292 @@
-"""placeholder"""
+"""Resampling, joins in time, cleaning and runs on the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidebars.functions.frames import before, ordered
+from tidebars.operators import clean, joins, resample, runs
+from tidebars.queries.tables import TICKS_SQL, bars, bars_sql, carry, lag, read, round_sql, rounded, run, ticks, trades
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_OHLC = ("open", "high", "low", "close", "volume")
+_B = f"WITH {TICKS_SQL}, b AS ({bars_sql()})"
+_TRADES = """t AS (SELECT 'ALL' AS symbol, ts, value AS price, value AS quantity, CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE 0.0 END AS buy_volume,
+CASE WHEN event_type IN ('error', 'view') THEN value ELSE 0.0 END AS sell_volume, event_type IN ('error', 'view') AS maker, event_id AS id FROM events)"""
+
+
+@query(f"{_B} SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM b")
+def resample_ticks_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bars(spark, sf_dir, "1h"))
+
+
+@query(f"WITH {TICKS_SQL}, b AS ({bars_sql('15 minutes')}) SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM b")
+def resample_ticks_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bars(spark, sf_dir, "15m"))
+
+
+_BARS_OF_BARS = """SELECT symbol, {bin} AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume, sum(trades)::BIGINT AS trades FROM b GROUP BY 1, 2"""
+
+
+@query(f"WITH {TICKS_SQL}, b AS ({bars_sql('15 minutes')}), r AS ({_BARS_OF_BARS.format(bin='''time_bucket(INTERVAL '4 hours', ts)''')}) SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM r")
+def resample_bars_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.bars_to_bars(bars(spark, sf_dir, "15m"), "4h"))
+
+
+_UTC_3 = "(time_bucket(INTERVAL '1 day', ts - INTERVAL '3 hours') + INTERVAL '3 hours')"
+
+
+@query(f"{_B}, r AS ({_BARS_OF_BARS.format(bin=_UTC_3)}) SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM r")
+def resample_days_utc_minus_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that begin at 03:00 UTC."""
+    return rounded(resample.bars_to_bars(bars(spark, sf_dir), "1d", "3 hours"))
+
+
+@query(f"{_B}, r AS ({_BARS_OF_BARS.format(bin='''date_trunc('week', ts)''')}) SELECT symbol, ts::TIMESTAMP AS ts, {round_sql(*_OHLC)}, trades FROM r")
+def resample_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks that begin on Monday."""
+    return rounded(resample.bars_to_bars(bars(spark, sf_dir), "1w"))
+
+
+@query(f"""WITH o AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
+last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS close, count(*)::DOUBLE AS volume, count(*) AS trades FROM orders GROUP BY 1, 2) SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM o""")
+def resample_orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").cast("double").alias("price"), F.lit(1.0).alias("qty"), F.col("o_orderkey").alias("id"))
+    return rounded(resample.ticks_to_bars(orders, "1d"))
+
+
+@query(f"""WITH l AS (SELECT l_returnflag AS symbol, l_shipdate::TIMESTAMP AS t, l_extendedprice / l_quantity AS price, l_quantity::DOUBLE AS qty, l_orderkey, l_linenumber FROM lineitem),
+d AS (SELECT symbol, date_trunc('day', t)::TIMESTAMP AS ts, first(price ORDER BY t, l_orderkey, l_linenumber) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY t, l_orderkey, l_linenumber) AS close, sum(qty) AS volume, count(*) AS trades FROM l GROUP BY 1, 2)
+SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM d""")
+def resample_lineitem_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.col("l_quantity").cast("double").alias("qty"), F.struct("l_orderkey", "l_linenumber").alias("id")
+    )
+    return rounded(resample.ticks_to_bars(lines, "1d"))
+
+
+@query(f"""WITH {_TRADES}, b AS (SELECT symbol, time_bucket(INTERVAL '15 minutes', ts) AS ts, sum(buy_volume) AS buy_volume, sum(sell_volume) AS sell_volume, sum(quantity) AS quantity, avg(price) AS avg_price, count(*) AS trades FROM t GROUP BY 1, 2),
+r AS (SELECT *, buy_volume + sell_volume AS total_volume, buy_volume / CASE WHEN sell_volume = 0 THEN 1.0 ELSE sell_volume END AS buy_sell_ratio FROM b)
+SELECT symbol, ts, trades, {round_sql('buy_volume', 'sell_volume', 'quantity', 'avg_price', 'total_volume', 'buy_sell_ratio')} FROM r""")
+def flow_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.flow_bars(trades(spark, sf_dir), "15m"))
+
+
+@query(f"""WITH {_TRADES}, s AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS bin FROM t), p AS (SELECT *, abs(ln(price / lag(price) OVER (PARTITION BY symbol, bin ORDER BY ts, id))) AS step, CASE WHEN NOT maker THEN quantity ELSE 0.0 END AS taker FROM s),
+g AS (SELECT symbol, bin AS ts, count(*) AS trades, sum(quantity) AS volume, sum(price * quantity) AS a, sum(taker) AS tk, sum(price * taker) AS ta, max(step) AS max_tick_return FROM p GROUP BY 1, 2),
+r AS (SELECT symbol, ts, trades, volume, a / nullif(volume, 0) AS vwap, ta / nullif(tk, 0) AS vwap_taker, tk / nullif(volume, 0) AS taker_ratio, (2 * tk - volume) / nullif(volume, 0) AS imbalance, max_tick_return FROM g)
+SELECT symbol, ts, trades, {round_sql('volume', 'vwap', 'vwap_taker', 'taker_ratio', 'imbalance', 'max_tick_return')} FROM r""")
+def tick_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.tick_features(trades(spark, sf_dir).where("price > 0"), "1h"))
+
+
+@query(f"""{_B}, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 hour')) AS ts FROM b GROUP BY symbol), j AS (SELECT g.symbol, g.ts, open, high, low, close, volume, trades FROM g LEFT JOIN b USING (symbol, ts)),
+c AS (SELECT *, {carry('close')} AS k FROM j), r AS (SELECT symbol, ts, coalesce(open, k) AS open, coalesce(high, k) AS high, coalesce(low, k) AS low, k AS close, coalesce(volume, 0) AS volume, coalesce(trades, 0) AS trades FROM c)
+SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM r""")
+def fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.fill_gaps(bars(spark, sf_dir), "1h"))
+
+
+_BOOK = """d AS (SELECT event_type AS symbol, ts, event_id AS id, [{'price': value * (1 - 0.02 * i), 'qty': 1.0 + i} FOR i IN range(1, 6)] AS bids, [{'price': value * (1 + 0.03 * i), 'qty': 2.0 + i} FOR i IN range(1, 6)] AS asks FROM events WHERE value > 0)"""
+
+
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = F.sequence(F.lit(1), F.lit(5))
+    sides = {
+        "bids": F.transform(steps, lambda i: F.struct((F.col("value") * (1 - 0.02 * i)).alias("price"), (1.0 + i).alias("qty"))),
+        "asks": F.transform(steps, lambda i: F.struct((F.col("value") * (1 + 0.03 * i)).alias("price"), (2.0 + i).alias("qty"))),
+    }
+    return read(spark, sf_dir, "events").where("value > 0").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), *[e.alias(n) for n, e in sides.items()])
+
+
+def _band(side: str, test: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_filter({side}, lambda x: x.price {test}), lambda x: x.qty)), 0.0)"
+
+
+@query(f"""WITH {_BOOK}, m AS (SELECT *, bids[1].price AS best_bid, asks[1].price AS best_ask, (bids[1].price + asks[1].price) / 2 AS mid FROM d),
+r AS (SELECT symbol, ts, id, (best_ask - best_bid) / nullif(mid, 0) AS spread_pct, {_band('bids', '>= mid * (1 - 0.06)')} AS bid_6, {_band('asks', '<= mid * (1 + 0.06)')} AS ask_6 FROM m)
+SELECT id, symbol, ts, {round_sql('spread_pct', 'bid_6', 'ask_6')}, round(coalesce((bid_6 - ask_6) / nullif(bid_6 + ask_6, 0), 0) + 1.3e-9, 6) + 0.0 AS imbalance_6 FROM r""")
+def book_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.book_features(_book(spark, sf_dir), (6,))
+    return rounded(out.select("id", "symbol", "ts", "spread_pct", "bid_6", "ask_6", "imbalance_6"))
+
+
+@query(f"""WITH {TICKS_SQL}, r AS (SELECT symbol, time_bucket(INTERVAL '5 minutes', ts) AS ts, last(price ORDER BY ts, id) AS price, last(id ORDER BY ts, id) AS id FROM e GROUP BY 1, 2) SELECT symbol, ts, round(price + 1.3e-9, 6) + 0.0 AS price, id FROM r""")
+def last_in_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.last_in_bin(ticks(spark, sf_dir), "5m", "price", "id", tie="id"))
+
+
+_POINTS = "p AS (SELECT 'events' AS measurement, event_type AS symbol, 'value' AS field, ts, value FROM events)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.lit("events").alias("measurement"), F.col("event_type").alias("symbol"), F.lit("value").alias("field"), "ts", "value")
+
+
+@query(f"WITH {_POINTS}, r AS (SELECT measurement, symbol, field, time_bucket(INTERVAL '15 minutes', ts) AS ts, max(value) AS value FROM p GROUP BY 1, 2, 3, 4) SELECT measurement, symbol, field, ts, {round_sql('value')} FROM r")
+def flux_aggregate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.aggregate_window(_points(spark, sf_dir), "15m", "max"))
+
+
+@query(f"""WITH {TICKS_SQL}, b AS ({bars_sql()}) SELECT symbol, ts, {round_sql('close', 'volume')}, round(close * volume + 1.3e-9, 6) + 0.0 AS volume_usd FROM b WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'""")
+def flux_range_pivot_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written in long form, filtered by time, pivoted back, and a column mapped from two."""
+    points = resample.unpivot_fields(bars(spark, sf_dir), "ohlcv", ["close", "volume"])
+    some = points.where((F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")))
+    return rounded(resample.pivot_fields(some, ["close", "volume"]).withColumn("volume_usd", F.col("close") * F.col("volume")))
+
+
+@query("""WITH e AS (SELECT * FROM events) SELECT event_type AS symbol, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT user_id) AS users, arg_min(event_id, ts) AS first_id FROM e GROUP BY 1""")
+def flux_count_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("user_id").alias("users"), F.min_by("event_id", "ts").alias("first_id"))
+
+
+_REF = "f AS (SELECT ts, last(value ORDER BY event_id) AS reference FROM events WHERE event_type = 'error' AND event_id % 7 = 0 GROUP BY ts)"
+
+
+def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse series, known to every symbol."""
+    rows = read(spark, sf_dir, "events").where("event_type = 'error' and event_id % 7 = 0")
+    kinds = read(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
+    return rows.select("ts", F.col("value").alias("reference"), F.col("event_id").alias("id")).join(F.broadcast(kinds), how="cross")
+
+
+@query(f"{_B}, {_REF} SELECT b.symbol, b.ts, {round_sql('close')}, f.reference FROM b ASOF LEFT JOIN f ON b.ts >= f.ts")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = bars(spark, sf_dir).select("symbol", "ts", "close")
+    return rounded(joins.asof(left, _reference(spark, sf_dir), ["reference"], tie="id"), "close")
+
+
+@query(f"{_B}, {_REF} SELECT b.symbol, b.ts, CASE WHEN f.ts >= b.ts - INTERVAL '2 hours' THEN f.reference END AS reference FROM b ASOF LEFT JOIN f ON b.ts >= f.ts")
+def asof_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.asof(bars(spark, sf_dir).select("symbol", "ts"), _reference(spark, sf_dir), ["reference"], "2 hours", tie="id")
+
+
+@query(f"""WITH {TICKS_SQL}, a AS ({bars_sql('15 minutes')}), b AS ({bars_sql('4 hours')}), k AS (SELECT symbol, ts + INTERVAL '4 hours' AS ts, close AS close_4h FROM b)
+SELECT a.symbol, a.ts, round(a.close + 1.3e-9, 6) + 0.0 AS close, round(k.close_4h + 1.3e-9, 6) + 0.0 AS close_4h FROM a ASOF LEFT JOIN k ON a.symbol = k.symbol AND a.ts >= k.ts""")
+def merge_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = bars(spark, sf_dir, "15m").select("symbol", "ts", "close")
+    return rounded(joins.merge_timeframes(base, {"4h": bars(spark, sf_dir, "4h")}, ["close"]))
+
+
+_DAYS = f"z AS (SELECT symbol, ts AS start, ts + INTERVAL '36 hours' AS stop, high AS zone_high FROM ({bars_sql('1 day')}) WHERE day(ts) % 5 = 0)"
+
+
+@query(f"{_B}, {_DAYS} SELECT b.symbol, b.ts, z.start, {round_sql('zone_high')} FROM b JOIN z ON b.symbol = z.symbol AND b.ts >= z.start AND b.ts < z.stop")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of each zone, which may overlap."""
+    zones = bars(spark, sf_dir, "1d").where(F.dayofmonth("ts") % 5 == 0).select("symbol", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 36 hours")).alias("stop"), F.col("high").alias("zone_high"))
+    return rounded(joins.within(bars(spark, sf_dir).select("symbol", "ts"), zones).select("symbol", "ts", "start", "zone_high"))
+
+
+@query(f"""{_B}, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 hour')) AS ts FROM b GROUP BY symbol) SELECT g.symbol, g.ts FROM g ANTI JOIN b ON g.symbol = b.symbol AND g.ts = b.ts""")
+def missing_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = bars(spark, sf_dir).select("symbol", "ts")
+    ends = have.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return joins.missing(ends.select("symbol", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("ts")), have, ["symbol", "ts"])
+
+
+@query(f"""{_B}, a AS (SELECT symbol, ts, close FROM b WHERE hour(ts) < 20), c AS (SELECT symbol, ts, close + 1 AS close FROM b WHERE hour(ts) > 3)
+SELECT symbol, ts, round(a.close + 1.3e-9, 6) + 0.0 AS close_a, round(c.close + 1.3e-9, 6) + 0.0 AS close_b, round(a.close - c.close + 1.3e-9, 6) + 0.0 AS close_diff FROM a FULL JOIN c USING (symbol, ts)""")
+def source_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = bars(spark, sf_dir).select("symbol", "ts", "close")
+    a, b = every.where(F.hour("ts") < 20), every.where(F.hour("ts") > 3).withColumn("close", F.col("close") + 1)
+    return rounded(joins.difference(a, b, ["symbol", "ts"], ["close"]))
+
+
+@query("SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def dedupe_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.dedupe(read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_id", "ts", "value")
+
+
+@query(f"""{_B}, n AS (SELECT symbol, ts, CASE WHEN hour(ts) % 3 = 0 THEN close END AS x FROM b), f AS (SELECT *, {carry('x')} AS k, first_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM n)
+SELECT symbol, ts, round(coalesce(k, g) + 1.3e-9, 6) + 0.0 AS x FROM f""")
+def fill_forward_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holes = bars(spark, sf_dir).select("symbol", "ts", F.when(F.hour("ts") % 3 == 0, F.col("close")).alias("x"))
+    return rounded(clean.fill_both(holes, "x"))
+
+
+@query("""SELECT event_id, ts AS t1, ts AS t2, ts AS t3, NULL::TIMESTAMP AS t4 FROM events""")
+def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO, milliseconds, quoted microseconds, and garbage."""
+    e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    texts = {"t1": F.col("at").cast("string"), "t2": F.unix_micros("at").cast("string"), "t3": F.concat(F.lit('"'), F.unix_micros("at").cast("string"), F.lit('"')), "t4": F.lit("n/a")}
+    return e.select("event_id", *[clean.parse_time(x).cast("timestamp_ntz").alias(n) for n, x in texts.items()])
+
+
+@query(f"""{_B} SELECT symbol, ts, hour(ts) < 8 AS asian, hour(ts) >= 8 AND hour(ts) < 16 AS london, hour(ts) >= 13 AND hour(ts) < 21 AS new_york, hour(ts) >= 9 AND hour(ts) < 17 AS open, ts - INTERVAL '3 hours' AS local FROM b""")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir).select("symbol", "ts")
+    return b.withColumns(clean.sessions(F.col("ts")) | {"open": clean.in_hours(F.col("ts"), 9, 17), "local": clean.shift_zone(F.col("ts"), -3)})
+
+
+@query(f"""{_B}, x AS (SELECT symbol, ts, open, high, low, close FROM b), w AS (SELECT *, (0.5 * coalesce(open, 0) + 0.3 * coalesce(high, 0) + 0.2 * coalesce(low, 0)) / 1.0 AS wobi, least(60.0, greatest(40.0, close)) AS clipped FROM x) SELECT symbol, ts, {round_sql('wobi', 'clipped')} FROM w""")
+def weighted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    return rounded(b.select("symbol", "ts", clean.weighted_mean({"open": 0.5, "high": 0.3, "low": 0.2, "absent": 1.0}, b.columns).alias("wobi"), clean.clip(F.col("close"), 40.0, 60.0).alias("clipped")))
+
+
+# --- runs
+
+_LABEL = f"l AS (SELECT symbol, ts, close, CASE WHEN close > {lag('close')} THEN 1 WHEN close < {lag('close')} THEN -1 ELSE 0 END AS label FROM b)"
+_RUNS = f"f AS (SELECT *, CASE WHEN {lag('label')} IS NOT DISTINCT FROM label AND {run('count', '*')} > 1 THEN 0 ELSE 1 END AS f FROM l), r AS (SELECT *, {run('sum', 'f')} AS run FROM f)"
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = F.col("close") - before("close")
+    return bars(spark, sf_dir).select("symbol", "ts", "close", F.when(step > 0, 1).when(step < 0, -1).otherwise(0).alias("label"))
+
+
+@query(f"{_B}, {_LABEL}, {_RUNS} SELECT symbol, run::BIGINT AS run, first(label ORDER BY ts) AS label, min(ts) AS start, max(ts) AS stop, count(*) AS length FROM r GROUP BY symbol, run")
+def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs(_labels(spark, sf_dir), "label")
+
+
+@query(f"""{_B}, {_LABEL}, {_RUNS}, g AS (SELECT symbol, run, min(label) AS label, count(*) AS n FROM r GROUP BY 1, 2),
+k AS (SELECT symbol, run, CASE WHEN n >= 2 THEN label ELSE coalesce(lead(label) OVER (PARTITION BY symbol ORDER BY run), lag(label) OVER (PARTITION BY symbol ORDER BY run), label) END AS persistent FROM g) SELECT symbol, ts, r.label, persistent FROM r JOIN k USING (symbol, run)""")
+def persistence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.persist(_labels(spark, sf_dir), "label", 2).select("symbol", "ts", "label", "persistent")
+
+
+@query(f"""{_B}, h AS (SELECT symbol, ts, CASE WHEN close >= 60 THEN 1 WHEN close <= 40 THEN 0 END AS e FROM b) SELECT symbol, ts, coalesce({carry('e')}, 0) AS state FROM h""")
+def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir).select("symbol", "ts", runs.hysteresis(F.col("close"), 60.0, 40.0).alias("state"))
+
+
+@query(f"""{_B}, s AS (SELECT symbol, ts, CASE WHEN close > 55 THEN 1 WHEN close < 45 THEN -1 END AS n FROM b), p AS (SELECT *, last_value(n IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM s)
+SELECT symbol, ts, CASE WHEN n IS NOT NULL AND n IS DISTINCT FROM w THEN n ELSE 0 END AS signal FROM p""")
+def alternating_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir).select("symbol", "ts", runs.alternating(F.col("close") > 55, F.col("close") < 45).alias("signal"))
+
+
+@query(f"""{_B}, c AS (SELECT symbol, ts, close > open AS held FROM b), f AS (SELECT *, CASE WHEN {lag('held')} IS NOT DISTINCT FROM held AND {run('count', '*')} > 1 THEN 0 ELSE 1 END AS f FROM c), r AS (SELECT *, {run('sum', 'f')} AS run FROM f)
+SELECT symbol, ts, CASE WHEN held THEN row_number() OVER (PARTITION BY symbol, run ORDER BY ts) ELSE 0 END::INTEGER AS streak FROM r""")
+def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.streak(bars(spark, sf_dir), F.col("close") > F.col("open"), "streak").select("symbol", "ts", "streak")
+
+
+@query(f"""{_B}, a AS (SELECT symbol, ts, close, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM b),
+x AS (SELECT *, {lag('close')} AS pc, {lag('m')} AS pm FROM a) SELECT symbol, ts, CASE WHEN close > m AND pc <= pm THEN 1 WHEN close < m AND pc >= pm THEN -1 ELSE 0 END AS crossing FROM x""")
+def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir).withColumn("m", F.avg("close").over(ordered().rowsBetween(-9, 0)))
+    return b.select("symbol", "ts", runs.crosses("close", "m").alias("crossing"))
+
+
+@query(f"""{_B}, {_LABEL}, p AS (SELECT {lag('label')} AS was, label AS now FROM l), c AS (SELECT was, now, count(*) AS count FROM p WHERE was IS NOT NULL GROUP BY 1, 2)
+SELECT was, now, count, round(count / sum(count) OVER (PARTITION BY was) + 1.3e-9, 6) AS of_was, round(count / sum(count) OVER () + 1.3e-9, 6) AS of_all FROM c""")
+def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(runs.transitions(_labels(spark, sf_dir), "label"))
