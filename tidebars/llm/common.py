@@ -37,11 +37,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+#: Rows of a small table that one task writes.
+TASK_ROWS = 16384
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors.
+
+    rows: about how many there are, if known; few rows are then written by few tasks.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if rows is not None and (tasks := 1 + rows // TASK_ROWS) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(tasks)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:

@@ -13,10 +13,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _with_least(edges: DataFrame, name: str) -> DataFrame:
+def _with_least(edges: DataFrame, name: str, rows: int) -> DataFrame:
     """edges with m, the least v of each u. The minima are written first, so that both sides of the join
     are shuffled anew and adaptive execution can split the edges of a hot u."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), name, rows)
     return edges.join(least, "u")
 
 
@@ -32,11 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, "large").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = materialize(large, "large")
-        stars = _with_least(large, "small")
+        large = _with_least(both, "large", 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = materialize(large, "large", mark[0])
+        stars = _with_least(large, "small", mark[0])
         small = stars.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "edges")
+        after = materialize(small, "edges", mark[0])
         new = _mark(after)
         drop_table(large)
         drop_table(now)

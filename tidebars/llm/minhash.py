@@ -8,9 +8,10 @@ a band are chosen so that a pair at the threshold is missed in all bands with a
 
 Documents with equal sets are one node. In each bucket every node is first held against the least one;
 then, in buckets whose nodes aren't yet in one component, each node outside the largest component there
-is held against those of all other components, in parts whose number of pairs stays linear. So no pair
-of candidates that could join two components is left out, and none is made within a component. Every
-link is confirmed on the full sets.
+is held against those of all other components, in parts whose number of comparisons stays linear. The
+lowest bits of two signatures must differ in few enough places before a pair is made (a pair at the
+threshold fails that with a chance below 1e-7). So no pair of candidates that could join two components
+is left out, and none is made within a component. Every link is confirmed on the full sets.
 
 Defined results: without words (null, empty, blank) n_shingles is 0 and the document is linked with
 nothing; rows with the same id are one document whose links are those of all its rows; a null id is
@@ -36,7 +37,9 @@ BANDS = 48
 MISS = 1e-6
 SLOTS = 1 << 20
 SEED = 20240229
-#: Pairs made in one part of the second pass, for each member of a bucket.
+#: Deviations that the differing bits of two signatures may lie above what a pair at the threshold has on average.
+BIT_DEVIATIONS = 5.5
+#: Comparisons made in one part of the second pass, for each member of a bucket.
 PAIRS_PER_MEMBER = 8
 
 
@@ -91,8 +94,19 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE_WORDS) -> list[np
     return out
 
 
+def most_bits(percent: int, bits: int) -> int:
+    """So many of the signatures' lowest bits may differ: half of the coordinates that aren't equal do on average."""
+    share = (100 - percent) / 200
+    return int(bits * share + BIT_DEVIATIONS * (bits * share * (1 - share)) ** 0.5) + 1
+
+
+def _lowest_bits(signature: np.ndarray) -> np.ndarray:
+    bits = np.packbits((signature & 1).astype(np.uint8))
+    return np.pad(bits, (0, -len(bits) % 8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """(id, n_shingles, digest, bands) of each row; digest is null without words."""
+    """(id, n_shingles, digest, bands, bits) of each row; digest is null without words."""
     id_type = docs.schema[id_col].dataType.simpleString()
     coordinates = bands * rows_per_band(percent, bands)
 
@@ -104,18 +118,20 @@ def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
             for a, b in in_blocks(texts):
                 sets = shingle_sets(texts[a:b])
                 full = [i for i, s in enumerate(sets) if len(s)]
-                hashed = dict(zip(full, band_hashes(np.array([sign(sets[i]) for i in full]), bands) if full else []))
+                signed = np.array([sign(sets[i]) for i in full]).reshape(len(full), coordinates)
+                hashed, low = dict(zip(full, band_hashes(signed, bands))), {i: _lowest_bits(x) for i, x in zip(full, signed)}
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([hashed.get(i) for i in range(b - a)], pa.list_(pa.int64())),
+                        pa.array([low.get(i) for i in range(b - a)], pa.list_(pa.int64())),
                     ],
-                    ["id", "n_shingles", "digest", "bands"],
+                    ["id", "n_shingles", "digest", "bands", "bits"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_shingles long, digest binary, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,29 +158,33 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("t")).where(100 * F.col("n") >= percent * (F.col("t") - F.col("n"))).select("a", "b")
 
 
-def _second_pass(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _second_pass(members: DataFrame, nodes: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, coordinates: int) -> DataFrame | None:
     """Links that join components across buckets' nodes not yet held against each other; None if there are no such pairs."""
-    known = members.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = materialize(known.where("size > 2"), "known")
+    known = members.where("size > 2").join(linked, "id", "left").join(nodes.select("id", "bits"), "id")
+    known = materialize(known.withColumn("component", F.coalesce("component", "id")), "known", members.count())
+    rows = known.count()
+    if not rows:
+        return None
     each = known.groupBy("key", "component").agg(F.count("*").alias("n"))
     each = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("parts"))
-    live = materialize(each.where("parts > 1").select("key", "major", ((F.col("size") - F.col("most")) * F.col("size")).alias("work"), "size"), "live")
+    live = materialize(each.where("parts > 1").select("key", "major", ((F.col("size") - F.col("most")) * F.col("size")).alias("work"), "size"), "live", rows)
     work, size = live.agg(F.sum("work"), F.sum("size")).first()
     if not work:
         return None
     parts = max(1, -(-int(work) // (PAIRS_PER_MEMBER * int(size))))
     minor = known.join(live.select("key", "major"), "key").where("component <> major").select(
-        "key", "major", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na")
+        "key", "major", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("x")
     )
-    minor = materialize(minor, "minor")
-    others = known.select("key", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
+    minor = materialize(minor, "minor", rows)
+    others = known.select("key", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y"))
+    differ = sum(F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(-(-coordinates // 64)))
     found = None
     for part in range(parts):
         own = minor.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
         apart = (F.col("ca") != F.col("cb")) & (F.least("a", "b") != F.col("hub")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
         close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = own.join(others, "key").where(apart & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(confirm(pairs, sets, percent), "links")
+        pairs = own.join(others, "key").where(apart & close & (differ <= most_bits(percent, coordinates))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = materialize(confirm(pairs, sets, percent), "links", PAIRS_PER_MEMBER * rows)
         found = more if found is None else found.unionByName(more)
     return found
 
@@ -173,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """Per row: id, n_shingles, component_id (the least id reachable by links of at least percent similarity), kept."""
     signed = materialize(signatures(docs, percent, id_col, text_col, bands), "signatures")
     usable = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    nodes = usable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("first"), F.count("*").alias("copies"))
+    nodes = usable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands", "bits")).alias("first"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("digest", "copies", "first.*"), "nodes")
     banded = nodes.select("id", "n_shingles", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
@@ -182,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     first = members.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands")).select("a", "b")
     links = materialize(confirm(first, sets, percent), "links")
     linked = components(links)
-    more = _second_pass(members, linked, sets, percent)
+    more = _second_pass(members, nodes, linked, sets, percent, bands * rows_per_band(percent, bands))
     if more is not None:
         linked = components(links.unionByName(more))
     classes = nodes.select("digest", "copies", "id").join(linked, "id", "left").where("copies > 1 or component is not null")
