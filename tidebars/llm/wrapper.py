@@ -16,6 +16,7 @@ and a tag that the page's end cuts short is dropped.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import lookup, materialize
+from tidebars.llm.common import in_blocks, lookup, materialize
 
 #: A host has a template if it has so many different pages; a node is template if so large a share has its text.
 LEAST_PAGES = 4
@@ -259,12 +260,14 @@ def _skeletons(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Page(t or "").skeleton() for t in batch.column(2).to_pylist()]
-            prints = [int(pd.util.hash_array(s.ravel().view(np.uint64)).view(np.int64).sum()) if len(s) else 0 for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int32()), pa.array(prints, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["__key", "host", "nodes", "print", "skeleton"],
-            )
+            texts = batch.column(2).to_pylist()
+            for a, b in in_blocks(texts):
+                found = [Page(t or "").skeleton() for t in texts[a:b]]
+                prints = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in found], pa.int32()), pa.array(prints, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    ["__key", "host", "nodes", "print", "skeleton"],
+                )
 
     return pages.select("__key", host.alias("host"), text_col).mapInArrow(run, "__key long, host string, nodes int, print long, skeleton binary")
 
@@ -288,11 +291,12 @@ def _alignments(pages: DataFrame) -> DataFrame:
 def template_nodes(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
     """(__key, template): the template nodes of each page that has any. pages: with __key."""
     every = materialize(_skeletons(pages, url_col, text_col), "skeletons")
-    different = every.groupBy("host", "print").agg(F.min("nodes").alias("nodes"))
-    hosts = different.groupBy("host").agg(F.count("*").alias("pages"), F.min(F.struct("nodes", "print")).alias("least")).where(F.col("pages") >= LEAST_PAGES)
-    hosts = materialize(hosts.select("host", "pages", F.col("least.print").alias("print")), "hosts")
-    once = every.groupBy("host", "print").agg(F.min("skeleton").alias("skeleton"))
-    once = materialize(once.join(hosts.select("host"), "host", "left_semi"), "pages")
+    different = every.groupBy("host", "print").agg(F.min("nodes").alias("nodes"), F.min("__key").alias("__key"))
+    by_size = F.shiftleft(F.col("nodes").cast("long"), 32) + F.pmod(F.col("print"), F.lit(1 << 32))
+    hosts = different.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("print", by_size).alias("print")).where(F.col("pages") >= LEAST_PAGES)
+    hosts = materialize(hosts, "hosts")
+    once = every.dropDuplicates(["__key"]).join(different.join(hosts.select("host"), "host").select("__key"), "__key", "left_semi")
+    once = materialize(once.select("host", "print", "skeleton"), "pages")
     references = materialize(hosts.join(once, ["host", "print"]).select("host", "pages", F.col("skeleton").alias("reference")), "references")
     aligned = materialize(_alignments(lookup(once, references, "host", "pages")), "aligned")
     counts = aligned.select("host", F.explode("reference").alias("node")).groupBy("host", "node").count()
@@ -312,7 +316,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(t or "").text(frozenset(x or ())) for t, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
+            sources, templates = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b in in_blocks(sources):
+                texts = [Page(t or "").text(frozenset(x or ())) for t, x in zip(sources[a:b], templates[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     return joined.select(id_col, url_col, text_col, "template").mapInArrow(run, f"{kinds}, text string, n_chars long")
