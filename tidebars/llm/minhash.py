@@ -6,9 +6,10 @@ scatters the shingles over the slots, the second, shifted circularly by k, gives
 value over the slots. Coordinates are banded, and documents equal in a band are candidates. The rows of
 a band are chosen so that a pair at the threshold is missed in all bands with a chance of 1e-6 at most.
 
-Documents with equal sets are one node. In each bucket every node is first held against the least one;
-then, in buckets whose nodes aren't yet in one component, each node outside the largest component there
-is held against those of all other components, in parts whose number of comparisons stays linear. The
+Documents with equal sets are one node. Every node is first held against the least one that it shares a
+bucket with; then, in buckets whose nodes aren't yet in one component, against the least one of each
+bucket; then, where they still aren't, each node outside the largest component of its bucket is held
+against those of all other components, in parts whose number of comparisons stays linear. The
 lowest bits of two signatures must differ in few enough places before a pair is made (a pair at the
 threshold fails that with a chance below 1e-7). So no pair of candidates that could join two components
 is left out, and none is made within a component. Every link is confirmed on the full sets.
@@ -158,6 +159,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("t")).where(100 * F.col("n") >= percent * (F.col("t") - F.col("n"))).select("a", "b")
 
 
+def _hub_pass(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a bucket's least node and one of another component."""
+    known = members.join(linked, "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
+    known = materialize(known, "known")
+    own = known.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("at"), F.min("component").alias("low"), F.max("component").alias("high"))
+    live = own.where("low <> high").select("key", "at")
+    return known.join(live, (known["key"] == live["key"]) & (F.col("component") != F.col("at"))).groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands")).select("a", "b")
+
+
 def _second_pass(members: DataFrame, nodes: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, coordinates: int) -> DataFrame | None:
     """Links that join components across buckets' nodes not yet held against each other; None if there are no such pairs."""
     known = members.where("size > 2").join(linked, "id", "left").join(nodes.select("id", "bits"), "id")
@@ -199,8 +209,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(hubs, "key"), "members")
     sets = materialize(_sets(docs, members.select("id").distinct(), id_col, text_col), "sets")
-    first = members.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands")).select("a", "b")
-    links = materialize(confirm(first, sets, percent), "links")
+    first = members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
+    linked = components(materialize(confirm(first, sets, percent), "links"))
+    links = linked.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    links = links.unionByName(materialize(confirm(materialize(_hub_pass(members, linked), "pairs"), sets, percent), "links"))
     linked = components(links)
     more = _second_pass(members, nodes, linked, sets, percent, bands * rows_per_band(percent, bands))
     if more is not None:
