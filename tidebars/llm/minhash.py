@@ -10,8 +10,8 @@ Documents with equal sets are one node. Every node is first held against the lea
 bucket with; then, in buckets whose nodes aren't yet in one component, against the least one of each
 bucket; then, where they still aren't, each node outside the largest component of its bucket is held
 against those of all other components, in parts whose number of comparisons stays linear. The
-lowest bits of two signatures must differ in few enough places before a pair is made (a pair at the
-threshold fails that with a chance below 1e-7). So no pair of candidates that could join two components
+lowest bits of two signatures must differ in few enough coordinates before a pair is made (a pair at the
+threshold fails that with a chance of 1e-6). So no pair of candidates that could join two components
 is left out, and none is made within a component. Every link is confirmed on the full sets.
 
 Defined results: without words (null, empty, blank) n_shingles is 0 and the document is linked with
@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import drop_table, hash_runs, hash_words, in_blocks, lookup, materialize, mix64, split_words
@@ -38,8 +39,11 @@ BANDS = 48
 MISS = 1e-6
 SLOTS = 1 << 20
 SEED = 20240229
-#: Deviations that the differing bits of two signatures may lie above what a pair at the threshold has on average.
-BIT_DEVIATIONS = 5.5
+#: Lowest bits of each coordinate that are compared before a pair is made.
+PLANES = 2
+#: Deviations that the differing coordinates of two signatures may lie above what a pair at the threshold has on
+#: average; a pair at the threshold lies above them with a chance of MISS.
+BIT_DEVIATIONS = 4.75
 #: Comparisons made in one part of the second pass, for each member of a bucket.
 PAIRS_PER_MEMBER = 8
 
@@ -95,15 +99,23 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE_WORDS) -> list[np
     return out
 
 
-def most_bits(percent: int, bits: int) -> int:
-    """So many of the signatures' lowest bits may differ: half of the coordinates that aren't equal do on average."""
-    share = (100 - percent) / 200
-    return int(bits * share + BIT_DEVIATIONS * (bits * share * (1 - share)) ** 0.5) + 1
+def most_differing(percent: int, coordinates: int) -> int:
+    """In so many coordinates the lowest bits may differ: those of unequal ones are equal with a chance of 2 ** -PLANES."""
+    share = (100 - percent) / 100 * (1 - 2**-PLANES)
+    return int(coordinates * share + BIT_DEVIATIONS * (coordinates * share * (1 - share)) ** 0.5) + 1
 
 
 def _lowest_bits(signature: np.ndarray) -> np.ndarray:
-    bits = np.packbits((signature & 1).astype(np.uint8))
-    return np.pad(bits, (0, -len(bits) % 8)).view(np.int64)
+    """The lowest bits of all coordinates in 64-bit words, then the next ones."""
+    planes = [np.packbits((signature >> k & 1).astype(np.uint8)) for k in range(PLANES)]
+    return np.concatenate([np.pad(bits, (0, -len(bits) % 8)).view(np.int64) for bits in planes])
+
+
+def _differing(coordinates: int) -> Column:
+    """The number of coordinates whose lowest bits differ in x and y."""
+    words = -(-coordinates // 64)
+    apart = lambda k: F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))
+    return sum(F.bit_count(reduce(Column.bitwiseOR, [apart(p * words + k) for p in range(PLANES)])) for k in range(words))
 
 
 def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
@@ -187,13 +199,13 @@ def _second_pass(members: DataFrame, nodes: DataFrame, linked: DataFrame, sets:
     )
     minor = materialize(minor, "minor", rows)
     others = known.select("key", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y"))
-    differ = sum(F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(-(-coordinates // 64)))
+    differ = _differing(coordinates)
     found = None
     for part in range(parts):
         own = minor.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
         apart = (F.col("ca") != F.col("cb")) & (F.least("a", "b") != F.col("hub")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
         close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = own.join(others, "key").where(apart & close & (differ <= most_bits(percent, coordinates))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = own.join(others, "key").where(apart & close & (differ <= most_differing(percent, coordinates))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = materialize(confirm(pairs, sets, percent), "links", PAIRS_PER_MEMBER * rows)
         found = more if found is None else found.unionByName(more)
     return found
