@@ -331,7 +331,9 @@ def test_fillings_are_as_few_as_can_be():
         most = 10 if best == 2 else 100
         sequence, _ = packing.fill(lengths, most)
         used = len(set(sequence.tolist()))
-        assert used == best if best is not None else used <= -(-lengths.sum() // most) * 1.003 + 1
+        over, half = (2 * lengths > most).sum(), (2 * lengths == most).sum()  # no two of these share a sequence; two of those fill one
+        least = max(-(-lengths.sum() // most), over + -(-half // 2))
+        assert used == best if best is not None else used <= least * 1.003 + 1
 
 
 def test_sequences_hold_the_ids(spark):
