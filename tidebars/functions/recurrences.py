@@ -236,9 +236,14 @@ def range_filter(b, n: int = 50, k: float = 3.0):
 
 @fold("mcginley")
 def mcginley(b, n: int = 14):
+    """Steps towards the close that shrink with the fourth power of their ratio, and never go past the close."""
     x, out = b["close"].to_numpy(), np.empty(len(b))
     for i in range(len(b)):
-        out[i] = x[i] if i == 0 or not out[i - 1] else out[i - 1] + (x[i] - out[i - 1]) / (n * (x[i] / out[i - 1]) ** 4) if x[i] else out[i - 1]
+        last = out[i - 1] if i else 0.0
+        if not last or not x[i]:
+            out[i] = x[i] or last
+        else:
+            out[i] = last + (x[i] - last) / max(1.0, n * (x[i] / last) ** 4)
     return {"mcginley": out}
 
 

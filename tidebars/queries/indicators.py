@@ -159,7 +159,7 @@ _fold(
 _fold("tsi", [{"d": _STEP}, {"d1": ema_adjusted("d", 2 / 26), "a1": ema_adjusted("abs(d)", 2 / 26)}, {"d2": ema_adjusted("d1", 2 / 14), "a2": ema_adjusted("a1", 2 / 14)}, {"tsi": "100 * d2 / nullif(a2, 0)"}, {"tsi_signal": ema_adjusted("tsi", 0.25)}], "tsi")
 _fold("power", [{"mid": ema_adjusted("close", 2 / 14)}, {"bull_power": "high - mid", "bear_power": "low - mid"}], "power")
 _fold("heikin_ashi", [{"ha_close_rec": "(open + high + low + close) / 4"}, {"seed": f"coalesce({lag('ha_close_rec')}, (open + close) / 2)"}, {"ha_open_rec": ema("seed", 0.5)}], "heikin_ashi")
-_fold("mcginley", [{"mcginley": "list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: CASE WHEN a = 0 THEN x WHEN x = 0 THEN a ELSE a + (x - a) / (14 * (x / a) ** 4) END)"}], "mcginley")
+_fold("mcginley", [{"mcginley": "list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: CASE WHEN a = 0 THEN x WHEN x = 0 THEN a ELSE a + (x - a) / greatest(1.0, 14 * (x / a) ** 4) END)"}], "mcginley")
 for _name in ("schaff", "supertrend", "parabolic_sar", "half_trend", "range_filter", "chandelier_exit", "qqe", "zigzag"):
     _fold(_name, None, _name)
 

@@ -1,3 +1,129 @@
-"""placeholder"""
+"""Zones, regimes, segments and backtests on hourly bars of the driver's events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidebars.functions import indicators as ind
+from tidebars.plans import backtest, regimes, signals
+from tidebars.queries.tables import TICKS_SQL, bars, bars_sql, lag, roll, round_sql, rounded, run
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+_B = f"WITH {TICKS_SQL}, b AS ({bars_sql()})"
+_ZONED = f"""{_B}, c AS (SELECT *, {lag('close')} AS c1, {lag('close', 2)} AS c2, {lag('close', 3)} AS c3, {roll('max', 'high', 10, 2)} AS hh, {roll('min', 'low', 10, 2)} AS ll FROM b),
+z AS (SELECT *, CASE WHEN c1 > c2 AND c2 > c3 THEN 1 WHEN c1 < c2 AND c2 < c3 THEN -1 ELSE 0 END AS zone, CASE WHEN c1 > hh THEN 2 WHEN c1 < ll THEN -2 ELSE 0 END AS secondary FROM c)"""
+_HELD = f"""{_B}, s AS (SELECT *, CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END AS signal FROM b), h AS (SELECT *, coalesce({lag('signal')}, 0) * coalesce(close / nullif({lag('close')}, 0) - 1, 0.0) AS strategy_return FROM s),
+g AS (SELECT *, exp(sum(ln(1 + greatest(strategy_return, -0.999999))) OVER (PARTITION BY symbol ORDER BY ts)) AS growth FROM h), d AS (SELECT *, growth / {run('max', 'growth')} - 1 AS drawdown FROM g)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regimes.price_action_zones(bars(spark, sf_dir)).withColumnRenamed("primary", "zone")
+
+
+def _signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir).withColumn("signal", F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), -1).otherwise(0))
+
+
+@query(f"{_ZONED} SELECT symbol, ts, zone, secondary FROM z")
+def price_action_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zoned(spark, sf_dir).select("symbol", "ts", "zone", "secondary")
+
+
+@query(f"""{_B}, a AS (SELECT *, {roll('avg', 'close', 20)} AS a, high - low AS h FROM b), m AS (SELECT *, {roll('avg', 'a', 20)} AS mid, {roll('avg', 'h', 100, least=20)} AS r FROM a), s AS (SELECT *, mid - {lag('mid')} AS slope FROM m)
+SELECT symbol, ts, CASE WHEN close > mid + 0.5 * r AND slope > 0 THEN 1 WHEN close < mid - 0.5 * r AND slope < 0 THEN -1 ELSE 0 END AS zone FROM s""")
+def band_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regimes.band_zones(bars(spark, sf_dir)).select("symbol", "ts", "zone")
+
+
+@query()
+def zone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regimes.zone_scores(bars(spark, sf_dir)).select("symbol", "ts", "activity", "score", "zone"))
+
+
+@query()
+def rule_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regimes.rule_regimes(bars(spark, sf_dir)).select("symbol", "ts", "regime")
+
+
+@query(f"""{_ZONED}, f AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS n FROM z), g AS (SELECT zone, count(*) AS bars, avg(n) AS mean_return, stddev_samp(n) AS std_return, sum(n) AS sum_return FROM f GROUP BY 1),
+q AS (SELECT *, bars / sum(bars) OVER () AS share FROM g) SELECT zone, bars, {round_sql('mean_return', 'std_return', 'sum_return', 'share')} FROM q""")
+def zone_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regimes.economic_value(_zoned(spark, sf_dir), "zone"))
+
+
+@query(f"""{_ZONED}, m AS (SELECT symbol, CASE WHEN {lag('zone')} = zone THEN 0 ELSE 1 END AS moved FROM z), g AS (SELECT symbol, sum(moved)::BIGINT AS changes, count(*) AS bars FROM m GROUP BY 1), q AS (SELECT *, 1 - changes / bars AS stability FROM g)
+SELECT symbol, changes, bars, {round_sql('stability')} FROM q""")
+def zone_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regimes.stability(_zoned(spark, sf_dir), "zone"))
+
+
+@query(f"""{_ZONED}, m AS (SELECT symbol, ts, zone, CASE WHEN {lag('zone')} = zone THEN 0 ELSE 1 END AS moved FROM z), r AS (SELECT symbol, zone, {run('sum', 'moved')} AS run FROM m), n AS (SELECT symbol, zone, run, count(*) AS n FROM r GROUP BY ALL),
+g AS (SELECT zone, count(*) AS runs, avg(n) AS mean_length, max(n) AS longest FROM n GROUP BY 1) SELECT zone, runs, longest, {round_sql('mean_length')} FROM g""")
+def zone_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regimes.durations(_zoned(spark, sf_dir), "zone"))
+
+
+@query(f"{_B}, f AS (SELECT symbol, ts, " + ", ".join(f"lead(close, {h}) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS forward_{h}" for h in (1, 3, 5, 10)) + f" FROM b) SELECT symbol, ts, {round_sql(*[f'forward_{h}' for h in (1, 3, 5, 10)])} FROM f")
+def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regimes.forward_returns(bars(spark, sf_dir)).select("symbol", "ts", *[f"forward_{h}" for h in (1, 3, 5, 10)]))
+
+
+@query(f"""{_ZONED}, l AS (SELECT zone, 'close' AS indicator, close AS value FROM z UNION ALL SELECT zone, 'volume', volume FROM z), g AS (SELECT zone, indicator, min(value) AS min, max(value) AS max, quantile_cont(value, 0.5) AS median, avg(value) AS mean, stddev_samp(value) AS std,
+quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, count(value) AS count FROM l GROUP BY 1, 2) SELECT zone, indicator, count, {round_sql('min', 'max', 'median', 'mean', 'std', 'p25', 'p75')} FROM g""")
+def zone_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regimes.fingerprints(_zoned(spark, sf_dir), "zone", ["close", "volume"]))
+
+
+@query()
+def match_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zoned = _zoned(spark, sf_dir)
+    return regimes.match_fingerprints(zoned, regimes.fingerprints(zoned, "zone", ["close", "volume"]), "zone", ["close", "volume"])
+
+
+@query()
+def segment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regimes.segment_matrix(regimes.segments(bars(spark, sf_dir))))
+
+
+@query(f"{_HELD}, q AS (SELECT *, {run('sum', 'signal')}::BIGINT AS position FROM s), w AS (SELECT symbol, ts, position, 10000 + position * close AS equity FROM q) SELECT symbol, ts, position, {round_sql('equity')} FROM w")
+def backtest_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(backtest.cumulative(_signalled(spark, sf_dir)).select("symbol", "ts", "position", "equity"))
+
+
+@query(f"""{_HELD}, g2 AS (SELECT symbol, arg_max(growth, ts) - 1 AS total_return, avg(strategy_return) AS m, stddev_samp(strategy_return) AS sd, stddev_samp(strategy_return) FILTER (strategy_return < 0) AS dn, min(drawdown) AS max_drawdown, count(*) AS bars FROM d GROUP BY 1),
+q AS (SELECT symbol, bars, total_return, max_drawdown, m / nullif(sd, 0) * sqrt(8760) AS sharpe, m / nullif(dn, 0) * sqrt(8760) AS sortino, total_return / nullif(-max_drawdown, 0) AS calmar FROM g2) SELECT symbol, bars, {round_sql('total_return', 'max_drawdown', 'sharpe', 'sortino', 'calmar')} FROM q""")
+def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(backtest.summary(backtest.held(_signalled(spark, sf_dir), "signal")))
+
+
+@query()
+def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.trades(_signalled(spark, sf_dir))
+
+
+@query()
+def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.grid(_signalled(spark, sf_dir), [backtest.Rules(stop=s, target=t) for s in (0.01, 0.02, 0.05) for t in (0.02, 0.04, 0.1)])
+
+
+@query()
+def trade_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.patterns(backtest.trades(_signalled(spark, sf_dir)))
+
+
+@query()
+def signal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voted = signals.votes(ind.apply(bars(spark, sf_dir), "rsi_sma", "bollinger", "sma"))
+    return rounded(voted.select("symbol", "ts", "vote_rsi", "vote_band", "vote_trend", signals.score({"vote_rsi": 1.0, "vote_band": 1.0, "vote_trend": 2.0}).alias("score")))

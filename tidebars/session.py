@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,3 +32,9 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _shipped.add(app)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that spark.checkpoint.dir names; in an own temporary one where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidebars-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
