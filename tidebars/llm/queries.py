@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars import session
-from tidebars.llm import decontaminate, lines, minhash, ordinal, packing, quality, secrets, sharding, sql, warc, wrapper
+from tidebars.llm import decontaminate, lines, minhash, ordinal, packing, passages, quality, secrets, sharding, sql, warc, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("__key")
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("__key")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = (F.col("quality") >= 1) & (F.col("toxic") < 1)
     return quality.apply(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), good)
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
+    "op5_passage_dedup": op5_passage_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc_reassembly": op7_warc_reassembly,
     "op8_best_fit_packing": op8_best_fit_packing,
