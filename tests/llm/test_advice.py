@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidebars.llm import passages
+from tidebars.llm import passages, quality
 
 # --- 5
 
@@ -40,3 +40,12 @@ def test_passages_across_line_breaks(spark):
     clean = {x["doc_id"]: x["text"] for x in passages.remove(table).collect() if x["doc_id"] is not None}
     assert all(clean[i].split() == [w for k, w in enumerate((t or "").split()) if k not in want[i]] for i, t in rows if t) and clean[7] is None
     assert passages.remove(table).count() == len(rows) + 2 and passages.repeats(table.where("false")).count() == 0
+
+
+# --- 6
+
+
+def test_all_trusted_documents_count(spark):
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    counts = quality.count(docs, quality.trusted_ids(docs, F.lit(True))).toPandas()
+    assert counts["trusted"].sum() == counts["corpus"].sum() == 21_000

@@ -1,7 +1,7 @@
 """Quality rules: counts of plain defects, and a log-likelihood ratio of hashed n-grams.
 
-Two multinomials over hashed byte n-grams are counted: one over trusted documents (a bounded sample of
-the labelled ones), one over the whole corpus. A document's score is the mean over its n-grams of the
+Two multinomials over hashed byte n-grams are counted: one over all trusted documents (those labelled so),
+one over the whole corpus. A document's score is the mean over its n-grams of the
 logarithm of the two smoothed probabilities' ratio, so that length doesn't matter, and every document is
 held against the same threshold.
 
@@ -27,8 +27,6 @@ BUCKETS = 1 << 15
 GRAM_BYTES = 4
 #: Added to every bucket's count in both multinomials.
 SMOOTHING = 1.0
-#: Trusted documents, at most: those labelled so with the least hashes of their ids.
-TRUSTED_DOCS = 20_000
 #: A document is kept if the mean ratio of its n-grams is at least so much.
 LEAST_RATIO = -0.25
 #: Base rules: fewest words, and the largest share of words in repeated windows, in percent.
@@ -56,11 +54,12 @@ def _grams(raw: bytes) -> np.ndarray:
 
 
 def count(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, trusted, corpus): n-gram counts of the trusted documents and of all. trusted: ids, bounded by the caller.
+    """(bucket, trusted, corpus): n-gram counts of the trusted documents and of all. trusted: different ids, of any number.
 
-    Each task adds up its own documents, so at most BUCKETS rows of each are shuffled.
+    Ids and texts are shuffled to be joined; each task then adds up its own documents, so at most BUCKETS rows of each
+    are shuffled again.
     """
-    marked = docs.select(id_col, text_col).join(F.broadcast(trusted.select(id_col, F.lit(True).alias("__trusted"))), id_col, "left")
+    marked = docs.select(id_col, text_col).join(trusted.select(id_col, F.lit(True).alias("__trusted")), id_col, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
@@ -131,10 +130,9 @@ def judge(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def trusted_ids(labels: DataFrame, good, id_col: str = "doc_id", most: int = TRUSTED_DOCS) -> DataFrame:
-    """The ids of at most `most` labelled documents for which the column `good` holds."""
-    chosen = labels.where(good & F.col(id_col).isNotNull()).select(id_col).distinct()
-    return chosen.orderBy(F.xxhash64(id_col), id_col).limit(most)
+def trusted_ids(labels: DataFrame, good, id_col: str = "doc_id") -> DataFrame:
+    """The ids of all labelled documents for which the column `good` holds."""
+    return labels.where(good & F.col(id_col).isNotNull()).select(id_col).distinct()
 
 
 def apply(docs: DataFrame, labels: DataFrame, good, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
