@@ -3,7 +3,39 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidebars.llm import passages, quality
+from tidebars.llm import decontaminate, passages, quality
+
+# --- 3
+
+
+def brute_short_leaks(rows, items, least=0.8):
+    """Documents of fewer words than the item, each held against it as a whole."""
+    index = decontaminate.Index.build(items)
+    out = {}
+    for d, text in rows:
+        own = decontaminate.split_words(text)
+        for n, item in enumerate(index.ids):
+            width = min(5, index.sizes[n])
+            if width <= len(own) < index.sizes[n]:
+                grams = decontaminate.hash_runs(decontaminate.hash_words(own), width)
+                same = decontaminate.similarity(grams, index.weights(grams, width), index.shingles[n], index.weights(index.shingles[n], width))
+                if same >= least:
+                    out[d, item] = len(own), round(same, 9)
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    r = np.random.default_rng(8)
+    items = [(k, " ".join(f"v{x}" for x in r.integers(0, 300, 50))) for k in range(6)] + [(9, None)]
+    rows = [(10 * k + cut, " ".join(items[k][1].split()[: 50 - cut] if k % 2 else items[k][1].split()[cut:])) for k in range(6) for cut in range(1, 10)] + [(99, "v1 v2"), (100, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_short_leaks(rows, items)
+    found = decontaminate.find(table, benchmark).collect()
+    assert {(x["doc_id"], x["item_id"]): (x["n_words"], round(x["similarity"], 9)) for x in found} == want and (13, 1) in want
+    assert len(want) == 54 == len(found)
+    assert {x["doc_id"] for x in decontaminate.clean(table, benchmark).collect()} == {99, 100}
+
 
 # --- 5
 

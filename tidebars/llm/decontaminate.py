@@ -5,12 +5,14 @@ it, gets a 64-bit SimHash of its weighted shingles. Multi-index Hamming blocks h
 fingerprints: the 64 bits are cut into RADIUS + 1 blocks, so that two fingerprints within RADIUS are
 equal in one block at least, and looking up all blocks finds every item within the radius. The exact
 weighted Jaccard similarity of the shingles then verifies each candidate. A window without a shingle of
-an item has similarity 0, so leaving it out loses nothing.
+an item has similarity 0, so leaving it out loses nothing. A document of fewer words than an item is one
+window as a whole; it is held against each longer item whose shared weight admits the similarity, without
+fingerprints.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each held against all
 documents where they lie; documents are never shuffled.
 
-Defined results: null, empty and too short texts match nothing, and so do items without words; equal
+Defined results: null and empty texts match nothing, and so do items without words; equal
 items each match; repeated rows match each; an empty table on either side gives an empty result.
 """
 
@@ -59,6 +61,7 @@ class Index:
     sizes: list[int] = field(default_factory=list)
     shingles: list[np.ndarray] = field(default_factory=list)
     prints: list[int] = field(default_factory=list)
+    totals: list[float] = field(default_factory=list)  # the weight of all shingles
     known: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by shingle width: sorted shingles, weights
     owners: dict[tuple[int, int], list[int]] = field(default_factory=dict)  # by width and shingle: items
     blocks: dict[tuple[int, int, int], list[int]] = field(default_factory=dict)  # by size, block and bits: items
@@ -80,7 +83,9 @@ class Index:
             spread = np.array([len(index.owners[width, int(s)]) for s in keys])
             index.known[width] = keys, 1 + np.log((1 + len(words)) / (1 + spread))
         for n, own in enumerate(index.shingles):
-            print_ = int(fingerprints(own, index.weights(own, min(SHINGLE_WORDS, index.sizes[n])), np.zeros(1, np.int64), len(own))[0])
+            weights = index.weights(own, min(SHINGLE_WORDS, index.sizes[n]))
+            print_ = int(fingerprints(own, weights, np.zeros(1, np.int64), len(own))[0])
+            index.totals.append(float(weights.sum()))
             index.prints.append(print_)
             for block, bits in _blocks(print_):
                 index.blocks.setdefault((index.sizes[n], block, bits), []).append(n)
@@ -112,12 +117,26 @@ def _runs(words: np.ndarray, index: Index) -> dict[int, tuple[np.ndarray, np.nda
     return found
 
 
+def _longer(own: np.ndarray, weights: np.ndarray, places: list[int], words: int, width: int, index: Index, least: float) -> Iterator[tuple[int, float]]:
+    """(item, similarity) of each item of more words than the whole document, of which places are an item's shingles."""
+    owners = [index.owners[width, int(own[p])] for p in places]
+    items, at = np.unique(np.concatenate(owners), return_inverse=True)
+    shared = np.bincount(at, weights=np.repeat(weights[places], [len(x) for x in owners]))
+    total = float(weights.sum())
+    for n, most in zip(items.tolist(), shared.tolist()):
+        if index.sizes[n] > words and most >= (least - 1e-9) * (total + index.totals[n] - most):
+            same = similarity(own, weights, index.shingles[n], index.weights(index.shingles[n], width))
+            if same >= least:
+                yield n, same
+
+
 def matches(texts: list[str | None], index: Index, least: float = LEAST_SIMILARITY) -> list[tuple[int, int, int, int, float]]:
     """(text, item, first word, words, similarity) of the best window of each text and item."""
     split = [split_words(t) for t in texts]
     ends = np.cumsum([0, *map(len, split)])
     by_width = _runs(hash_words([w for own in split for w in own]), index)
     found: dict[tuple[int, int], tuple[float, int]] = {}
+    longest = max(index.sizes, default=0)
     for width, (runs, hit) in by_width.items():
         at = np.flatnonzero(hit)
         doc = np.searchsorted(ends, at, side="right") - 1
@@ -126,10 +145,13 @@ def matches(texts: list[str | None], index: Index, least: float = LEAST_SIMILARI
             first, last = int(ends[d]), int(ends[d + 1])
             own = runs[first : last - width + 1]
             starts: dict[int, set[int]] = {}
-            for p in (at[inside & (doc == d)] - first).tolist():
+            places = (at[inside & (doc == d)] - first).tolist()
+            for p in places:
                 for size in {index.sizes[n] for n in index.owners[width, int(own[p])]}:
                     starts.setdefault(size, set()).update(range(max(0, p - size + width), min(p, last - first - size) + 1))
             weights = index.weights(own, width)
+            if last - first < longest:
+                found.update({(d, n): (same, 0) for n, same in _longer(own, weights, places, last - first, width, index, least)})
             for size, where in starts.items():
                 where = np.array(sorted(where), np.int64)
                 if not len(where):
@@ -145,7 +167,7 @@ def matches(texts: list[str | None], index: Index, least: float = LEAST_SIMILARI
                         same = similarity(own[s : s + count], weights[s : s + count], item, index.weights(item, width))
                         if same >= least and (same, -s) > found.get((d, n), (0.0, 0)):
                             found[d, n] = same, -s
-    return [(d, n, -s, index.sizes[n], same) for (d, n), (same, s) in sorted(found.items())]
+    return [(d, n, -s, min(index.sizes[n], len(split[d])), same) for (d, n), (same, s) in sorted(found.items())]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SIMILARITY) -> DataFrame:
