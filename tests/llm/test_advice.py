@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidebars.llm import decontaminate, passages, quality
+from tidebars.llm import decontaminate, passages, quality, wrapper
 
 # --- 3
 
@@ -37,6 +37,17 @@ def test_documents_shorter_than_the_item(spark):
     assert {x["doc_id"] for x in decontaminate.clean(table, benchmark).collect()} == {99, 100}
 
 
+# --- 4
+
+
+def test_template_of_a_host_with_empty_and_cut_pages(spark):
+    page = "<html><body><div><p>Follow us everywhere</p><div><p>story {0} begins</p><p>and ends {0}</p></div><p>All rights</p></div></body></html>"
+    rows = [(k, f"http://h/{k}", page.format(k)) for k in range(12)] + [(12, "http://h/n", None)]
+    rows += [(100 + k, f"http://g/{k}", page.format(k)) for k in range(12)] + [(120, "http://g/c", page.format(20)[:50])]
+    found = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[a + k] == f"story {k} begins\nand ends {k}" for a in (0, 100) for k in range(12)) and found[12] == ""
+
+
 # --- 5
 
 

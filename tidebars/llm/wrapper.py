@@ -1,7 +1,7 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of a host are aligned with one reference page of it (the one with the fewest nodes) by simple tree
-matching: nodes of equal tag match, and a dynamic program over their children finds the largest ordered
+Pages of a host are aligned with one reference page of it (of the median node count, not empty or cut)
+by simple tree matching: nodes of equal tag match, and a dynamic program over their children finds the largest ordered
 mapping. A reference node whose text is the same in nearly all different pages of the host is template;
 the slots whose text varies are content. What is template, or is marked up as a menu, header, footer,
 sidebar, notice, advert, form or comment, is left out; the article's other blocks are the text.
@@ -254,8 +254,14 @@ def align(page: np.ndarray, reference: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def _cut(text: str) -> bool:
+    """Whether the page ends inside a tag, or html or body is opened and never closed."""
+    low = text.lower()
+    return low.rfind("<") > low.rfind(">") or any(f"<{t}" in low and f"</{t}" not in low for t in ("html", "body"))
+
+
 def _skeletons(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
-    """(__key, host, nodes, print, skeleton) of each page."""
+    """(__key, host, nodes, cut, print, skeleton) of each page."""
     host = F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +271,11 @@ def _skeletons(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
                 found = [Page(t or "").skeleton() for t in texts[a:b]]
                 prints = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in found], pa.int32()), pa.array(prints, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                    ["__key", "host", "nodes", "print", "skeleton"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in found], pa.int32()), pa.array([_cut(t or "") for t in texts[a:b]], pa.bool_()), pa.array(prints, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    ["__key", "host", "nodes", "cut", "print", "skeleton"],
                 )
 
-    return pages.select("__key", host.alias("host"), text_col).mapInArrow(run, "__key long, host string, nodes int, print long, skeleton binary")
+    return pages.select("__key", host.alias("host"), text_col).mapInArrow(run, "__key long, host string, nodes int, cut boolean, print long, skeleton binary")
 
 
 def _alignments(pages: DataFrame) -> DataFrame:
@@ -291,9 +297,14 @@ def _alignments(pages: DataFrame) -> DataFrame:
 def template_nodes(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
     """(__key, template): the template nodes of each page that has any. pages: with __key."""
     every = materialize(_skeletons(pages, url_col, text_col), "skeletons")
-    different = every.groupBy("host", "print").agg(F.min("nodes").alias("nodes"), F.min("__key").alias("__key"))
-    by_size = F.shiftleft(F.col("nodes").cast("long"), 32) + F.pmod(F.col("print"), F.lit(1 << 32))
-    hosts = different.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("print", by_size).alias("print")).where(F.col("pages") >= LEAST_PAGES)
+    different = materialize(every.groupBy("host", "print").agg(F.min("nodes").alias("nodes"), F.min("__key").alias("__key"), F.min("cut").alias("cut")), "different")
+    # the reference is a page of the median node count; empty and cut ones only where a host has no other
+    whole = (F.col("nodes") > 1) & ~F.col("cut")
+    middle = F.coalesce(F.percentile_approx(F.when(whole, F.col("nodes")), 0.5), F.percentile_approx("nodes", 0.5))
+    sizes = different.groupBy("host").agg(F.count("*").alias("pages"), middle.alias("middle")).where(F.col("pages") >= LEAST_PAGES)
+    sizes = materialize(sizes.withColumn("n", F.col("pages")), "sizes")
+    away = F.shiftleft(F.abs(F.col("nodes") - F.col("middle")).cast("long"), 32) + F.pmod(F.col("print"), F.lit(1 << 32)) + F.when(whole, 0).otherwise(1 << 62)
+    hosts = lookup(different, sizes, "host", "n").where("pages is not null").groupBy("host").agg(F.max("pages").alias("pages"), F.min_by("print", away).alias("print"))
     hosts = materialize(hosts, "hosts")
     once = every.dropDuplicates(["__key"]).join(different.join(hosts.select("host"), "host").select("__key"), "__key", "left_semi")
     once = materialize(once.select("host", "print", "skeleton"), "pages")
