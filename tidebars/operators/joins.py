@@ -7,28 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof(left: DataFrame, right: DataFrame, columns: list[str], tolerance: str | None = None, key: str = "symbol", ts: str = "ts", tie: str | None = None, block: str = "day") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, columns: list[str], tolerance: str | None = None, key: str | None = "symbol", ts: str = "ts", tie: str | None = None, block: str = "day") -> DataFrame:
     """left with the values of the last row of right at or before its time; null beyond the tolerance.
 
     Both sides are cut into calendar blocks, and each block of a key is led by the last right row before
-    it, so that no task sorts a key's whole history. Right rows of equal time are ordered by tie.
+    it, so that no task sorts a key's whole history. Right rows of equal time are ordered by tie. Without a
+    key, the right rows are known to all of left; one row for each block is then ordered as a whole.
     """
+    keys = [key] if key else []
     order = [ts] + ([tie] if tie else [])
     at = F.struct(*order)
     value = F.struct(F.col(ts).alias("__at"), *columns)
     right = right.where(F.col(ts).isNotNull()).withColumn("__block", F.date_trunc(block, ts))
-    lasts = right.groupBy(key, "__block").agg(F.max_by(value, at).alias("__value"))
+    lasts = right.groupBy(*keys, "__block").agg(F.max_by(value, at).alias("__value"))
     # the last value before each block that either side has
-    blocks = left.select(key, F.date_trunc(block, ts).alias("__block")).distinct()
-    known = blocks.join(lasts, [key, "__block"], "full")
-    earlier = F.last("__value", ignorenulls=True).over(Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    carried = known.select(key, "__block", earlier.alias("__carried"))
+    blocks = left.select(*keys, F.date_trunc(block, ts).alias("__block")).distinct()
+    known = blocks.join(lasts, [*keys, "__block"], "full")
+    earlier = F.last("__value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = known.select(*keys, "__block", earlier.alias("__carried"))
     rows = left.withColumn("__block", F.date_trunc(block, ts)).withColumn("__left", F.struct(*left.columns))
-    a = rows.select(key, "__block", F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie].dataType if tie else "int").alias("__tie"), "__left", F.lit(None).cast(lasts.schema["__value"].dataType).alias("__value"))
-    b = right.select(key, "__block", F.col(ts).alias("__ts"), F.lit(0).alias("__side"), (F.col(tie) if tie else F.lit(None).cast("int")).alias("__tie"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), value.alias("__value"))
-    so_far = Window.partitionBy(key, "__block").orderBy("__ts", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    a = rows.select(*keys, "__block", F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie].dataType if tie else "int").alias("__tie"), "__left", F.lit(None).cast(lasts.schema["__value"].dataType).alias("__value"))
+    b = right.select(*keys, "__block", F.col(ts).alias("__ts"), F.lit(0).alias("__side"), (F.col(tie) if tie else F.lit(None).cast("int")).alias("__tie"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), value.alias("__value"))
+    so_far = Window.partitionBy(*keys, "__block").orderBy("__ts", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     merged = a.unionByName(b).withColumn("__found", F.last("__value", ignorenulls=True).over(so_far)).where("__side = 1")
-    joined = merged.join(carried, [key, "__block"], "left").withColumn("__found", F.coalesce("__found", "__carried"))
+    joined = merged.join(carried, [*keys, "__block"], "left").withColumn("__found", F.coalesce("__found", "__carried"))
     fits: Column = F.col("__found").isNotNull()
     if tolerance:
         fits = fits & (F.col("__ts") <= F.col("__found.__at") + F.expr(f"interval {tolerance}"))

@@ -94,6 +94,35 @@ def tick_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample.tick_features(trades(spark, sf_dir).where("price > 0"), "1h"))
 
 
+_REF_WHOLE = "f AS (SELECT ts, last(value ORDER BY event_id) AS reference FROM events WHERE event_type = 'error' GROUP BY ts)"
+
+
+def _reference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of one type, without a key."""
+    return read(spark, sf_dir, "events").where("event_type = 'error'").select("ts", F.col("value").alias("reference"), F.col("event_id").alias("id"))
+
+
+@query(f"{_B}, {_REF_WHOLE} SELECT b.symbol, b.ts, {round_sql('close')}, f.reference FROM b ASOF LEFT JOIN f ON b.ts >= f.ts")
+def asof_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = bars(spark, sf_dir).select("symbol", "ts", "close")
+    return rounded(joins.asof(left, _reference_whole(spark, sf_dir), ["reference"], key=None, tie="id"), "close")
+
+
+@query(f"{_B}, {_REF_WHOLE} SELECT b.symbol, b.ts, CASE WHEN f.ts >= b.ts - INTERVAL '2 hours' THEN f.reference END AS reference FROM b ASOF LEFT JOIN f ON b.ts >= f.ts")
+def asof_join_tolerance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.asof(bars(spark, sf_dir).select("symbol", "ts"), _reference_whole(spark, sf_dir), ["reference"], "2 hours", key=None, tie="id")
+
+
+_DAYS_WHOLE = f"z AS (SELECT symbol, ts AS start, ts + INTERVAL '36 hours' AS stop, high AS zone_high FROM ({bars_sql('1 day')}))"
+
+
+@query(f"{_B}, {_DAYS_WHOLE} SELECT b.symbol, b.ts, z.start, {round_sql('zone_high')} FROM b JOIN z ON b.symbol = z.symbol AND b.ts >= z.start AND b.ts < z.stop")
+def interval_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of every day's zone; neighbouring zones overlap."""
+    zones = bars(spark, sf_dir, "1d").select("symbol", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 36 hours")).alias("stop"), F.col("high").alias("zone_high"))
+    return rounded(joins.within(bars(spark, sf_dir).select("symbol", "ts"), zones).select("symbol", "ts", "start", "zone_high"))
+
+
 @query(f"""{_B}, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 hour')) AS ts FROM b GROUP BY symbol), j AS (SELECT g.symbol, g.ts, open, high, low, close, volume, trades FROM g LEFT JOIN b USING (symbol, ts)),
 c AS (SELECT *, {carry('close')} AS k FROM j), r AS (SELECT symbol, ts, coalesce(open, k) AS open, coalesce(high, k) AS high, coalesce(low, k) AS low, k AS close, coalesce(volume, 0) AS volume, coalesce(trades, 0) AS trades FROM c)
 SELECT symbol, ts, {round_sql(*_OHLC)}, trades FROM r""")
