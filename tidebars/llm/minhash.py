@@ -8,11 +8,14 @@ a band are chosen so that a pair at the threshold is missed in all bands with a
 
 Documents with equal sets are one node. Every node is first held against the least one that it shares a
 bucket with; then, in buckets whose nodes aren't yet in one component, against the least one of each
-bucket; then, where they still aren't, each node outside the largest component of its bucket is held
-against those of all other components, in parts whose number of comparisons stays linear. The
-lowest bits of two signatures must differ in few enough coordinates before a pair is made (a pair at the
-threshold fails that with a chance of 1e-6). So no pair of candidates that could join two components
-is left out, and none is made within a component. Every link is confirmed on the full sets.
+bucket, and then against one that a hash picks for each bucket. Those passes are linear. Where components
+still meet in a bucket, each node outside the largest of them is held against those of all others. A pair
+is made there only in the first bucket that both share, and only if the lowest bits of two longer
+signatures (CHECK_COORDINATES) differ in few enough places; a pair at the threshold fails that with a
+chance of 1e-6. So no pair of candidates that could join two components is left out, and none is made
+within a component. Buckets with many comparisons are dealt over a grid of tasks. What stays quadratic in
+a bucket's size is the comparison of bits between nodes that no link joins. Every link is confirmed on
+the full sets.
 
 Defined results: without words (null, empty, blank) n_shingles is 0 and the document is linked with
 nothing; rows with the same id are one document whose links are those of all its rows; a null id is
@@ -23,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,13 @@ BANDS = 48
 MISS = 1e-6
 SLOTS = 1 << 20
 SEED = 20240229
-#: Lowest bits of each coordinate that are compared before a pair is made.
-PLANES = 2
-#: Deviations that the differing coordinates of two signatures may lie above what a pair at the threshold has on
-#: average; a pair at the threshold lies above them with a chance of MISS.
+#: Coordinates whose lowest bits are compared before a pair is made.
+CHECK_COORDINATES = 2048
+#: Deviations that the differing bits of two signatures may lie above what a pair at the threshold has on average; a
+#: pair at the threshold lies above them with a chance of MISS.
 BIT_DEVIATIONS = 4.75
-#: Comparisons made in one part of the second pass, for each member of a bucket.
-PAIRS_PER_MEMBER = 8
+#: Comparisons of bits that one task makes in a bucket.
+TASK_COMPARISONS = 4_000_000
 
 
 def rows_per_band(percent: int, bands: int = BANDS) -> int:
@@ -99,23 +101,21 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE_WORDS) -> list[np
     return out
 
 
-def most_differing(percent: int, coordinates: int) -> int:
-    """In so many coordinates the lowest bits may differ: those of unequal ones are equal with a chance of 2 ** -PLANES."""
-    share = (100 - percent) / 100 * (1 - 2**-PLANES)
+def most_differing(percent: int, coordinates: int = CHECK_COORDINATES) -> int:
+    """In so many coordinates the lowest bits may differ: those of unequal ones are equal with a chance of a half."""
+    share = (100 - percent) / 200
     return int(coordinates * share + BIT_DEVIATIONS * (coordinates * share * (1 - share)) ** 0.5) + 1
 
 
-def _lowest_bits(signature: np.ndarray) -> np.ndarray:
-    """The lowest bits of all coordinates in 64-bit words, then the next ones."""
-    planes = [np.packbits((signature >> k & 1).astype(np.uint8)) for k in range(PLANES)]
-    return np.concatenate([np.pad(bits, (0, -len(bits) % 8)).view(np.int64) for bits in planes])
+def _circulant(coordinates: int) -> Circulant:
+    if coordinates not in _circulants:
+        _circulants[coordinates] = Circulant(coordinates)
+    return _circulants[coordinates]
 
 
-def _differing(coordinates: int) -> Column:
-    """The number of coordinates whose lowest bits differ in x and y."""
-    words = -(-coordinates // 64)
-    apart = lambda k: F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))
-    return sum(F.bit_count(reduce(Column.bitwiseOR, [apart(p * words + k) for p in range(PLANES)])) for k in range(words))
+def _differing(words: int) -> Column:
+    """The number of bits in which the arrays x and y of so many longs differ."""
+    return sum(F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(words))
 
 
 def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
@@ -124,27 +124,39 @@ def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
     coordinates = bands * rows_per_band(percent, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = _circulants.setdefault(coordinates, None) or Circulant(coordinates)
-        _circulants[coordinates] = sign
+        sign = _circulant(coordinates)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in in_blocks(texts):
                 sets = shingle_sets(texts[a:b])
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signed = np.array([sign(sets[i]) for i in full]).reshape(len(full), coordinates)
-                hashed, low = dict(zip(full, band_hashes(signed, bands))), {i: _lowest_bits(x) for i, x in zip(full, signed)}
+                hashed = dict(zip(full, band_hashes(signed, bands)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([hashed.get(i) for i in range(b - a)], pa.list_(pa.int64())),
-                        pa.array([low.get(i) for i in range(b - a)], pa.list_(pa.int64())),
                     ],
-                    ["id", "n_shingles", "digest", "bands", "bits"],
+                    ["id", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_shingles long, digest binary, bands array<long>, bits array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_shingles long, digest binary, bands array<long>")
+
+
+def _check_bits(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, bits): the lowest bits of CHECK_COORDINATES coordinates, for those of ids."""
+    id_type = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = _circulant(CHECK_COORDINATES)
+        for batch in batches:
+            grams = batch.column(1)
+            bits = [np.packbits((sign(g.values.to_numpy().view(np.uint64)) & 1).astype(np.uint8)).view(np.int64) for g in grams]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["id", "bits"])
+
+    return sets.join(ids, "id", "left_semi").select("id", "grams").mapInArrow(run, f"id {id_type}, bits array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,62 +183,61 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("t")).where(100 * F.col("n") >= percent * (F.col("t") - F.col("n"))).select("a", "b")
 
 
-def _hub_pass(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a bucket's least node and one of another component."""
-    known = members.join(linked, "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
-    known = materialize(known, "known")
-    own = known.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("at"), F.min("component").alias("low"), F.max("component").alias("high"))
-    live = own.where("low <> high").select("key", "at")
-    return known.join(live, (known["key"] == live["key"]) & (F.col("component") != F.col("at"))).groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands")).select("a", "b")
+def _with_components(members: DataFrame, linked: DataFrame) -> DataFrame:
+    return materialize(members.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
 
 
-def _second_pass(members: DataFrame, nodes: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, coordinates: int) -> DataFrame | None:
-    """Links that join components across buckets' nodes not yet held against each other; None if there are no such pairs."""
-    known = members.where("size > 2").join(linked, "id", "left").join(nodes.select("id", "bits"), "id")
-    known = materialize(known.withColumn("component", F.coalesce("component", "id")), "known", members.count())
-    rows = known.count()
-    if not rows:
-        return None
+def _hub_pass(members: DataFrame, linked: DataFrame, order: Column) -> DataFrame:
+    """The pairs (a, b) of the first node by `order` of each bucket and one of another component."""
+    known = _with_components(members, linked)
+    own = known.groupBy("key").agg(F.min_by("id", order).alias("hub"), F.min_by("component", order).alias("at"), F.min("component").alias("low"), F.max("component").alias("high"))
+    live = own.where("low <> high").select("key", "hub", "at")
+    apart = known.drop("hub").join(live, "key").where(F.col("component") != F.col("at"))
+    return apart.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("buckets")).select("a", "b")
+
+
+def _second_pass(members: DataFrame, nodes: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links that join components across buckets' nodes not yet held against each other; None if no bucket has two components."""
+    known = _with_components(members.where("size > 2"), linked)
     each = known.groupBy("key", "component").agg(F.count("*").alias("n"))
     each = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("parts"))
-    live = materialize(each.where("parts > 1").select("key", "major", ((F.col("size") - F.col("most")) * F.col("size")).alias("work"), "size"), "live", rows)
-    work, size = live.agg(F.sum("work"), F.sum("size")).first()
-    if not work:
+    grid = F.ceil(F.sqrt((F.col("size") - F.col("most")) * F.col("size") / F.lit(TASK_COMPARISONS))).cast("int")
+    live = materialize(each.where("parts > 1").select("key", "major", grid.alias("grid")), "live")
+    if live.isEmpty():
         return None
-    parts = max(1, -(-int(work) // (PAIRS_PER_MEMBER * int(size))))
-    minor = known.join(live.select("key", "major"), "key").where("component <> major").select(
-        "key", "major", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("x")
-    )
-    minor = materialize(minor, "minor", rows)
-    others = known.select("key", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y"))
-    differ = _differing(coordinates)
-    found = None
-    for part in range(parts):
-        own = minor.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
-        apart = (F.col("ca") != F.col("cb")) & (F.least("a", "b") != F.col("hub")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-        close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = own.join(others, "key").where(apart & close & (differ <= most_differing(percent, coordinates))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(confirm(pairs, sets, percent), "links", PAIRS_PER_MEMBER * rows)
-        found = more if found is None else found.unionByName(more)
-    return found
+    known = materialize(known.join(live, "key"), "known")
+    bits = materialize(_check_bits(sets, known.select("id").distinct()), "bits")
+    known = known.join(nodes.select("id", "n_shingles", "bands"), "id").join(bits, "id")
+    own, all_ = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
+    minor = known.where("component <> major").select("key", "band", "major", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("x"), F.col("bands").alias("xb"), own.alias("i"), all_.alias("j"))
+    other = known.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y"), F.col("bands").alias("yb"), all_.alias("i"), own.alias("j"))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    close = _differing(CHECK_COORDINATES // 64) <= most_differing(percent)
+    before = F.arrays_overlap(F.slice("xb", F.lit(1), F.col("band")), F.slice("yb", F.lit(1), F.col("band")))
+    pairs = minor.join(other, ["key", "i", "j"]).where(apart & sized & close & ~before).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(confirm(pairs, sets, percent), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable by links of at least percent similarity), kept."""
     signed = materialize(signatures(docs, percent, id_col, text_col, bands), "signatures")
     usable = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    nodes = usable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands", "bits")).alias("first"), F.count("*").alias("copies"))
+    nodes = usable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("first"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("digest", "copies", "first.*"), "nodes")
-    banded = nodes.select("id", "n_shingles", F.explode("bands").alias("key"))
+    banded = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(hubs, "key"), "members")
     sets = materialize(_sets(docs, members.select("id").distinct(), id_col, text_col), "sets")
     first = members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
-    linked = components(materialize(confirm(first, sets, percent), "links"))
-    links = linked.select(F.col("component").alias("a"), F.col("id").alias("b"))
-    links = links.unionByName(materialize(confirm(materialize(_hub_pass(members, linked), "pairs"), sets, percent), "links"))
+    links = materialize(confirm(first, sets, percent), "links")
     linked = components(links)
-    more = _second_pass(members, nodes, linked, sets, percent, bands * rows_per_band(percent, bands))
+    for order in (F.col("id"), F.xxhash64("id", "key")):
+        pairs = materialize(_hub_pass(members, linked, order), "pairs")
+        more = materialize(confirm(pairs, sets, percent), "links")
+        links = linked.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
+        linked = components(links)
+    more = _second_pass(members, nodes, linked, sets, percent)
     if more is not None:
         linked = components(links.unionByName(more))
     classes = nodes.select("digest", "copies", "id").join(linked, "id", "left").where("copies > 1 or component is not null")
