@@ -9,7 +9,8 @@ what stands between letter runs, and buckets of the shares of capitals and of di
 
 Defined results: a null text counts as empty and is graded like any other; an empty table gives an empty
 one; without labelled rows, or with one grade alone, the score is 0 and every document is kept; repeated
-rows and extra columns pass through.
+rows and extra columns pass through; a column named like a result gives way to it in `grade`, and passes
+through `select` as it is.
 """
 
 from __future__ import annotations
@@ -193,21 +194,37 @@ def train(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id", tex
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
-    """docs with expected_grade, tail (probability of the highest grade) and kept."""
+    """docs with expected_grade, tail (probability of the highest grade) and kept, in place of columns so named."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.thresholds))
-    names = docs.columns
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", expected_grade double, tail double, kept boolean"
+    results = ["expected_grade", "tail", "kept"]
+    passed = [(c, kind) for c, kind in docs.dtypes if c.lower() not in results]
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in passed) + ", expected_grade double, tail double, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(names.index(text_col)).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in in_blocks(texts):
                 tails = shared.value.tails(shared.value.scores(texts[a:b]))
                 part = batch.slice(a, b - a)
                 found = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least_tail)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, "expected_grade", "tail", "kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], [*(c for c, _ in passed), *results])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*(c for c, _ in passed), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def select(docs: DataFrame, model: Model, text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
+    """The rows of docs that the model keeps, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.thresholds))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in in_blocks(texts):
+                tails = shared.value.tails(shared.value.scores(texts[a:b]))
+                yield batch.slice(a, b - a).filter(pa.array(tails[:, -1] >= least_tail))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def ratings(quality: str = "quality", toxic: str = "toxic"):
