@@ -3,7 +3,11 @@
 Quality classifier (documents that it rejects go), near-duplicates (one document of each group stays),
 benchmark decontamination (documents that hold a benchmark item go), secret scan (secrets are masked in
 the text), and packing into sequences. Each stage takes (spark, docs, sf_dir); all but the last return
-the columns of docs.
+the columns of docs, whatever their names.
+
+Defined results: a null or empty text is graded like any other, is a near-duplicate of nothing, holds no
+benchmark item or secret, and is packed as its end mark alone; a null id is no near-duplicate of anything;
+repeated rows share their fate in every stage but packing, which packs each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = ordinal.train(docs, _table(spark, sf_dir, "labels"), ordinal.ratings())
-    return ordinal.grade(docs, model).where("kept").select(docs.columns)
+    return ordinal.select(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
