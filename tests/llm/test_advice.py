@@ -37,6 +37,61 @@ def test_documents_shorter_than_the_item(spark):
     assert {x["doc_id"] for x in decontaminate.clean(table, benchmark).collect()} == {99, 100}
 
 
+def plain_leaks(rows, items, least=0.8):
+    """Every window of the item's size against every item, with words, Counters and logarithms alone."""
+    from collections import Counter
+    from math import log
+
+    split = lambda t: [w.encode().lower() for w in (t or "").split()]
+    grams = lambda ws: Counter(tuple(ws[k : k + min(5, len(ws))]) for k in range(max(1, len(ws) - 4)))
+    own = {i: split(t) for i, t in items if split(t)}
+    spread = Counter(g for ws in own.values() for g in set(grams(ws)))
+    weight = lambda g: 1 + log((1 + len(own)) / (1 + spread[g]))
+    out = set()
+    for d, text in rows:
+        ws = split(text)
+        for i, item in own.items():
+            want, size = grams(item), min(len(item), len(ws))
+            for s in range(len(ws) - size + 1) if size >= min(5, len(item)) else ():
+                got = grams(ws[s : s + size])
+                both, either = sum(weight(g) * n for g, n in (got & want).items()), sum(weight(g) * n for g, n in (got | want).items())
+                if both >= least * either:
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_against_plain_counters_in_parts_and_with_any_item_ids(spark):
+    r = np.random.default_rng(11)
+    items = [(k, " ".join(f"v{x}" for x in r.integers(0, 400, int(r.integers(6, 60))))) for k in range(30)]
+    items += [(40 + k, " ".join(items[0][1].split()[: 5 + k])) for k in range(3)]
+    rows = []
+    for k in range(90):
+        text, item = [f"v{x}" for x in r.integers(0, 400, int(r.integers(10, 150)))], items[k % 30][1].split()
+        for at in r.integers(0, len(item), k % 4):
+            item[at] = "changed"
+        text[len(text) // 3 : len(text) // 3] = item
+        rows.append((k, " ".join(text)))
+    table, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), plain_leaks(rows, items)
+    assert len(want) > 30
+    for kind in ("int", "string", "long"):
+        benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        for most in (7, 20_000):
+            found = decontaminate.find(table, benchmark, most_items=most)
+            assert found.schema["item_id"].dataType.simpleString() == benchmark.schema["item_id"].dataType.simpleString()
+            assert {(x["doc_id"], int(x["item_id"])) for x in found.collect()} == want
+        assert {x["doc_id"] for x in decontaminate.clean(table, benchmark, most_items=7).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_windows_at_the_threshold_lie_within_the_radius():
+    r = np.random.default_rng(12)
+    apart = []
+    for _ in range(300):
+        both, mine, yours = (r.integers(0, 2**63, n).astype(np.uint64) for n in (400, 50, 50))  # similarity 0.8
+        x, y = (decontaminate.fingerprints(np.concatenate([both, own]), np.ones(450), np.zeros(1, np.int64), 450)[0] for own in (mine, yours))
+        apart.append(int(np.bitwise_count(x ^ y).sum()))
+    assert max(apart) <= decontaminate.RADIUS and 35 < np.mean(apart) < 43
+
+
 # --- 4
 
 
