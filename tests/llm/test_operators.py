@@ -307,7 +307,6 @@ def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.default_tokenizer())
-    slow.encode_special_tokens = True
     found = packing.pack_documents(docs, 512).collect()
     places = defaultdict(list)
     for r in found:
@@ -336,6 +335,44 @@ def test_fillings_are_as_few_as_can_be():
         assert used == best if best is not None else used <= least * 1.003 + 1
 
 
+def fewest(lengths, most):
+    """By trying every place of every piece."""
+    best = [len(lengths)]
+
+    def go(left, sums):
+        if len(sums) < best[0]:
+            if not left:
+                best[0] = len(sums)
+            for k in range(len(sums) if left else 0):
+                if sums[k] + left[0] <= most:
+                    go(left[1:], [*sums[:k], sums[k] + left[0], *sums[k + 1 :]])
+            if left:
+                go(left[1:], [*sums, left[0]])
+
+    go(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+def test_search_against_all_packings():
+    r = np.random.default_rng(1)
+    for k in range(300):
+        most, n = int(r.integers(10, 60)), int(r.integers(1, 9))
+        lengths = r.integers(1, most + 1, n) if k % 2 else r.integers(max(1, most // 5), most * 2 // 3, n)
+        want = fewest(lengths.tolist(), most)
+        assert packing.least_sequences(lengths, most) <= want
+        for nodes in (None, packing.NODES):
+            sequence, offset = packing.fill(lengths, most, nodes)
+            assert len(set(sequence.tolist())) == want
+            for q in set(sequence.tolist()):
+                own = sorted(zip(offset[sequence == q].tolist(), lengths[sequence == q].tolist()))
+                assert own[0][0] == 0 and all(a + m == b for (a, m), (b, _) in zip(own, own[1:])) and sum(m for _, m in own) <= most
+
+
+def test_marks_that_a_text_spells_out_are_ids(spark):
+    found = packing.pack_documents(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), 512).collect()
+    assert [(r["length"], r["ids_crc32"]) for r in found] == [(5, zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()))]
+
+
 def test_sequences_hold_the_ids(spark):
     table = spark.createDataFrame([(k, f"text number {k} " * (k + 1)) for k in range(20)], "doc_id long, text string")
     got = sorted(i for r in packing.sequences(table, 64).collect() for i in r["ids"])
@@ -347,7 +384,6 @@ def test_fast_tokenizer_agrees():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.default_tokenizer())
-    slow.encode_special_tokens = True
     for text in [*(t for t in TEXTS if t), "<|endoftext|> x", "a  \n\n b c 日本語 ‍", " " * 3000, "x" * 5000, "'s 're 'LL"]:
         assert packing._encoder(packing.default_tokenizer())(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
