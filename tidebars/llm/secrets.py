@@ -110,9 +110,12 @@ def trigram_query(regex: str) -> Query:
 def postings(texts: DataFrame, rules=RULES) -> DataFrame:
     """The inverted index: a row (__gram, __key) for each trigram of the rules' queries and each text with it."""
     vocabulary = _vocabulary(rules)
-    folded = texts.select("__key", F.lower("__text").alias("__folded"))
-    has = [F.when(F.col("__folded").contains(g), F.lit(i)) for i, g in enumerate(vocabulary)]
-    lists = folded.select("__key", F.array_compact(F.array(*has)).alias("__grams"))
+
+    def grams(folded: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(folded.contains(g), F.lit(i)) for i, g in enumerate(vocabulary)]))
+
+    # the lambda's argument is lowered once; a plain column would be lowered again for each trigram
+    lists = texts.select("__key", F.flatten(F.transform(F.array(F.lower("__text")), grams)).alias("__grams"))
     return lists.select(F.explode("__grams").alias("__gram"), "__key")
 
 
