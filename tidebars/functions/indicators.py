@@ -512,3 +512,129 @@ def volume_profile(bars: DataFrame, bins: int = 20) -> DataFrame:
     place = F.least(F.lit(bins - 1), F.floor(F.coalesce(safe((F.col("close") - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))))
     out = bars.join(ends, "symbol").withColumn("bin", place.cast("int")).groupBy("symbol", "bin").agg(F.sum("volume").alias("volume"), F.max("all").alias("all"))
     return out.select("symbol", "bin", "volume", safe(F.col("volume"), F.col("all")).alias("share"))
+
+
+# --- scores of zone classifiers, and indicators that are told apart by their formula only
+
+
+def outside(x: Column | str, n: int) -> Column:
+    """1 where x is over the mean and deviation of its last n, -1 where it is under mean less deviation, else 0."""
+    m, s = mean(x, n), deviation(x, n)
+    value = F.col(x) if isinstance(x, str) else x
+    return F.when(value > m + s, 1).when(value < m - s, -1).otherwise(0)
+
+
+@indicator("trend")
+def adx_mixed(df, n: int = 14):
+    """Directional movement with plain means, where a fall counts by its size; the first true range is null."""
+    tr = F.when(before("close").isNotNull(), true_range())
+    df = df.withColumns({"__u": change("high"), "__d": change("low"), "__tr": tr})
+    plus = F.when((F.col("__u") > F.abs("__d")) & (F.col("__u") > 0), F.col("__u")).otherwise(0.0)
+    minus = F.when((F.abs("__d") > F.col("__u")) & (F.col("__d") < 0), F.abs("__d")).otherwise(0.0)
+    df = stacked(df, {"__p": plus, "__m": minus}, {"plus_di_mixed": 100 * safe(mean("__p", n), mean("__tr", n)), "minus_di_mixed": 100 * safe(mean("__m", n), mean("__tr", n))})
+    dx = 100 * safe(F.abs(F.col("plus_di_mixed") - F.col("minus_di_mixed")), F.col("plus_di_mixed") + F.col("minus_di_mixed"))
+    return stacked(df, {"__dx": dx}, {"adx_mixed": mean("__dx", n)}).drop("__u", "__d", "__tr", "__p", "__m", "__dx")
+
+
+@indicator("trend")
+def adx_clip(df, n: int = 14):
+    """Directional movement where rises of the high and falls of the low both count, whichever is larger."""
+    df = df.withColumns({"__p": F.greatest(F.coalesce(change("high"), F.lit(0.0)), F.lit(0.0)), "__m": F.greatest(F.coalesce(-change("low"), F.lit(0.0)), F.lit(0.0)), "__tr": true_range()})
+    df = stacked(df, {"__a": mean("__tr", n)}, {"plus_di_clip": 100 * mean("__p", n) / (F.col("__a") + 0.001), "minus_di_clip": 100 * mean("__m", n) / (F.col("__a") + 0.001)})
+    dx = 100 * F.abs(F.col("plus_di_clip") - F.col("minus_di_clip")) / (F.col("plus_di_clip") + F.col("minus_di_clip") + 0.001)
+    return stacked(df, {"__dx": dx}, {"adx_clip": mean("__dx", n)}).drop("__p", "__m", "__tr", "__a", "__dx")
+
+
+@indicator("momentum")
+def dynamic_bounds(df, n: int = 20):
+    """Bounds of RSI and stochastic: mean and deviation of their last n, and which one is crossed."""
+    df = stochastic(rsi_sma(df))
+    named = {}
+    for x, name in (("rsi", "rsi"), ("stoch_k", "stoch")):
+        named |= {f"{name}_upper": mean(x, n) + deviation(x, n), f"{name}_lower": mean(x, n) - deviation(x, n), f"{name}_outside": outside(x, n)}
+    return df.withColumns(named)
+
+
+@indicator("pattern")
+def range_place(df, n: int = 20):
+    """1 near the high of the last n (the upper fifth of their range), -1 near the low, else 0."""
+    place = safe(F.col("close") - lowest("low", n), highest("high", n) - lowest("low", n))
+    return df.withColumn("hh_ll_score", F.when(place > 0.8, 1).when(place < 0.2, -1).otherwise(0))
+
+
+@indicator("pattern")
+def candle_range(df, n: int = 8):
+    """Whether the bar's range is over or under the mean and deviation of the last n ranges."""
+    return stacked(df, {"__r": F.col("high") - F.col("low")}, {"candle_range_score": outside("__r", n)}).drop("__r")
+
+
+@indicator("volume")
+def volume_score(df, n: int = 20):
+    """Whether the volume is over or under the mean and deviation of the last n."""
+    return df.withColumn("volume_score", outside("volume", n))
+
+
+@indicator("volatility")
+def damiani(df, n: int = 14):
+    """Deviation of the last n returns times the square root of n."""
+    return stacked(df, {"__r": returns("close")}, {"damiani": deviation("__r", n) * n**0.5}).drop("__r")
+
+
+@indicator("volatility")
+def waddah_attar(df, n: int = 20, k: float = 2.0, atr: int = 14):
+    """1 where the close is beyond its Bollinger band and has moved by more than the mean true range, for both sides."""
+    df = df.withColumns({"__m": mean("close", n), "__s": deviation("close", n), "__tr": true_range(), "__c": before("close")})
+    df = df.withColumn("__a", mean("__tr", atr))
+    up = (F.col("close") > F.col("__m") + k * F.col("__s")) & (F.col("close") > F.col("__c") + F.col("__a"))
+    down = (F.col("close") < F.col("__m") - k * F.col("__s")) & (F.col("close") < F.col("__c") - F.col("__a"))
+    return df.withColumns({"explosion_up": F.when(up, 1).otherwise(0), "explosion_down": F.when(down, 1).otherwise(0)}).drop("__m", "__s", "__tr", "__c", "__a")
+
+
+@indicator("volatility")
+def fractal_dimension(df, n: int = 14):
+    """1 + (ln length + ln 2) / ln 2n of the path of the last n closes, but its first and last steps, in their range; 0 if flat."""
+    span = highest("close", n) - lowest("close", n)
+    df = df.withColumn("__span", span)
+    steps = [F.abs(safe(before("close", k) - before("close", k - 1), F.col("__span")) + 1 / n**2) for k in range(1, n - 2)]
+    df = df.withColumn("__length", sum(steps[1:], steps[0]))
+    dimension = 1 + (F.log("__length") + math.log(2)) / math.log(2 * n)
+    return df.withColumn("fdi", F.when(F.col("__span") == 0, 0.0).when(F.col("__length") > 0, dimension)).drop("__span", "__length")
+
+
+@indicator("volume")
+def price_entropy(df, n: int = 14):
+    """Entropy in bits of the lower and the upper half of the last n closes' range, by the root of their squared volumes."""
+    df = df.withColumns({"__h": highest("close", n), "__l": lowest("close", n), "__c": values("close", n), "__v": values("volume", n)})
+    squares = F.zip_with("__c", "__v", lambda c, v: F.struct(((c - F.col("__l")) * 2 >= F.col("__h") - F.col("__l")).alias("up"), (v * v).alias("s")))
+    half = lambda up: F.sqrt(F.aggregate(F.filter("__s", lambda x: x["up"] == up), F.lit(0.0), lambda t, x: t + x["s"]))
+    df = stacked(df, {"__s": squares}, {"__a": half(True), "__b": half(False)})
+    share = lambda x: safe(F.col(x), F.col("__a") + F.col("__b"))
+    bits = lambda x: F.when(share(x) > 0, -share(x) * F.log2(share(x))).when(share(x) == 0, 0.0)
+    return df.withColumn("entropy", F.when(F.col("__h") > F.col("__l"), bits("__a") + bits("__b"))).drop("__h", "__l", "__c", "__v", "__s", "__a", "__b")
+
+
+@indicator("volume")
+def volume_delta(df, n: int = 20):
+    """Volume of rising and of falling bars, their difference, and its sum over the last n."""
+    up, down = F.col("close") > F.col("open"), F.col("close") < F.col("open")
+    df = df.withColumns({"up_volume": F.when(up, F.col("volume")).otherwise(0.0), "down_volume": F.when(down, F.col("volume")).otherwise(0.0)})
+    df = df.withColumn("volume_delta", F.col("up_volume") - F.col("down_volume"))
+    return df.withColumn("volume_delta_sum", total("volume_delta", n))
+
+
+@indicator("trend")
+def thma(df, n: int = 16):
+    """Triple Hull mean: WMA over n of 3 WMA(n / 3) - WMA(n / 2) - WMA(n)."""
+    def linear(k: int) -> list[float]:
+        return [i / (k * (k + 1) / 2) for i in range(1, k + 1)]
+
+    df = df.withColumn("__raw", 3 * weighted("close", linear(n // 3)) - weighted("close", linear(n // 2)) - weighted("close", linear(n)))
+    return df.withColumn("thma", weighted("__raw", linear(n))).drop("__raw")
+
+
+@indicator("momentum")
+def rsi_crossings(df, low: float = 30.0, high: float = 70.0):
+    """1 where RSI comes up through low, -1 where it comes down through high, else 0."""
+    df = rsi_sma(df)
+    was = before("rsi")
+    return df.withColumn("rsi_signal", F.when((was <= low) & (F.col("rsi") > low), 1).when((was >= high) & (F.col("rsi") < high), -1).otherwise(0))

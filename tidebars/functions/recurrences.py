@@ -234,17 +234,67 @@ def range_filter(b, n: int = 50, k: float = 3.0):
     return {"range_filter_line": line, "range_filter_side": side}
 
 
+def mcginley_path(x: np.ndarray, n: int, held: bool) -> np.ndarray:
+    """From the first value on, steps towards x over n (x / last) ** 4; held: none goes past x, which keeps paths near 0 finite."""
+    out, last = [], 0.0
+    for value in x.tolist():
+        if not last or not value:
+            last = value or last
+        else:
+            pace = n * (value / last) ** 4
+            last += (value - last) / (max(1.0, pace) if held else pace)
+        out.append(last)
+    return np.array(out)
+
+
 @fold("mcginley")
 def mcginley(b, n: int = 14):
-    """Steps towards the close that shrink with the fourth power of their ratio, and never go past the close."""
-    x, out = b["close"].to_numpy(), np.empty(len(b))
-    for i in range(len(b)):
-        last = out[i - 1] if i else 0.0
-        if not last or not x[i]:
-            out[i] = x[i] or last
-        else:
-            out[i] = last + (x[i] - last) / max(1.0, n * (x[i] / last) ** 4)
-    return {"mcginley": out}
+    """The held path: close prices here can be near 0."""
+    return {"mcginley": mcginley_path(b["close"].to_numpy(), n, True)}
+
+
+@fold("mcginley_free")
+def mcginley_free(b, n: int = 14):
+    """The path as published, for prices well above 0; here of the close plus 100."""
+    return {"mcginley_free": mcginley_path(b["close"].to_numpy() + 100, n, False)}
+
+
+@fold("b_xtrender", "ema_stack", "ema_cross")
+def ema_crosses(b):
+    """Side of the mean of 7 against that of 14; 1 or -1 where the means of 20, 50 and 200 stand in order; crossings of 50 and 200."""
+    fast, slow = ema(b["close"], 7), ema(b["close"], 14)
+    e20, e50, e200 = (ema(b["close"], n) for n in (20, 50, 200))
+    side = (e50 - e200).round(9)  # what two means of the same values differ by is no crossing
+    was = side.shift()
+    return {
+        "b_xtrender": np.where(fast > slow, 1.0, -1.0), "ema_stack": np.where((e20 > e50) & (e50 > e200), 1.0, np.where((e20 < e50) & (e50 < e200), -1.0, 0.0)),
+        "ema_cross": np.where((side > 0) & (was <= 0), 1.0, np.where((side < 0) & (was >= 0), -1.0, 0.0)),
+    }
+
+
+@fold("conditional_ema")
+def conditional_ema(b, n: int = 14):
+    """The exponential mean, taken over only where the bar rises; the first bar always counts."""
+    mean, up = ema(b["close"], n), (b["close"] > b["open"]).to_numpy()
+    if len(up):
+        up[0] = True
+    return {"conditional_ema": mean.where(up).ffill()}
+
+
+@fold("wolfpack", "tdfi", "range_size", "ehma")
+def ema_oscillators(b):
+    """Mean of 3 less mean of 8; trend direction force of 13 over the largest of 39; twice smoothed mean step of 14 times 2.618;
+    the exponential Hull mean of 16. All by recursive means."""
+    c = b["close"]
+    one = ema(c * 1000, 13, False)
+    two = ema(one, 13, False)
+    force = (one - two).abs() * ((one.diff() + two.diff()) / 2) ** 3
+    step = c.diff().abs()
+    peak = force.abs().rolling(39, min_periods=1).max()
+    return {
+        "wolfpack": ema(c, 3, False) - ema(c, 8, False), "tdfi": force / peak.where(peak != 0), "range_size": 2.618 * ema(ema(step, 14, False), 27, False),
+        "ehma": ema(2 * ema(c, 8, False) - ema(c, 16, False), 4, False),
+    }
 
 
 @fold("chandelier_stop", "chandelier_side")

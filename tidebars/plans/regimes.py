@@ -7,35 +7,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebars.functions import indicators as ind
+from tidebars.functions import recurrences
 from tidebars.functions.frames import before, carry, deviation, highest, lowest, mean, ordered, quantile, returns, rows, safe, stacked
 from tidebars.operators.runs import with_runs
 
 
-def zone_scores(bars: DataFrame) -> DataFrame:
-    """Trend, momentum and price-action scores, an activity state and its weights, and the zone -1, 0 or 1.
+# Weights of trend, momentum and price action by activity.
+ZONE_WEIGHTS = {"High": (0.5, 0.35, 0.15), "Medium": (0.4, 0.3, 0.3), "Low": (0.25, 0.2, 0.55)}
 
-    The weights go from trend to price action as activity falls; the weighted score is smoothed over 3
-    bars, and bars before the slowest window is full are in zone 0.
+
+def zone_scores(bars: DataFrame, threshold: float = 2.0, smoothing: int = 2, warm_up: int = 50) -> DataFrame:
+    """Trend, momentum, price-action and activity scores, the activity state, and the zone -1, 0 or 1.
+
+    Trend: directional movement over 20, means of 20 and 50, middles of the ranges of 9 and 26. Momentum: RSI and
+    stochastic outside their bounds, MACD histogram. Price action: place in the range of 20, Heikin-Ashi body (0 if
+    under a tenth of its range), bar range. Activity: band width, true range, Keltner width and volume outside
+    their bounds; from 2 on it is High, from -2 down Low, and the state sets the weights. The weighted sum, as a
+    mean of `smoothing` bars, gives the zone; a symbol's first warm_up bars are in zone 0.
     """
-    df = ind.apply(bars, "rsi_sma", "atr_sma")
-    df = df.withColumns({"__fast": mean("close", 10), "__slow": mean("close", 30), "__mv": mean("volume", 20), "__ma": mean("atr_sma", 20), "__hh": highest("high", 20), "__ll": lowest("low", 20), "__n": F.row_number().over(ordered())})
-    place = safe(F.col("close") - F.col("__ll"), F.col("__hh") - F.col("__ll"))
+    df = recurrences.apply(bars, "macd", "heikin_ashi", "ema_family")
+    df = ind.apply(df, "adx_mixed", "dynamic_bounds", "range_place", "candle_range", "volume_score")
+    middle = lambda n: (highest("high", n) + lowest("low", n)) / 2
+    body, reach = F.abs(F.col("ha_close_rec") - F.col("ha_open_rec")), F.greatest("high", "ha_open_rec", "ha_close_rec") - F.least("low", "ha_open_rec", "ha_close_rec")
+    rising = F.when(F.col("ha_close_rec") > F.col("ha_open_rec"), 1).otherwise(-1)
+    over = lambda test: F.when(test, 1).otherwise(-1)
+    strong = F.col("adx_mixed") >= 20
     df = df.withColumns({
-        "trend_score": F.when(F.col("__fast") > F.col("__slow"), 2).otherwise(-2) + F.when(F.col("close") > F.col("__fast"), 1).otherwise(-1),
-        "momentum_score": F.when(F.col("rsi") > 60, 2).when(F.col("rsi") < 40, -2).otherwise(0),
-        "price_score": F.when(place > 0.8, 2).when(place < 0.2, -2).otherwise(0),
-        "activity_score": F.when(F.col("volume") > 1.2 * F.col("__mv"), 2).when(F.col("volume") < 0.8 * F.col("__mv"), -2).otherwise(0) + F.when(F.col("atr_sma") > F.col("__ma"), 1).otherwise(-1),
+        "__n": F.row_number().over(ordered()), "__fast": mean("close", 20), "__slow": mean("close", 50), "__a": middle(9), "__b": middle(26), "__sd": deviation("close", 20),
+        "__tr": F.when(before("close").isNotNull(), ind.true_range()), "__ha": F.when(safe(body, reach) < 0.1, 0).otherwise(rising),
+        "__adx": F.when(strong & (F.col("plus_di_mixed") > F.col("minus_di_mixed")), 1).when(strong & (F.col("minus_di_mixed") > F.col("plus_di_mixed")), -1).otherwise(0),
     })
-    active = F.when(F.col("activity_score") >= 2, "High").when(F.col("activity_score") <= -2, "Low").otherwise("Medium")
-    df = df.withColumn("activity", active)
-
-    def weight(high: float, medium: float, low: float) -> Column:
-        return F.when(F.col("activity") == "High", high).when(F.col("activity") == "Low", low).otherwise(medium)
-
-    raw = F.col("trend_score") * weight(0.5, 0.4, 0.25) + F.col("momentum_score") * weight(0.35, 0.3, 0.2) + F.col("price_score") * weight(0.15, 0.3, 0.55)
-    df = df.withColumn("__raw", raw).withColumn("score", F.avg("__raw").over(rows(-2)))
-    zone = F.when(F.col("__n") < 50, 0).when(F.col("score") >= 1, 1).when(F.col("score") <= -1, -1).otherwise(0)
-    return df.withColumn("zone", zone).drop("__fast", "__slow", "__mv", "__ma", "__hh", "__ll", "__n", "__raw")
+    df = df.withColumn("__atr", mean("__tr", 14))
+    df = df.withColumns({"__bw": 4 * safe(F.col("__sd"), F.col("__fast")), "__kw": 3 * safe(F.col("__atr"), F.col("ema_adj_20"))})
+    df = df.withColumns({
+        "trend_score": F.col("__adx") + over(safe(F.col("__fast") - F.col("__slow"), F.col("__slow")) > 0) + over(F.col("__a") > F.col("__b")),
+        "momentum_score": F.col("rsi_outside") + F.col("stoch_outside") + over(F.col("macd_hist") > 0),
+        "price_score": F.col("hh_ll_score") + F.col("__ha") + F.col("candle_range_score"),
+        "activity_score": ind.outside("__bw", 20) + ind.outside("__atr", 20) + ind.outside("__kw", 20) + F.col("volume_score"),
+    })
+    state = F.when(F.col("activity_score") >= 2, "High").when(F.col("activity_score") <= -2, "Low").otherwise("Medium")
+    df = df.withColumn("activity", state)
+    weight = lambda k: F.when(F.col("activity") == "High", ZONE_WEIGHTS["High"][k]).when(F.col("activity") == "Low", ZONE_WEIGHTS["Low"][k]).otherwise(ZONE_WEIGHTS["Medium"][k])
+    df = df.withColumn("__net", F.col("trend_score") * weight(0) + F.col("momentum_score") * weight(1) + F.col("price_score") * weight(2))
+    df = df.withColumn("score", mean("__net", smoothing))
+    zone = F.when(F.col("__n") <= warm_up, 0).when(F.col("score") >= threshold, 1).when(F.col("score") <= -threshold, -1).otherwise(0)
+    return df.withColumn("zone", zone).select(*bars.columns, "trend_score", "momentum_score", "price_score", "activity_score", "activity", "score", "zone")
 
 
 def band_zones(bars: DataFrame, n: int = 20, k: float = 0.5) -> DataFrame:

@@ -42,9 +42,9 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(read(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).subtract(read(spark, sf_dir, "orders").select("o_custkey"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).subtract(read(spark, sf_dir, "orders").where("o_totalprice > 250000").select("o_custkey"))
 
 
 @query("SELECT DISTINCT event_type, user_id FROM events")

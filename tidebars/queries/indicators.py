@@ -160,6 +160,88 @@ _fold("tsi", [{"d": _STEP}, {"d1": ema_adjusted("d", 2 / 26), "a1": ema_adjusted
 _fold("power", [{"mid": ema_adjusted("close", 2 / 14)}, {"bull_power": "high - mid", "bear_power": "low - mid"}], "power")
 _fold("heikin_ashi", [{"ha_close_rec": "(open + high + low + close) / 4"}, {"seed": f"coalesce({lag('ha_close_rec')}, (open + close) / 2)"}, {"ha_open_rec": ema("seed", 0.5)}], "heikin_ashi")
 _fold("mcginley", [{"mcginley": "list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: CASE WHEN a = 0 THEN x WHEN x = 0 THEN a ELSE a + (x - a) / greatest(1.0, 14 * (x / a) ** 4) END)"}], "mcginley")
+_fold("mcginley_free", [{"mcginley_free": "list_reduce(list(close + 100) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: CASE WHEN a = 0 THEN x WHEN x = 0 THEN a ELSE a + (x - a) / (14 * (x / a) ** 4) END)"}], "mcginley_free")
+_EMAS = {f"e{n}": ema_adjusted("close", 2 / (n + 1)) for n in (7, 14, 20, 50, 200)}
+_fold(
+    "ema_crosses",
+    [_EMAS, {"b_xtrender": "CASE WHEN e7 > e14 THEN 1.0 ELSE -1.0 END", "ema_stack": "CASE WHEN e20 > e50 AND e50 > e200 THEN 1.0 WHEN e20 < e50 AND e50 < e200 THEN -1.0 ELSE 0.0 END", "side": "round(e50 - e200, 9)"}, {"ema_cross": f"CASE WHEN side > 0 AND {lag('side')} <= 0 THEN 1.0 WHEN side < 0 AND {lag('side')} >= 0 THEN -1.0 ELSE 0.0 END"}],
+    "ema_crosses",
+)
+_fold("conditional_ema", [{"e14": _EMAS["e14"], "first": f"{lag('close')} IS NULL"}, {"held": "CASE WHEN close > open OR first THEN e14 END"}, {"conditional_ema": carry("held")}], "conditional_ema")
+_fold(
+    "ema_oscillators",
+    [
+        {"wolfpack": f"{ema('close', 0.5)} - {ema('close', 2 / 9)}", "one": ema("(close * 1000)", 2 / 14), "step": f"abs({_STEP})", "raw": f"2 * {ema('close', 2 / 9)} - {ema('close', 2 / 17)}"},
+        {"two": ema("one", 2 / 14), "s1": ema("step", 2 / 15), "ehma": ema("raw", 2 / 5)},
+        {"force": f"abs(one - two) * ((one - {lag('one')} + two - {lag('two')}) / 2) ** 3", "range_size": f"2.618 * {ema('s1', 2 / 28)}"},
+        {"tdfi": f"force / nullif({roll('max', 'abs(force)', 39, least=1)}, 0)"},
+    ],
+    "ema_oscillators",
+)
+
+
+def _outside(x: str, n: int) -> str:
+    m, sd = roll("avg", x, n), roll("stddev_samp", x, n)
+    return f"CASE WHEN {x} > ({m}) + ({sd}) THEN 1 WHEN {x} < ({m}) - ({sd}) THEN -1 ELSE 0 END"
+
+
+_MIXED = [
+    {"u": f"high - {lag('high')}", "d": f"low - {lag('low')}", "tr1": f"CASE WHEN {lag('close')} IS NOT NULL THEN {TR} END"},
+    {"p": "CASE WHEN u > abs(d) AND u > 0 THEN u ELSE 0.0 END", "m": "CASE WHEN abs(d) > u AND d < 0 THEN abs(d) ELSE 0.0 END"},
+    {"plus_di_mixed": f"100 * ({roll('avg', 'p', 14)}) / nullif({roll('avg', 'tr1', 14)}, 0)", "minus_di_mixed": f"100 * ({roll('avg', 'm', 14)}) / nullif({roll('avg', 'tr1', 14)}, 0)"},
+    {"dx": "100 * abs(plus_di_mixed - minus_di_mixed) / nullif(plus_di_mixed + minus_di_mixed, 0)"}, {"adx_mixed": roll("avg", "dx", 14)},
+]
+_BOUNDS = [*_RSI, {"stoch_k": f"100 * (close - ({roll('min', 'low', 14)})) / nullif({_RANGE14}, 0)"}]
+_RANGE20 = f"(({roll('max', 'high', 20)}) - ({roll('min', 'low', 20)}))"
+_PLACE = {"place": f"(close - ({roll('min', 'low', 20)})) / nullif({_RANGE20}, 0)"}
+_HH_LL = {"hh_ll_score": "CASE WHEN place > 0.8 THEN 1 WHEN place < 0.2 THEN -1 ELSE 0 END"}
+_window("adx_mixed", _MIXED, ["adx_mixed", "plus_di_mixed", "minus_di_mixed"])
+_window(
+    "adx_clip",
+    [
+        {"p": f"greatest(coalesce(high - {lag('high')}, 0.0), 0.0)", "m": f"greatest(coalesce({lag('low')} - low, 0.0), 0.0)", "tr": TR},
+        {"plus_di_clip": f"100 * ({roll('avg', 'p', 14)}) / (({roll('avg', 'tr', 14)}) + 0.001)", "minus_di_clip": f"100 * ({roll('avg', 'm', 14)}) / (({roll('avg', 'tr', 14)}) + 0.001)"},
+        {"dx": "100 * abs(plus_di_clip - minus_di_clip) / (plus_di_clip + minus_di_clip + 0.001)"}, {"adx_clip": roll("avg", "dx", 14)},
+    ],
+    ["adx_clip", "plus_di_clip", "minus_di_clip"],
+)
+_window(
+    "dynamic_bounds",
+    [*_BOUNDS, {f"{n}_{side}": f"({roll('avg', x, 20)}) {sign} ({roll('stddev_samp', x, 20)})" for x, n in (("rsi", "rsi"), ("stoch_k", "stoch")) for side, sign in (("upper", "+"), ("lower", "-"))} | {"rsi_outside": _outside("rsi", 20), "stoch_outside": _outside("stoch_k", 20)}],
+    ["rsi_upper", "rsi_lower", "stoch_upper", "stoch_lower"], ("rsi_outside", "stoch_outside"),
+)
+_window("range_place", [_PLACE, _HH_LL], [], ("hh_ll_score",))
+_window("candle_range", [{"r": "high - low"}, {"candle_range_score": _outside("r", 8)}], [], ("candle_range_score",))
+_window("volume_score", [{"volume_score": _outside("volume", 20)}], [], ("volume_score",))
+_window("damiani", [{"r": f"close / nullif({lag('close')}, 0) - 1"}, {"damiani": f"({roll('stddev_samp', 'r', 14)}) * sqrt(14)"}], ["damiani"])
+_window(
+    "waddah_attar",
+    [{"m": roll("avg", "close", 20), "sd": roll("stddev_samp", "close", 20), "tr": TR, "c": lag("close")}, {"a": roll("avg", "tr", 14)}, {"explosion_up": "CASE WHEN close > m + 2 * sd AND close > c + a THEN 1 ELSE 0 END", "explosion_down": "CASE WHEN close < m - 2 * sd AND close < c - a THEN 1 ELSE 0 END"}],
+    [], ("explosion_up", "explosion_down"),
+)
+_window(
+    "fractal_dimension",
+    [{"span": f"({roll('max', 'close', 14)}) - ({roll('min', 'close', 14)})"}, {"len": " + ".join(f"abs(({lag('close', k)} - {lag('close', k - 1) if k > 1 else 'close'}) / nullif(span, 0) + {1 / 196!r})" for k in range(1, 12))}, {"fdi": "CASE WHEN span = 0 THEN 0.0 WHEN len > 0 THEN 1 + (ln(len) + ln(2)) / ln(28) END"}],
+    ["fdi"],
+)
+_W14 = over(-13)
+_window(
+    "price_entropy",
+    [
+        {"h": roll("max", "close", 14), "l": roll("min", "close", 14), "cs": f"list(close) OVER {_W14}", "vs": f"list(volume) OVER {_W14}"},
+        {"a": "sqrt(list_sum([v * v for v, i in vs if (cs[i] - l) * 2 >= h - l]))", "z": "sqrt(list_sum([v * v for v, i in vs if (cs[i] - l) * 2 < h - l]))"},
+        {"x": "coalesce(a, 0) / nullif(coalesce(a, 0) + coalesce(z, 0), 0)", "y": "coalesce(z, 0) / nullif(coalesce(a, 0) + coalesce(z, 0), 0)"},
+        {"entropy": "CASE WHEN h > l THEN CASE WHEN x > 0 THEN -x * log2(x) ELSE 0.0 END + CASE WHEN y > 0 THEN -y * log2(y) ELSE 0.0 END END"},
+    ],
+    ["entropy"],
+)
+_window(
+    "volume_delta",
+    [{"up_volume": "CASE WHEN close > open THEN volume ELSE 0.0 END", "down_volume": "CASE WHEN close < open THEN volume ELSE 0.0 END"}, {"volume_delta": "up_volume - down_volume"}, {"volume_delta_sum": roll("sum", "volume_delta", 20)}],
+    ["up_volume", "down_volume", "volume_delta", "volume_delta_sum"],
+)
+_window("thma", [{"raw": f"3 * ({_weights('close', _linear(5))}) - ({_weights('close', _linear(8))}) - ({_weights('close', _linear(16))})"}, {"thma": _weights("raw", _linear(16))}], ["thma"])
+_window("rsi_crossings", [*_RSI, {"was": lag("rsi")}, {"rsi_signal": "CASE WHEN was <= 30 AND rsi > 30 THEN 1 WHEN was >= 70 AND rsi < 70 THEN -1 ELSE 0 END"}], [], ("rsi_signal",))
 for _name in ("schaff", "supertrend", "parabolic_sar", "half_trend", "range_filter", "chandelier_exit", "qqe", "zigzag"):
     _fold(_name, None, _name)
 

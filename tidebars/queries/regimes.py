@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidebars.functions import indicators as ind
 from tidebars.plans import backtest, regimes, signals
-from tidebars.queries.tables import TICKS_SQL, bars, bars_sql, lag, roll, round_sql, rounded, run
+from tidebars.queries.indicators import _BOUNDS, _HH_LL, _MIXED, _PLACE, _outside
+from tidebars.queries.tables import TICKS_SQL, bars, bars_sql, ema, ema_adjusted, lag, roll, round_sql, rounded, run, staged_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -47,9 +48,40 @@ def band_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.band_zones(bars(spark, sf_dir)).select("symbol", "ts", "zone")
 
 
-@query()
+def _weight_sql(k: int) -> str:
+    w = regimes.ZONE_WEIGHTS
+    return f"CASE activity WHEN 'High' THEN {w['High'][k]} WHEN 'Low' THEN {w['Low'][k]} ELSE {w['Medium'][k]} END::DOUBLE"
+
+
+def _middle_sql(n: int) -> str:
+    return f"(({roll('max', 'high', n)}) + ({roll('min', 'low', n)})) / 2"
+
+
+_SCORED = [
+    *_MIXED, *_BOUNDS, _PLACE, _HH_LL,
+    {
+        "n": "row_number() OVER (PARTITION BY symbol ORDER BY ts)", "fast": roll("avg", "close", 20), "slow": roll("avg", "close", 50), "ia": _middle_sql(9), "ib": _middle_sql(26), "sd": roll("stddev_samp", "close", 20), "rg": "high - low",
+        "m1": f"{ema_adjusted('close', 2 / 13)} - {ema_adjusted('close', 2 / 27)}", "e20": ema_adjusted("close", 2 / 21), "hac": "(open + high + low + close) / 4", "atr": roll("avg", "tr1", 14),
+        "adx": "CASE WHEN adx_mixed >= 20 AND plus_di_mixed > minus_di_mixed THEN 1 WHEN adx_mixed >= 20 AND minus_di_mixed > plus_di_mixed THEN -1 ELSE 0 END",
+    },
+    {"ms": ema_adjusted("m1", 0.2), "seed": f"coalesce({lag('hac')}, (open + close) / 2)", "bw": "4 * (sd / nullif(fast, 0))", "kw": "3 * (atr / nullif(e20, 0))"},
+    {"hao": ema("seed", 0.5)},
+    {"ha": "CASE WHEN abs(hac - hao) / nullif(greatest(high, hao, hac) - least(low, hao, hac), 0) < 0.1 THEN 0 WHEN hac > hao THEN 1 ELSE -1 END"},
+    {
+        "trend_score": "adx + CASE WHEN (fast - slow) / nullif(slow, 0) > 0 THEN 1 ELSE -1 END + CASE WHEN ia > ib THEN 1 ELSE -1 END", "momentum_score": f"{_outside('rsi', 20)} + {_outside('stoch_k', 20)} + CASE WHEN m1 - ms > 0 THEN 1 ELSE -1 END",
+        "price_score": f"hh_ll_score + ha + {_outside('rg', 8)}", "activity_score": " + ".join(_outside(x, n) for x, n in (("bw", 20), ("atr", 20), ("kw", 20), ("volume", 20))),
+    },
+    {"activity": "CASE WHEN activity_score >= 2 THEN 'High' WHEN activity_score <= -2 THEN 'Low' ELSE 'Medium' END"},
+    {"net": f"trend_score * {_weight_sql(0)} + momentum_score * {_weight_sql(1)} + price_score * {_weight_sql(2)}"},
+    {"score": roll("avg", "net", 2)},
+    {"zone": "CASE WHEN n <= 50 THEN 0 WHEN score >= 2 THEN 1 WHEN score <= -2 THEN -1 ELSE 0 END"},
+]
+_SCORES = ["trend_score", "momentum_score", "price_score", "activity_score", "activity", "zone"]
+
+
+@query(staged_sql(_SCORED, ["score"], plain=tuple(_SCORES)))
 def zone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(regimes.zone_scores(bars(spark, sf_dir)).select("symbol", "ts", "activity", "score", "zone"))
+    return rounded(regimes.zone_scores(bars(spark, sf_dir)).select("symbol", "ts", "score", *_SCORES))
 
 
 @query()
