@@ -262,13 +262,12 @@ def mcginley_free(b, n: int = 14):
 @fold("b_xtrender", "ema_stack", "ema_cross")
 def ema_crosses(b):
     """Side of the mean of 7 against that of 14; 1 or -1 where the means of 20, 50 and 200 stand in order; crossings of 50 and 200."""
-    fast, slow = ema(b["close"], 7), ema(b["close"], 14)
-    e20, e50, e200 = (ema(b["close"], n) for n in (20, 50, 200))
-    side = (e50 - e200).round(9)  # what two means of the same values differ by is no crossing
-    was = side.shift()
+    apart = lambda n, m: np.sign((ema(b["close"], n) - ema(b["close"], m)).round(9))  # noqa: E731  means of the same values are one
+    short, middle, long = apart(7, 14), apart(20, 50), apart(50, 200)
+    was = long.shift()
     return {
-        "b_xtrender": np.where(fast > slow, 1.0, -1.0), "ema_stack": np.where((e20 > e50) & (e50 > e200), 1.0, np.where((e20 < e50) & (e50 < e200), -1.0, 0.0)),
-        "ema_cross": np.where((side > 0) & (was <= 0), 1.0, np.where((side < 0) & (was >= 0), -1.0, 0.0)),
+        "b_xtrender": np.where(short > 0, 1.0, -1.0), "ema_stack": np.where((middle > 0) & (long > 0), 1.0, np.where((middle < 0) & (long < 0), -1.0, 0.0)),
+        "ema_cross": np.where((long > 0) & (was <= 0), 1.0, np.where((long < 0) & (was >= 0), -1.0, 0.0)),
     }
 
 

@@ -164,7 +164,10 @@ _fold("mcginley_free", [{"mcginley_free": "list_reduce(list(close + 100) OVER (P
 _EMAS = {f"e{n}": ema_adjusted("close", 2 / (n + 1)) for n in (7, 14, 20, 50, 200)}
 _fold(
     "ema_crosses",
-    [_EMAS, {"b_xtrender": "CASE WHEN e7 > e14 THEN 1.0 ELSE -1.0 END", "ema_stack": "CASE WHEN e20 > e50 AND e50 > e200 THEN 1.0 WHEN e20 < e50 AND e50 < e200 THEN -1.0 ELSE 0.0 END", "side": "round(e50 - e200, 9)"}, {"ema_cross": f"CASE WHEN side > 0 AND {lag('side')} <= 0 THEN 1.0 WHEN side < 0 AND {lag('side')} >= 0 THEN -1.0 ELSE 0.0 END"}],
+    [
+        _EMAS, {"short": "sign(round(e7 - e14, 9))", "middle": "sign(round(e20 - e50, 9))", "long": "sign(round(e50 - e200, 9))"},
+        {"b_xtrender": "CASE WHEN short > 0 THEN 1.0 ELSE -1.0 END", "ema_stack": "CASE WHEN middle > 0 AND long > 0 THEN 1.0 WHEN middle < 0 AND long < 0 THEN -1.0 ELSE 0.0 END", "ema_cross": f"CASE WHEN long > 0 AND {lag('long')} <= 0 THEN 1.0 WHEN long < 0 AND {lag('long')} >= 0 THEN -1.0 ELSE 0.0 END"},
+    ],
     "ema_crosses",
 )
 _fold("conditional_ema", [{"e14": _EMAS["e14"], "first": f"{lag('close')} IS NULL"}, {"held": "CASE WHEN close > open OR first THEN e14 END"}, {"conditional_ema": carry("held")}], "conditional_ema")
