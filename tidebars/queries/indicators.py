@@ -245,8 +245,107 @@ _window(
 )
 _window("thma", [{"raw": f"3 * ({_weights('close', _linear(5))}) - ({_weights('close', _linear(8))}) - ({_weights('close', _linear(16))})"}, {"thma": _weights("raw", _linear(16))}], ["thma"])
 _window("rsi_crossings", [*_RSI, {"was": lag("rsi")}, {"rsi_signal": "CASE WHEN was <= 30 AND rsi > 30 THEN 1 WHEN was >= 70 AND rsi < 70 THEN -1 ELSE 0 END"}], [], ("rsi_signal",))
-for _name in ("schaff", "supertrend", "parabolic_sar", "half_trend", "range_filter", "chandelier_exit", "qqe", "zigzag"):
-    _fold(_name, None, _name)
+
+
+def _states(first: dict[str, str], step: dict[str, str], test: str = "true") -> str:
+    """The state of a fold after each bar: a struct of the bar's values and the state's, starting as `first`; in step,
+    a is the state before and x the bar with its values."""
+    element = "{" + ", ".join(f"'{k}': ({v})" for k, v in first.items()) + "}"
+    after = "{" + ", ".join(f"'{k}': ({step.get(k, f"x['{k}']")})" for k in first) + "}"
+    return f"list_reduce(list({element}) FILTER ({test}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: {after})"
+
+
+def _let(value: str, name: str, then: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {then})[1]"
+
+
+_NOW = "CASE WHEN x['c'] > a['down'] THEN 1.0 WHEN x['c'] < a['up'] THEN -1.0 ELSE a['now'] END"
+_STOPS = {"up": "CASE WHEN a['c'] > a['up'] THEN greatest(x['lo'], a['up']) ELSE x['lo'] END", "down": "CASE WHEN a['c'] < a['down'] THEN least(x['hi'], a['down']) ELSE x['hi'] END"}
+_STOP_FIRST = {"lo": "lo", "hi": "hi", "c": "c", "up": "lo", "down": "hi", "now": "1.0::DOUBLE"}
+_STOP_OF = "CASE WHEN s['now'] > 0 THEN s['up'] ELSE s['down'] END"
+_fold(
+    "supertrend",
+    [
+        {"tr": TR}, {"atr": wilder("tr", 10)}, {"lo": "(high + low) / 2 - 3 * atr", "hi": "(high + low) / 2 + 3 * atr", "c": "close"},
+        {"s": _states(_STOP_FIRST, _STOPS | {"now": "CASE WHEN a['now'] < 0 AND x['c'] > a['down'] THEN 1.0 WHEN a['now'] > 0 AND x['c'] < a['up'] THEN -1.0 ELSE a['now'] END"}, "atr IS NOT NULL")},
+        {"supertrend": _STOP_OF, "supertrend_side": "s['now']"},
+    ],
+    "supertrend",
+)
+_fold(
+    "chandelier_exit",
+    [
+        {"tr": TR, "top": roll("max", "close", 22, least=1), "bottom": roll("min", "close", 22, least=1)}, {"atr": wilder("tr", 22)}, {"lo": "top - 3 * atr", "hi": "bottom + 3 * atr", "c": "close"},
+        {"s": _states(_STOP_FIRST, _STOPS | {"now": _NOW}, "atr IS NOT NULL")}, {"chandelier_stop": _STOP_OF, "chandelier_side": "s['now']"},
+    ],
+    "chandelier_exit",
+)
+_QQE = {"up": "CASE WHEN a['c'] > a['up'] AND x['c'] > a['up'] THEN greatest(x['lo'], a['up']) ELSE x['lo'] END", "down": "CASE WHEN a['c'] < a['down'] AND x['c'] < a['down'] THEN least(x['hi'], a['down']) ELSE x['hi'] END"}
+_fold(
+    "qqe",
+    [
+        _RSI[0], {"mg": wilder("g", 14), "ml": wilder("l", 14)}, {"rsi_w": "CASE WHEN ml = 0 AND mg > 0 THEN 100.0 ELSE 100 - 100 / (1 + mg / nullif(ml, 0)) END"}, {"qqe_line": ema("rsi_w", 1 / 3)}, {"d": f"abs(qqe_line - {lag('qqe_line')})"},
+        {"w1": wilder("d", 27)}, {"w2": f"4.238 * ({wilder('w1', 27)})"}, {"lo": "qqe_line - w2", "hi": "qqe_line + w2", "c": "qqe_line"}, {"s": _states(_STOP_FIRST, _QQE | {"now": _NOW}, "w2 IS NOT NULL AND qqe_line IS NOT NULL")}, {"qqe_stop": _STOP_OF},
+    ],
+    "qqe",
+)
+_TURN = "CASE WHEN a['up'] THEN x['l'] < s ELSE x['h'] > s END"
+_SAR_STOP = "CASE WHEN a['up'] THEN least(a['stop'] + a['share'] * (a['ext'] - a['stop']), x['l1'], x['l2']) ELSE greatest(a['stop'] + a['share'] * (a['ext'] - a['stop']), x['h1'], x['h2']) END"
+_BEST = "CASE WHEN a['up'] THEN greatest(a['ext'], x['h']) ELSE least(a['ext'], x['l']) END"
+_fold(
+    "parabolic_sar",
+    [
+        {"rises": "coalesce(lead(close) OVER (PARTITION BY symbol ORDER BY ts) >= close, true)", "h1": lag("high"), "l1": lag("low"), "h2": f"coalesce({lag('high', 2)}, {lag('high')})", "l2": f"coalesce({lag('low', 2)}, {lag('low')})", "two": f"{lag('close')} IS NOT NULL"},
+        {"s": _states(
+            {"h": "high", "l": "low", "h1": "h1", "l1": "l1", "h2": "h2", "l2": "l2", "up": "rises", "stop": "CASE WHEN rises THEN low ELSE high END", "ext": "CASE WHEN rises THEN high ELSE low END", "share": "0.02::DOUBLE"},
+            {
+                "up": _let(_SAR_STOP, "s", f"CASE WHEN {_TURN} THEN NOT a['up'] ELSE a['up'] END"), "stop": _let(_SAR_STOP, "s", f"CASE WHEN {_TURN} THEN a['ext'] ELSE s END"),
+                "ext": _let(_SAR_STOP, "s", f"CASE WHEN {_TURN} THEN CASE WHEN a['up'] THEN x['l'] ELSE x['h'] END ELSE {_BEST} END"),
+                "share": _let(_SAR_STOP, "s", f"CASE WHEN {_TURN} THEN 0.02::DOUBLE WHEN {_BEST} <> a['ext'] THEN least(0.2::DOUBLE, a['share'] + 0.02::DOUBLE) ELSE a['share'] END"),
+            },
+        )},
+        {"sar": "CASE WHEN two THEN s['stop'] END"},
+    ],
+    "parabolic_sar",
+)
+_PEAK, _TROUGH = "greatest(a['peak'], x['bottom'])", "least(a['trough'], x['top'])"
+_FLIP = f"CASE WHEN a['now'] > 0 THEN x['mh'] < {_PEAK} AND x['c'] < x['pl'] ELSE x['ml'] > {_TROUGH} AND x['c'] > x['ph'] END"
+_NEXT = f"CASE WHEN {_FLIP} THEN -a['now'] ELSE a['now'] END"
+_NEW_PEAK = f"CASE WHEN a['now'] > 0 THEN {_PEAK} WHEN {_FLIP} THEN x['bottom'] ELSE a['peak'] END"
+_NEW_TROUGH = f"CASE WHEN a['now'] < 0 THEN {_TROUGH} WHEN {_FLIP} THEN x['top'] ELSE a['trough'] END"
+_FOLLOW = f"CASE WHEN {_NEXT} > 0 THEN {_NEW_PEAK} ELSE {_NEW_TROUGH} END"
+_fold(
+    "half_trend",
+    [
+        {"top": roll("max", "high", 2, least=1), "bottom": roll("min", "low", 2, least=1), "mh": roll("avg", "high", 2, least=1), "ml": roll("avg", "low", 2, least=1), "ph": lag("high"), "pl": lag("low")},
+        {"s": _states(
+            {"top": "top", "bottom": "bottom", "mh": "mh", "ml": "ml", "c": "close", "ph": "ph", "pl": "pl", "now": "1.0::DOUBLE", "peak": "bottom", "trough": "'infinity'::DOUBLE", "level": "bottom"},
+            {"now": _NEXT, "peak": _NEW_PEAK, "trough": _NEW_TROUGH, "level": f"CASE WHEN {_FLIP} THEN {_FOLLOW} WHEN {_NEXT} > 0 THEN greatest(a['level'], {_FOLLOW}) ELSE least(a['level'], {_FOLLOW}) END"},
+        )},
+        {"half_trend": "s['level']", "half_trend_side": "s['now']"},
+    ],
+    "half_trend",
+)
+_MOVED = "CASE WHEN x['x'] > a['line'] THEN greatest(a['line'], x['x'] - x['r']) ELSE least(a['line'], x['x'] + x['r']) END"
+_fold(
+    "range_filter",
+    [
+        {"d": f"abs({_STEP})"}, {"d1": ema_adjusted("d", 2 / 51)}, {"r": f"coalesce(3 * ({ema_adjusted('d1', 2 / 100)}), 0)"},
+        {"s": _states({"x": "close", "r": "r", "line": "close", "side": "0.0::DOUBLE"}, {"line": _MOVED, "side": f"CASE WHEN {_MOVED} > a['line'] THEN 1.0 WHEN {_MOVED} < a['line'] THEN -1.0 ELSE a['side'] END"})},
+        {"range_filter_line": "s['line']", "range_filter_side": "s['side']"},
+    ],
+    "range_filter",
+)
+
+
+def _place_sql(x: str, name: str) -> list[dict[str, str]]:
+    low, high = roll("min", x, 10, least=1), roll("max", x, 10, least=1)
+    return [{f"{name}_raw": f"100 * ({x} - ({low})) / nullif(({high}) - ({low}), 0)"}, {f"{name}_full": f"coalesce({carry(f'{name}_raw')}, 0.0)"}, {name: ema(f"{name}_full", 0.5)}]
+
+
+_fold("schaff", [{"line": f"{ema('close', 2 / 24)} - {ema('close', 2 / 51)}"}, *_place_sql("line", "p1"), *_place_sql("p1", "p2"), {"stc": "greatest(0.0, least(100.0, p2))"}], "schaff")
+_fold("zigzag", None, "zigzag")
+
 
 
 def indicator_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidebars.functions import indicators as ind
 from tidebars.plans import backtest, regimes, signals
-from tidebars.queries.indicators import _BOUNDS, _HH_LL, _MIXED, _PLACE, _outside
-from tidebars.queries.tables import TICKS_SQL, bars, bars_sql, ema, ema_adjusted, lag, roll, round_sql, rounded, run, staged_sql
+from tidebars.queries.indicators import _BOUNDS, _HH_LL, _MIXED, _PLACE, _RSI, _outside
+from tidebars.queries.tables import TICKS_SQL, TR, bars, bars_sql, ema, ema_adjusted, lag, over, roll, round_sql, rounded, run, staged_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -84,7 +84,19 @@ def zone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regimes.zone_scores(bars(spark, sf_dir)).select("symbol", "ts", "score", *_SCORES))
 
 
-@query()
+_RULED = [
+    {"u": f"high - {lag('high')}", "d": f"{lag('low')} - low", "tr": TR, "r": f"close / nullif({lag('close')}, 0) - 1", "m": roll("avg", "close", 50)},
+    {"p": "CASE WHEN u > d AND u > 0 THEN u ELSE 0.0 END", "n": "CASE WHEN d > u AND d > 0 THEN d ELSE 0.0 END", "realised": f"({roll('stddev_samp', 'r', 20)}) * sqrt(20)"},
+    {"pd": f"100 * ({roll('avg', 'p', 14)}) / nullif({roll('avg', 'tr', 14)}, 0)", "nd": f"100 * ({roll('avg', 'n', 14)}) / nullif({roll('avg', 'tr', 14)}, 0)", "hot": roll("quantile_cont({x}, 0.8)", "realised", 100, 1, 20), "calm": roll("quantile_cont({x}, 0.2)", "realised", 100, 1, 20)},
+    {"dx": "100 * abs(pd - nd) / nullif(pd + nd, 0)"}, {"adx": roll("avg", "dx", 14)}, *_RSI,
+    {
+        "regime": "CASE WHEN m IS NULL OR adx IS NULL THEN 'unknown' WHEN realised > hot AND adx > 25 AND close > m THEN 'volatile_up' WHEN realised > hot AND adx > 25 THEN 'volatile_down' WHEN realised > hot THEN 'volatile_range' WHEN adx > 25 AND close > m AND rsi > 70 THEN 'overbought_up' "
+        "WHEN adx > 25 AND close <= m AND rsi < 30 THEN 'oversold_down' WHEN adx > 25 AND close > m THEN 'up' WHEN adx > 25 THEN 'down' WHEN realised < calm THEN 'calm' ELSE 'range' END"
+    },
+]
+
+
+@query(staged_sql(_RULED, [], plain=("regime",)))
 def rule_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.rule_regimes(bars(spark, sf_dir)).select("symbol", "ts", "regime")
 
@@ -118,13 +130,24 @@ def zone_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regimes.fingerprints(_zoned(spark, sf_dir), "zone", ["close", "volume"]))
 
 
-@query()
+@query(f"""{_ZONED}, l AS (SELECT symbol, ts, zone, 'close' AS indicator, close AS value FROM z UNION ALL SELECT symbol, ts, zone, 'volume', volume FROM z), g AS (SELECT zone AS label, indicator, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS std, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75 FROM l GROUP BY 1, 2),
+m AS (SELECT symbol, ts, label, sum(CASE WHEN value BETWEEN p25 AND p75 THEN 1.0 ELSE 0.0 END) AS hits, round(sum(coalesce(abs(value - median) / nullif(std, 0), 0)), 9) AS away FROM l JOIN g USING (indicator) GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY hits DESC, away, label) AS k FROM m) SELECT symbol, ts, label AS matched FROM k WHERE k = 1""")
 def match_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     zoned = _zoned(spark, sf_dir)
     return regimes.match_fingerprints(zoned, regimes.fingerprints(zoned, "zone", ["close", "volume"]), "zone", ["close", "volume"])
 
 
-@query()
+_LADDER = "CASE WHEN {x} / nullif({m}, 0) > 1.5 THEN 'high' WHEN {x} / nullif({m}, 0) < 0.67 THEN 'low' ELSE 'medium' END"
+
+
+@query(f"""{_B}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts)::DOUBLE AS i, close / nullif({lag('close')}, 0) - 1 AS r FROM b), f AS (SELECT *, {roll('regr_slope({x}, i)', 'close', 24)} AS slope, {roll('avg', 'close', 24)} AS mid FROM i),
+l AS (SELECT *, CASE WHEN mid IS NOT NULL AND i::BIGINT % 12 = 0 THEN slope END AS ls, CASE WHEN mid IS NOT NULL AND i::BIGINT % 12 = 0 THEN mid END AS la FROM f),
+p AS (SELECT *, last_value(ls IGNORE NULLS) OVER {over(-1000000, -1)} AS ps, last_value(la IGNORE NULLS) OVER {over(-1000000, -1)} AS pa FROM l), c AS (SELECT *, CASE WHEN abs(ls - ps) > 0.5 OR abs(la - pa) > 20 THEN 1 ELSE 0 END AS cut FROM p), s AS (SELECT *, {run('sum', 'cut')}::BIGINT AS segment FROM c),
+g AS (SELECT symbol, segment, min(ts) AS start, max(ts) AS stop, count(*) AS bars, arg_min(open, ts) AS open, arg_max(close, ts) AS close, max(high) AS high, min(low) AS low, regr_slope(close, i) AS slope, stddev_samp(r) AS volatility, sum(volume) AS volume, avg(volume) AS mean_volume FROM s GROUP BY 1, 2),
+m AS (SELECT *, 100 * (close - open) / nullif(open, 0) AS change_pct, quantile_cont(volatility, 0.5) OVER (PARTITION BY symbol) AS mv, quantile_cont(mean_volume, 0.5) OVER (PARTITION BY symbol) AS mm FROM g),
+k AS (SELECT *, CASE WHEN slope > 0.1 THEN 'up' WHEN slope < -0.1 THEN 'down' ELSE 'flat' END AS direction, {_LADDER.format(x='volatility', m='mv')} AS volatility_class, {_LADDER.format(x='mean_volume', m='mm')} AS volume_class FROM m)
+SELECT symbol, segment, start, stop, bars, direction, volatility_class, volume_class, direction || '_' || volatility_class || '_' || volume_class AS zone_id, {round_sql('open', 'close', 'high', 'low', 'slope', 'volatility', 'volume', 'mean_volume', 'change_pct')} FROM k""")
 def segment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regimes.segment_matrix(regimes.segments(bars(spark, sf_dir))))
 
@@ -155,7 +178,14 @@ def trade_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.patterns(backtest.trades(_signalled(spark, sf_dir)))
 
 
-@query()
+@query(staged_sql(
+    [
+        *_RSI, {"sma": roll("avg", "close", 20), "sd": roll("stddev_samp", "close", 20)}, {"pb": "(close - (sma - 2 * sd)) / nullif((sma + 2 * sd) - (sma - 2 * sd), 0)"},
+        {"vote_rsi": "CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END", "vote_band": "CASE WHEN pb < 0 THEN 1 WHEN pb > 1 THEN -1 ELSE 0 END", "vote_trend": "CASE WHEN close > sma THEN 1 WHEN close < sma THEN -1 ELSE 0 END"},
+        {"score": "greatest(-1.0, least(1.0, (vote_rsi + vote_band + 2.0 * vote_trend) / 4))"},
+    ],
+    ["score"], plain=("vote_rsi", "vote_band", "vote_trend"),
+))
 def signal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     voted = signals.votes(ind.apply(bars(spark, sf_dir), "rsi_sma", "bollinger", "sma"))
     return rounded(voted.select("symbol", "ts", "vote_rsi", "vote_band", "vote_trend", signals.score({"vote_rsi": 1.0, "vote_band": 1.0, "vote_trend": 2.0}).alias("score")))
