@@ -3,11 +3,14 @@
 Pages of a host are aligned with one reference page of it (of the median node count, not empty or cut)
 by simple tree matching: nodes of equal tag match, and a dynamic program over their children finds the largest ordered
 mapping. A reference node whose text is the same in nearly all different pages of the host is template;
-the slots whose text varies are content. What is template, or is marked up as a menu, header, footer,
-sidebar, notice, advert, form or comment, is left out; the article's other blocks are the text.
+the slots whose text varies are content. The host's content slot is the reference node that most pages have as the
+lowest one over all their varying text but what is marked up as a menu, header, footer, sidebar, notice,
+advert, form or comment; the blocks under the node that matches it in a page, without template and marked
+parts, are the text. A page that has no such node, or whose host has too few pages to tell, falls back on its
+article or main element.
 
 Only skeletons of pages (tags, depths, text hashes) are shuffled for the alignment, and hosts with very
-many pages are looked up by broadcast. A page's template nodes come back to it by a join.
+many pages are looked up by broadcast. A page's template nodes and slot come back to it by a join.
 
 Defined results: a null or empty page has empty text; a host with few different pages has no template;
 equal pages count once; rows with the same id each get a result; broken markup is closed as browsers do,
@@ -33,7 +36,7 @@ from tidebars.llm.common import in_blocks, lookup, materialize
 LEAST_PAGES = 4
 TEMPLATE_SHARE = 0.9
 #: Deeper nodes count as of this depth in the alignment.
-MOST_DEPTH = 60
+MOST_DEPTH = 400
 
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -148,18 +151,24 @@ class Page:
             self._bound(self.tags[node])
         del self._open[k:]
 
-    def text(self, template: frozenset[int] = frozenset()) -> str:
-        """The article's blocks without the own texts of template nodes."""
-        dropped, roots = [False] * len(self.tags), {"article": [], "main": []}
-        held = [False] * len(self.tags)
+    def dropped(self) -> list[bool]:
+        """Of each node whether it or one above it is marked up as no article text."""
+        dropped, held = [False] * len(self.tags), [False] * len(self.tags)
         for k in range(1, len(self.tags)):
             up = self.parents[k]
             held[k] = held[up] or self.tags[up] in ("article", "main")
             own = self.marked[k] or self.tags[k] in DROPPED or self.tags[k] == "header" and not held[k]
             dropped[k] = dropped[up] or own and self.tags[k] not in ("body", "html")
-            if self.tags[k] in roots and not dropped[k]:
-                roots[self.tags[k]].append(k)
-        chosen = set(roots["article"] or roots["main"])
+        return dropped
+
+    def text(self, template: frozenset[int] = frozenset(), slot: int | None = None) -> str:
+        """The blocks under slot (without one: the article's), without the own texts of template nodes."""
+        dropped = self.dropped()
+        if slot is None:
+            tagged = {t: [k for k, own in enumerate(self.tags) if own == t and not dropped[k]] for t in ("article", "main")}
+            chosen = set(tagged["article"] or tagged["main"])
+        else:
+            chosen = {slot}
         inside = [not chosen] * len(self.tags)
         for k in range(1, len(self.tags)):
             inside[k] = inside[k] or k in chosen or inside[self.parents[k]]
@@ -174,17 +183,18 @@ class Page:
         return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
     def skeleton(self) -> np.ndarray:
-        """Tag hash, depth and text hash of each node (0 without text) in page order."""
+        """Tag hash, depth, text hash (0 without text) and whether it is dropped, of each node in page order."""
         own: list[list[str]] = [[] for _ in self.tags]
         for node, text in self.items:
             if text is not None:
                 own[node].append(text)
         texts = [" ".join("".join(t).split()) for t in own]
-        out = np.zeros((len(self.tags), 3), np.int64)
+        out = np.zeros((len(self.tags), 4), np.int64)
         out[:, 0] = pd.util.hash_array(np.array(self.tags, dtype=object), categorize=False).view(np.int64)
         out[:, 1] = np.minimum(self.depths, MOST_DEPTH)
         hashes = pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64)
         out[:, 2] = np.where(np.array([bool(t) for t in texts]), hashes | 1, 0)
+        out[:, 3] = self.dropped()
         return out
 
 
@@ -254,6 +264,37 @@ def align(page: np.ndarray, reference: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def _parents(skeleton: np.ndarray) -> list[int]:
+    out = [0] * len(skeleton)
+    for k, own in enumerate(_children(skeleton)):
+        for child in own:
+            out[child] = k
+    return out
+
+
+def _text_places(page: np.ndarray, pairs: dict[int, int], same: set[int]) -> list[int]:
+    """Where the page's texts that aren't dropped lie in the reference: the node that matches, or matches the nearest
+    one above; as -1 - node if the text is that of the matching node, so that it may be template."""
+    parents, out = _parents(page), []
+    for k in range(len(page)):
+        if page[k, 2] and not page[k, 3]:
+            at = k
+            while at not in pairs:
+                at = parents[at]
+            out.append(-1 - pairs[k] if k in same else pairs[at])
+    return out
+
+
+def _lowest_over(nodes: set[int], parents: list[int]) -> int | None:
+    """The lowest node that all of nodes are, or are under; parents come before their children."""
+    some = sorted(nodes)
+    while len(some) > 1:
+        last = some.pop()
+        if parents[last] not in some:
+            some = sorted([*some, parents[last]])
+    return some[0] if some else None
+
+
 def _cut(text: str) -> bool:
     """Whether the page ends inside a tag, or html or body is opened and never closed."""
     low = text.lower()
@@ -279,23 +320,45 @@ def _skeletons(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
 
 
 def _alignments(pages: DataFrame) -> DataFrame:
-    """(host, print, own, reference): nodes of each different page with the text of the reference node they match."""
+    """(host, print, own, reference, same, places): matching nodes of each different page and its reference, those with
+    equal texts, and where its texts lie (_text_places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, ref = [], []
+            parts: list[list] = [[], [], [], []]
             for page, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = (np.frombuffer(x, np.int64).reshape(-1, 3) for x in (page, reference))
-                same = [(i, j) for i, j in align(a, b) if a[i, 2] and a[i, 2] == b[j, 2]]
-                own.append([i for i, _ in same])
-                ref.append([j for _, j in same])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(ref, pa.list_(pa.int32()))], ["host", "print", "own", "reference"])
+                a, b = (np.frombuffer(x, np.int64).reshape(-1, 4) for x in (page, reference))
+                pairs = dict(align(a, b))
+                same = {i for i, j in pairs.items() if a[i, 2] and a[i, 2] == b[j, 2]}
+                for part, values in zip(parts, (list(pairs), list(pairs.values()), [pairs[i] for i in same], _text_places(a, pairs, same))):
+                    part.append(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in parts)], ["host", "print", "own", "reference", "same", "places"])
+
+    return pages.select("host", "print", "skeleton", "reference").mapInArrow(run, "host string, print long, own array<int>, reference array<int>, same array<int>, places array<int>")
+
+
+def _page_slots(aligned: DataFrame) -> DataFrame:
+    """(host, slot): of each page the lowest reference node over all its texts that aren't template. aligned: with the
+    host's template nodes and the reference's skeleton."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[int]] = {}
+        for batch in batches:
+            out = []
+            for places, nodes, reference in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if reference not in known:
+                    known.clear()
+                    known[reference] = _parents(np.frombuffer(reference, np.int64).reshape(-1, 4))
+                template = set(nodes or ())
+                varying = {p if p >= 0 else -1 - p for p in places if p >= 0 or -1 - p not in template}
+                out.append(_lowest_over(varying, known[reference]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], ["host", "slot"])
 
-    return pages.select("host", "print", "skeleton", "reference").mapInArrow(run, "host string, print long, own array<int>, reference array<int>")
+    return aligned.select("host", "places", "nodes", "reference_skeleton").mapInArrow(run, "host string, slot int")
 
 
 def template_nodes(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
-    """(__key, template): the template nodes of each page that has any. pages: with __key."""
+    """(__key, template, slot): the template nodes and the content slot's node of each page of a host with enough pages. pages: with __key."""
     every = materialize(_skeletons(pages, url_col, text_col), "skeletons")
     different = materialize(every.groupBy("host", "print").agg(F.min("nodes").alias("nodes"), F.min("__key").alias("__key"), F.min("cut").alias("cut")), "different")
     # the reference is a page of the median node count; empty and cut ones only where a host has no other
@@ -310,13 +373,19 @@ def template_nodes(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
     once = materialize(once.select("host", "print", "skeleton"), "pages")
     references = materialize(hosts.join(once, ["host", "print"]).select("host", "pages", F.col("skeleton").alias("reference")), "references")
     aligned = materialize(_alignments(lookup(once, references, "host", "pages")), "aligned")
-    counts = aligned.select("host", F.explode("reference").alias("node")).groupBy("host", "node").count()
+    counts = aligned.select("host", F.explode("same").alias("node")).groupBy("host", "node").count()
     common = counts.join(hosts.select("host", "pages"), "host").where(F.col("count") >= TEMPLATE_SHARE * F.col("pages"))
-    templates = materialize(common.groupBy("host").agg(F.collect_set("node").alias("nodes"), F.max("pages").alias("pages")), "templates")
-    met = lookup(aligned, templates, "host", "pages").where(F.col("nodes").isNotNull())
-    pairs = F.filter(F.arrays_zip("own", "reference"), lambda p: F.array_contains("nodes", p["reference"]))
-    of_print = met.select("host", "print", F.transform(pairs, lambda p: p["own"]).alias("template")).where(F.size("template") > 0)
-    return materialize(every.select("__key", "host", "print").join(of_print, ["host", "print"]).select("__key", "template").dropDuplicates(["__key"]), "template")
+    common = common.groupBy("host").agg(F.collect_set("node").alias("nodes"))
+    templates = materialize(references.select("host", "pages", F.col("reference").alias("reference_skeleton")).join(common, "host", "left"), "templates")
+    met = materialize(lookup(aligned, templates, "host", "pages"), "met")
+    # the slot that most pages have, of equally common ones the one further up
+    votes = _page_slots(met).where("slot is not null").groupBy("host", "slot").count()
+    slots = votes.groupBy("host").agg(F.max_by("slot", F.shiftleft("count", 32) - F.col("slot")).alias("slot"), F.sum("count").alias("votes"))
+    met = lookup(met.drop("reference_skeleton", "places"), materialize(slots, "slots"), "host", "votes")
+    pairs = F.filter(F.arrays_zip("own", "reference"), lambda p: F.array_contains("nodes", p["reference"]) & F.array_contains("same", p["reference"]))
+    root = F.get("own", F.array_position("reference", F.col("slot")).cast("int") - 1)
+    of_print = met.select("host", "print", F.transform(pairs, lambda p: p["own"]).alias("template"), F.when(F.array_contains("reference", F.col("slot")), root).alias("slot"))
+    return materialize(every.select("__key", "host", "print").join(of_print, ["host", "print"]).select("__key", "template", "slot").dropDuplicates(["__key"]), "template")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -327,9 +396,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources, templates = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            sources, templates, slots = (batch.column(k).to_pylist() for k in (2, 3, 4))
             for a, b in in_blocks(sources):
-                texts = [Page(t or "").text(frozenset(x or ())) for t, x in zip(sources[a:b], templates[a:b])]
+                texts = [Page(t or "").text(frozenset(x or ()), k) for t, x, k in zip(sources[a:b], templates[a:b], slots[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    return joined.select(id_col, url_col, text_col, "template").mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return joined.select(id_col, url_col, text_col, "template", "slot").mapInArrow(run, f"{kinds}, text string, n_chars long")
