@@ -222,6 +222,22 @@ def test_template_is_what_stays_the_same(spark):
     assert found[3] == "story 3 begins\nand ends 9" and found[9] == "Follow us everywhere"
 
 
+def test_slot_of_the_host_and_not_a_tag_is_the_content(spark):
+    """Teasers in article elements are the same on all pages; the story stands in a plain division."""
+    page = "<body><div><article><p>Read this too</p></article></div><div><h2>head {0}</h2><p>story {0} begins</p><p>and ends {1}</p></div><div class='comments'><p>reader {0}</p></div></body>"
+    rows = [(k, f"http://h/{k}", page.format(k, k * k)) for k in range(8)] + [(9, "http://alone/", page.format(9, 81))]
+    found = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"head {k}\nstory {k} begins\nand ends {k * k}" for k in range(8)) and found[9] == "Read this too"
+
+
+def test_very_deep_and_very_long_pages(spark):
+    deep = "<div>" * 1500 + "<p>bottom {0}</p>" + "</div>" * 1500
+    wide = "<article>" + "".join(f"<p>line {k} of {{0}}</p>" for k in range(400)) + "</article>"
+    rows = [(k, f"http://d/{k}", deep.format(k)) for k in range(5)] + [(10 + k, f"http://w/{k}", wide.format(k)) for k in range(5)]
+    found = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "bottom 3" and found[12] == "\n".join(f"line {k} of 2" for k in range(400))
+
+
 # --- 5
 
 
@@ -290,6 +306,26 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Gzip members, records of other kinds (one in segments), digests in base 32, in upper case or not given."""
+    import base64
+    import gzip
+
+    def record(kind, name, block, *fields):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n".encode() + b"".join(f"{f}\r\n".encode() for f in fields) + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    digest = hashlib.sha1(body)
+    archive = [
+        record("warcinfo", "a", b"software: x"), record("request", "b", b"GET / HTTP/1.1\r\n\r\n", "WARC-Segment-Number: 1"), record("continuation", "b2", b"x", "WARC-Segment-Origin-ID: <b>", "WARC-Segment-Number: 2", "WARC-Segment-Total-Length: 19"),
+        record("response", "c", http, "X-Page-ID: 1", "WARC-Payload-Digest: sha1:" + base64.b32encode(digest.digest()).decode()), record("response", "d", http, "X-Page-ID: 2"), record("resource", "e", body, "X-Page-ID: 3", f"WARC-Payload-Digest: SHA1:{digest.hexdigest().upper()}"),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in archive))
+    found = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert found == {k: (len(body), digest.hexdigest(), kind) for k, kind in (("1", "response"), ("2", "response"), ("3", "resource"))}
+
+
 def test_segments_are_verified():
     parts = [{"number": k, "total": 6 if k == 3 else -1, "block": b"ab"} for k in (3, 1, 2)]
     assert warc.join_segments("x", parts) == b"ababab"
@@ -432,6 +468,24 @@ def test_sharding(docs, none):
     assert sharding.plan(none, 16).count() == 0
 
 
+def test_draws_by_hand_and_clashing_columns(spark):
+    from math import log
+
+    rows = [(k, "a text", 7, 8, 9) for k in [*range(300), 5, 5]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int, grown_shard int")
+    for r in sharding.plan(table, 16).collect():
+        draws = [-log((int(hashlib.md5(f"{r['doc_id']}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) for s in range(17)]
+        assert r["shard"] == min(range(16), key=draws.__getitem__) and r["grown_shard"] == min(range(17), key=draws.__getitem__)
+    placed = sharding.with_slots(sharding.assign(table, "doc_id", [1.0] * 4), "doc_id")
+    assert sorted(placed.columns) == sorted(["doc_id", "text", "shard", "slot", "grown_shard"]) and placed.count() == len(rows)
+
+
+def test_one_repeated_key_is_dealt_over_many_windows(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("x"))
+    placed = sharding.with_slots(sharding.assign(rows, "doc_id", [1.0] * 4), "doc_id", ("x",)).collect()
+    assert len({r["shard"] for r in placed}) == 1 and sorted(r["slot"] for r in placed) == list(range(4000))
+
+
 def test_weights_and_growth(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     counts = Counter(r["shard"] for r in sharding.assign(rows, "doc_id", [1.0, 1.0, 2.0]).collect())

@@ -5,7 +5,8 @@ space) and hashed; digests are grouped over the whole corpus, and of equal units
 rank (id, then place) stays. Every removed unit keeps its offsets in the original text.
 
 Defined results: null and empty texts have no units; rows with the same id are one document, whose rows
-lose no unit to each other; rows with a null id are left alone; an empty table gives an empty one.
+lose no unit to each other; rows with a null id are left alone; an empty table gives an empty one; a column
+named `removed` gives way to the result of `remove`.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """docs without repeated units (each with its line break) and with `removed`: their original (start, end)."""
     spans = repeats(docs, id_col, text_col, least_words).distinct()
     each = spans.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end"))).alias("__removed"))
-    joined = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).join(each, "__key", "left")
+    docs = docs.drop("removed")
+    joined = docs.withColumn("__of", F.xxhash64(F.col(id_col), F.col(text_col))).join(each.withColumnRenamed("__key", "__of"), "__of", "left")
     gone = F.transform("__removed", lambda r: r["unit"])
     lines = F.split(F.col(text_col), "\n", -1)
     clean = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")

@@ -6,7 +6,8 @@ moves between old shards. Places within a shard are dealt in two levels, so that
 the table is ever sorted in one task.
 
 Defined results: records with the same key share a shard and have slots of their own; a null key counts
-as the text 'null'; an empty table gives an empty one.
+as the text 'null', a null text as an empty one; columns named shard, slot or grown_shard give way to the
+results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -47,11 +48,13 @@ def assign(rows: DataFrame, key_col: str, weights: Sequence[float], grown_weight
 def with_slots(rows: DataFrame, key_col: str, order: Sequence[str] = ()) -> DataFrame:
     """rows of assign() with `slot`, gapless from 0 in each shard.
 
-    Rows of a shard go to buckets by hash; counts of all buckets (16**BUCKET_DIGITS a shard, whatever
+    Rows of a shard go to buckets by a hash of key and order; rows equal in all of these share one. Counts of all buckets (16**BUCKET_DIGITS a shard, whatever
     the input) give each bucket its first slot, and rows are numbered within their bucket.
     """
     key = F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
-    dealt = rows.withColumn("__bucket", F.substring(F.md5(F.concat(key, F.lit(":slot"))), 1, BUCKET_DIGITS))
+    # a key that many rows have goes to many buckets, by what `order` tells its rows apart
+    apart = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order]
+    dealt = rows.withColumn("__bucket", F.substring(F.md5(F.concat_ws(":", key, *apart, F.lit("slot"))), 1, BUCKET_DIGITS))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("shard", "__bucket").count()
     firsts = counts.select("shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))

@@ -8,7 +8,9 @@ segment number, verifies the total length, decodes the chunked framing and check
 
 The writer rolls its files after a number of records of bounded size, so that the reader, which takes a
 file at a time, needs bounded memory. Archives are written and read by Spark's own sources (text,
-binaryFile) and can be in any store it reaches.
+binaryFile) and can be in any store it reaches. The reader also takes archives of other writers: gzip
+members, payload digests in base 32 or not given, and records of kinds that hold no page (warcinfo,
+request, metadata), which it leaves out.
 
 Defined results: a null payload counts as empty; rows with the same id each make a record; a null id is
 written as such and read back as null; a segment that is missing or a length or digest that differs
@@ -17,6 +19,8 @@ raises a ValueError that names the record.
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -35,7 +39,10 @@ CHUNK_BYTES = 4096
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 
-_PARSED = "origin string, number int, total long, block binary, page_id string, refers_to string, digest string"
+#: Kinds of records that hold a page's payload, as an HTTP message or alone.
+PAGES, ALONE = ("response", "revisit"), ("resource", "conversion")
+
+_PARSED = "origin string, number int, total long, block binary, page_id string, refers_to string, digest string, kind string"
 _READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
@@ -161,14 +168,24 @@ def payload(block: bytes) -> bytes | int:
     return body if body else int(fields.get("content-length", 0))
 
 
-def _decoded(name: str, block: bytes, digest: str, refers: str | None) -> int:
-    body = payload(block)
-    if refers is not None:
-        return body if isinstance(body, int) else len(body)
+def plain_digest(named: str | None) -> str | None:
+    """A SHA-1 digest field in lower-case hexadecimal; None if it isn't given or is of another kind."""
+    kind, _, value = (named or "").strip().rpartition(":")
+    if not value or kind.lower() not in ("", "sha1"):
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def _decoded(name: str, block: bytes, digest: str | None, kind: str) -> tuple[int, str | None]:
+    """Bytes and digest of a record's payload; a revisit without a body has what its header fields say."""
+    body = block if kind in ALONE else payload(block)
+    if kind == "revisit":
+        return body if isinstance(body, int) else len(body), digest
     body = b"" if isinstance(body, int) else body
-    if hashlib.sha1(body).hexdigest() != digest:
+    found = hashlib.sha1(body).hexdigest()
+    if digest is not None and found != digest:
         raise ValueError(f"record {name}: the payload's digest differs")
-    return len(body)
+    return len(body), found
 
 
 def join_segments(name: str, parts: list[dict]) -> bytes:
@@ -187,21 +204,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("page_id", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("bytes", pa.int64())])
+        schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("page_id", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("kind", pa.string()), ("bytes", pa.int64())])
         for batch in batches:
-            for archive in batch.column(0):
-                rows = []
-                for head, block in parse(archive.as_py()):
-                    own = head["warc-record-id"]
-                    number = int(head.get("warc-segment-number", 0))
+            for content in batch.column(0):
+                archive, rows = content.as_py(), []
+                for head, block in parse(gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive):
+                    own, kind, number = head["warc-record-id"], head["warc-type"], int(head.get("warc-segment-number", 0))
                     row = {"origin": head.get("warc-segment-origin-id", own), "number": number, "total": int(head.get("warc-segment-total-length", -1))}
-                    if head["warc-type"] != "continuation":
+                    if kind != "continuation":
                         page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
-                        row |= {"page_id": page and unquote(page), "refers_to": refers and unquote(refers), "digest": head["warc-payload-digest"].removeprefix("sha1:")}
+                        row |= {"kind": kind if kind in PAGES + ALONE else "other", "page_id": page and unquote(page), "refers_to": refers and unquote(refers), "digest": plain_digest(head.get("warc-payload-digest"))}
                     if number:
                         row["block"] = block
-                    else:
-                        row["bytes"] = _decoded(own, block, row["digest"], row["refers_to"])
+                    elif row["kind"] != "other":
+                        row["bytes"], row["digest"] = _decoded(own, block, row["digest"], row["kind"])
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -209,16 +225,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     segment = F.when(F.col("number") > 0, F.struct("number", "total", "block"))
     whole = records.groupBy("origin").agg(
         F.collect_list(segment).alias("parts"),
-        *[F.max(c).alias(c) for c in ("page_id", "refers_to", "digest", "bytes")],
+        *[F.max(c).alias(c) for c in ("page_id", "refers_to", "digest", "kind", "bytes")],
     )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                if r["kind"] == "other":
+                    continue
                 if r["parts"]:
-                    r["bytes"] = _decoded(r["origin"], join_segments(r["origin"], r["parts"]), r["digest"], r["refers_to"])
-                rows.append((r["page_id"], r["bytes"], r["digest"], "response" if r["refers_to"] is None else "revisit", r["refers_to"]))
+                    r["bytes"], r["digest"] = _decoded(r["origin"], join_segments(r["origin"], r["parts"]), r["digest"], r["kind"])
+                rows.append((r["page_id"], r["bytes"], r["digest"], r["kind"], r["refers_to"]))
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
