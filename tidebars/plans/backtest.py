@@ -127,3 +127,55 @@ def grid(bars: DataFrame, rules: list[Rules], signal: str = "signal") -> DataFra
 def patterns(found: DataFrame) -> DataFrame:
     """Trades by hour of entry and reason of exit."""
     return found.groupBy(F.hour("entry_ts").alias("hour"), "reason").agg(F.count("*").alias("trades"), F.avg("pnl_pct").alias("mean_gain"), F.avg("bars").alias("mean_bars"))
+
+
+def on_off(bars: DataFrame, position: str) -> DataFrame:
+    """Per symbol: mean, population deviation and growth of the held position's returns, and of the price's own."""
+    df = bars.withColumn("__r", safe(F.col("close"), before("close")) - 1).withColumn("__s", before(position) * F.col("__r"))
+    grown = lambda c: F.exp(F.sum(F.log1p(F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(-0.999999))))) - 1
+    out = df.groupBy("symbol").agg(*[e for n, c in (("strategy", "__s"), ("holding", "__r")) for e in (F.avg(c).alias(f"{n}_mean"), F.stddev_pop(c).alias(f"{n}_std"), grown(c).alias(f"{n}_growth"))])
+    return out.withColumns({f"{n}_sharpe": safe(F.col(f"{n}_mean"), F.col(f"{n}_std")) for n in ("strategy", "holding")})
+
+
+# Weights of an indicator class's measures.
+CLASS_WEIGHTS = {
+    "trend": {"capture": 0.4, "win_rate": 0.2, "profit_factor": 0.2, "calm": 0.2},
+    "momentum": {"reversal": 0.4, "win_rate": 0.3, "profit_factor": 0.2, "calm": 0.1},
+    "volume": {"volume": 0.4, "win_rate": 0.2, "profit_factor": 0.2, "calm": 0.2},
+    "volatility": {"volatility": 0.4, "win_rate": 0.2, "profit_factor": 0.2, "calm": 0.2},
+}
+
+
+def class_scores(found: DataFrame, bars: DataFrame, indicator_class: str, weights: dict[str, dict[str, float]] = CLASS_WEIGHTS) -> DataFrame:
+    """Per symbol the measures of its trades, each within 0 and 1, and their weighted sum for a class of indicators.
+
+    capture: mean gain, where positive, of which 4 percent count as all; reversal: trades that end with the move of the
+    bar before their entry turned; volume, volatility: entries above the symbol's median volume and bar range; calm:
+    one less the share of trades that a stop ended. found: of trades(), at bars' times.
+    """
+    shown = bars.withColumns({"__was": safe(F.col("close"), before("close")) - 1, "__range": F.col("high") - F.col("low")})
+    middle = shown.groupBy("symbol").agg(F.percentile("volume", F.lit(0.5)).alias("__v"), F.percentile("__range", F.lit(0.5)).alias("__w"))
+    entry = shown.select("symbol", F.col("ts").alias("entry_ts"), "__was", "__range", F.col("volume").alias("__volume"))
+    df = found.join(entry, ["symbol", "entry_ts"], "left").join(F.broadcast(middle), "symbol")
+    yes = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    g = F.col("pnl_pct")
+    gains, losses = F.sum(F.when(g > 0, g).otherwise(0.0)), -F.sum(F.when(g < 0, g).otherwise(0.0))
+    turned = (F.signum("__was") == -F.col("side")) & (g > 0)
+    out = df.groupBy("symbol").agg(
+        F.count("*").alias("trades"), yes(g > 0).alias("win_rate"), F.coalesce(safe(gains, gains + losses), F.lit(0.0)).alias("profit_factor"), F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(g / 100, F.lit(0.0)) * 25))).alias("capture"),
+        yes(turned).alias("reversal"), yes(F.col("__volume") > F.col("__v")).alias("volume"), yes(F.col("__range") > F.col("__w")).alias("volatility"), (1 - yes(F.col("reason") == "stop")).alias("calm"),
+    )
+    parts = [F.col(c) * w for c, w in weights[indicator_class].items()]
+    return out.withColumn("score", sum(parts[1:], parts[0]))
+
+
+def by_part(parted: DataFrame, rules: Rules = Rules(), signal: str = "signal") -> DataFrame:
+    """Trades of each symbol and part of a split, run apart. parted: bars with `part`."""
+    chosen = parted.select("symbol", "part", "ts", "close", "high", "low", F.coalesce(F.col(signal), F.lit(0)).cast("int").alias("signal"))
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ts", kind="stable")
+        found = _run(key[0], b["ts"].to_numpy(), *(b[c].to_numpy() for c in ("close", "high", "low", "signal")), b["ts"].dt.date.to_numpy(), rules)
+        return pd.DataFrame(found, columns=[part.split()[0] for part in TRADES.split(", ")]).assign(part=key[1])
+
+    return chosen.groupBy("symbol", "part").applyInPandas(run, TRADES + ", part string")

@@ -35,6 +35,8 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names; in an own temporary one where that is unset."""
+    """A fresh path in the shared folder that spark.checkpoint.dir names; where that is unset, in an own temporary one, in local mode alone."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidebars-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
