@@ -1,7 +1,13 @@
-"""Window frames over a symbol's bars, null until they are full, as rolling windows with a minimum of rows are."""
+"""Window frames over a symbol's bars, null until they are full, as rolling windows with a minimum of rows are.
+
+Windows run by symbol. `blocked` cuts a symbol's history into blocks first, each led by the rows that its windows look
+back on, so that one symbol with all the bars takes many tasks; what looks back without bound can't be cut so.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -115,4 +121,17 @@ def halo(df: DataFrame, lookback: int, block_rows: int) -> DataFrame:
     block = F.floor(F.col("__row") / block_rows)
     last = F.floor((F.col("__row") + lookback) / block_rows)
     copies = numbered.withColumn("__own", block).withColumn("__block", F.explode(F.sequence(block, last)))
-    return copies.withColumn("__halo", F.col("__block") != F.col("__own")).drop("__day", "__start", "__own", "__row")
+    return copies.withColumn("__halo", F.col("__block") != F.col("__own")).drop("__day", "__start", "__own")
+
+
+#: Rows of a symbol that one task holds in `blocked`, besides those before them.
+BLOCK_ROWS = 32768
+
+
+def blocked(df: DataFrame, build: Callable[[DataFrame], DataFrame], lookback: int, block_rows: int | None = None) -> DataFrame:
+    """build(df), run by blocks of a symbol. No value that build adds may depend on more than `lookback` rows before its own,
+    or on any after it. Within build, symbol names the block, and __row counts the symbol's rows from 0."""
+    cut = halo(df, lookback, block_rows or BLOCK_ROWS).withColumnRenamed(KEY, "__symbol")
+    out = build(cut.withColumn(KEY, F.concat_ws("#", "__symbol", F.col("__block").cast("string"))))
+    kept = [F.col("__symbol").alias(KEY) if c == KEY else F.col(c) for c in out.columns if c == KEY or not c.startswith("__")]
+    return out.where(~F.col("__halo")).select(*kept)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebars.functions.frames import before, carry, change, deviation, highest, lowest, mean, ordered, quantile, returns, rolling, rows, safe, so_far, stacked, total, values, weighted, whole
+from tidebars.functions.frames import before, blocked, carry, change, deviation, highest, lowest, mean, ordered, quantile, returns, rolling, rows, safe, so_far, stacked, total, values, weighted, whole
 
 def typical() -> Column:
     return (F.col("high") + F.col("low") + F.col("close")) / 3
@@ -36,6 +36,12 @@ class Spec:
 
 
 INDICATORS: dict[str, Spec] = {}
+#: At their defaults, indicators look back on fewer rows than this, but for those of UNBOUNDED.
+LOOKBACK = 256
+#: These carry a state or running totals, look ahead, or go by calendar days, and run by symbol.
+UNBOUNDED = frozenset(
+    "accumulation cma donchian_trend fractals ichimoku liquidity_zone obv pivots range_filter_direction ssl_channel stages supply_demand swing_labels vwap vwap_anchored".split()
+)
 
 
 def indicator(kind: str):
@@ -46,11 +52,15 @@ def indicator(kind: str):
     return add
 
 
-def apply(bars: DataFrame, *names: str) -> DataFrame:
-    """bars with the columns of each named indicator at its defaults."""
-    for name in names:
-        bars = INDICATORS[name].build(bars)
-    return bars
+def apply(bars: DataFrame, *names: str, whole: bool = False, block_rows: int | None = None) -> DataFrame:
+    """bars with the columns of each named indicator at its defaults; by blocks of a symbol unless one is unbounded, or whole is set."""
+
+    def build(df: DataFrame) -> DataFrame:
+        for name in names:
+            df = INDICATORS[name].build(df)
+        return df
+
+    return build(bars) if whole or UNBOUNDED & set(names) else blocked(bars, build, LOOKBACK, block_rows)
 
 
 def true_range() -> Column:

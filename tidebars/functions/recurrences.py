@@ -1,9 +1,10 @@
 """Indicators that carry a state from bar to bar.
 
-Exponential means are linear recurrences: `ema` folds them exactly over a symbol's history in one Arrow
-pass, many at once. Stops, ratchets and the like are not linear; each is a small step function over one
-symbol's bars in time order. A symbol's bars are one group (bars, not ticks: ten years of minutes are
-five million rows); what a rolling window can express is in `indicators` instead.
+Exponential means are linear recurrences: what lies `memory` rows back weighs less than a double can tell, so
+they are folded by blocks of a symbol, each led by so many rows, in one Arrow pass, many at once. Stops, ratchets and
+the like aren't linear and may remember without bound; each is a small step function over one symbol's bars
+in time order, whose bars are then one group (bars, not ticks: ten years of minutes are five million rows).
+What a rolling window can express is in `indicators` instead.
 """
 
 from __future__ import annotations
@@ -14,13 +15,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidebars.functions.frames import blocked
+
 #: name -> (function of a symbol's bars to named series, names of its columns)
 FOLDS: dict[str, tuple[Callable[[pd.DataFrame], dict[str, np.ndarray]], list[str]]] = {}
+#: Rows after which a fold has forgotten what was before; folds that aren't named here may not forget.
+MEMORY: dict[str, int] = {}
 
 
-def fold(*columns: str):
+def fold(*columns: str, memory: int | None = None):
     def add(step):
         FOLDS[step.__name__] = step, list(columns)
+        if memory:
+            MEMORY[step.__name__] = memory
         return step
 
     return add
@@ -41,8 +48,8 @@ def by_symbol(bars: DataFrame, step: Callable[[pd.DataFrame], dict], columns: li
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def apply(bars: DataFrame, *names: str) -> DataFrame:
-    """bars with the columns of the named folds, all in one pass."""
+def apply(bars: DataFrame, *names: str, whole: bool = False, block_rows: int | None = None) -> DataFrame:
+    """bars with the columns of the named folds, all in one pass; by blocks of a symbol if all of them forget, unless whole is set."""
     steps = [FOLDS[n][0] for n in names]
     columns = [c for n in names for c in FOLDS[n][1]]
 
@@ -52,7 +59,10 @@ def apply(bars: DataFrame, *names: str) -> DataFrame:
             found |= step(rows)
         return found
 
-    return by_symbol(bars, every, columns)
+    def build(df: DataFrame) -> DataFrame:
+        return by_symbol(df, every, columns)
+
+    return build(bars) if whole or set(names) - set(MEMORY) else blocked(bars, build, max(MEMORY[n] for n in names), block_rows)
 
 
 def _ewm(x, span: float | None = None, alpha: float | None = None, adjust: bool = True, least: int = 0) -> pd.Series:
@@ -74,7 +84,7 @@ def true_range(b: pd.DataFrame) -> pd.Series:
     return pd.concat([b["high"] - b["low"], (b["high"] - last).abs(), (b["low"] - last).abs()], axis=1).max(axis=1)
 
 
-@fold("ema_12", "ema_26", "ema_adj_20", "dema_20", "tema_20")
+@fold("ema_12", "ema_26", "ema_adj_20", "dema_20", "tema_20", memory=1024)
 def ema_family(b):
     """Recursive and adjusted exponential means, double and triple."""
     one = ema(b["close"], 20, False)
@@ -83,14 +93,14 @@ def ema_family(b):
     return {"ema_12": ema(b["close"], 12, False), "ema_26": ema(b["close"], 26, False), "ema_adj_20": ema(b["close"], 20), "dema_20": 2 * one - two, "tema_20": 3 * one - 3 * two + three}
 
 
-@fold("macd", "macd_signal", "macd_hist")
+@fold("macd", "macd_signal", "macd_hist", memory=1024)
 def macd(b):
     line = ema(b["close"], 12) - ema(b["close"], 26)
     signal = ema(line, 9)
     return {"macd": line, "macd_signal": signal, "macd_hist": line - signal}
 
 
-@fold("rsi_wilder")
+@fold("rsi_wilder", memory=1024)
 def rsi_wilder(b):
     step = b["close"].diff()
     gain, loss = rma(step.clip(lower=0).fillna(0.0), 14), rma((-step).clip(lower=0).fillna(0.0), 14)
@@ -98,14 +108,14 @@ def rsi_wilder(b):
         return {"rsi_wilder": np.where((loss == 0) & (gain > 0), 100.0, 100 - 100 / (1 + gain / loss.where(loss != 0)))}
 
 
-@fold("atr_wilder", "keltner_up", "keltner_low")
+@fold("atr_wilder", "keltner_up", "keltner_low", memory=1024)
 def atr_wilder(b):
     atr = rma(true_range(b), 14)
     mid = ema(b["close"], 20, False)
     return {"atr_wilder": atr, "keltner_up": mid + 2 * atr, "keltner_low": mid - 2 * atr}
 
 
-@fold("plus_di_wilder", "minus_di_wilder", "adx_wilder")
+@fold("plus_di_wilder", "minus_di_wilder", "adx_wilder", memory=1024)
 def adx_wilder(b):
     up, down = b["high"].diff(), -b["low"].diff()
     atr = rma(true_range(b), 14)
@@ -116,7 +126,7 @@ def adx_wilder(b):
     return {"plus_di_wilder": plus, "minus_di_wilder": minus, "adx_wilder": rma(dx, 14)}
 
 
-@fold("tsi", "tsi_signal")
+@fold("tsi", "tsi_signal", memory=1024)
 def tsi(b):
     step = b["close"].diff()
     top, bottom = ema(ema(step, 25), 13), ema(ema(step.abs(), 25), 13)
@@ -124,7 +134,7 @@ def tsi(b):
     return {"tsi": line, "tsi_signal": ema(line, 7)}
 
 
-@fold("bull_power", "bear_power")
+@fold("bull_power", "bear_power", memory=1024)
 def power(b):
     mid = ema(b["close"], 13)
     return {"bull_power": b["high"] - mid, "bear_power": b["low"] - mid}
@@ -142,7 +152,7 @@ def schaff(b):
     return {"stc": place(place(line)).clip(0, 100)}
 
 
-@fold("ha_open_rec", "ha_close_rec")
+@fold("ha_open_rec", "ha_close_rec", memory=1024)
 def heikin_ashi(b):
     """open = mean of the last open and close, recursively; close = mean of four prices."""
     close = ((b["open"] + b["high"] + b["low"] + b["close"]) / 4).to_numpy()
@@ -259,7 +269,7 @@ def mcginley_free(b, n: int = 14):
     return {"mcginley_free": mcginley_path(b["close"].to_numpy() + 100, n, False)}
 
 
-@fold("b_xtrender", "ema_stack", "ema_cross")
+@fold("b_xtrender", "ema_stack", "ema_cross", memory=4096)
 def ema_crosses(b):
     """Side of the mean of 7 against that of 14; 1 or -1 where the means of 20, 50 and 200 stand in order; crossings of 50 and 200."""
     apart = lambda n, m: np.sign((ema(b["close"], n) - ema(b["close"], m)).round(9))  # noqa: E731  means of the same values are one
@@ -280,7 +290,7 @@ def conditional_ema(b, n: int = 14):
     return {"conditional_ema": mean.where(up).ffill()}
 
 
-@fold("wolfpack", "tdfi", "range_size", "ehma")
+@fold("wolfpack", "tdfi", "range_size", "ehma", memory=1024)
 def ema_oscillators(b):
     """Mean of 3 less mean of 8; trend direction force of 13 over the largest of 39; twice smoothed mean step of 14 times 2.618;
     the exponential Hull mean of 16. All by recursive means."""

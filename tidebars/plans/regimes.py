@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidebars.functions import indicators as ind
 from tidebars.functions import recurrences
-from tidebars.functions.frames import before, carry, deviation, highest, lowest, mean, ordered, quantile, returns, rows, safe, stacked
+from tidebars.functions.frames import before, blocked, deviation, highest, lowest, mean, ordered, quantile, returns, rows, safe, stacked
 from tidebars.operators.runs import with_runs
 
 
@@ -25,15 +25,19 @@ def zone_scores(bars: DataFrame, threshold: float = 2.0, smoothing: int = 2, war
     their bounds; from 2 on it is High, from -2 down Low, and the state sets the weights. The weighted sum, as a
     mean of `smoothing` bars, gives the zone; a symbol's first warm_up bars are in zone 0.
     """
-    df = recurrences.apply(bars, "macd", "heikin_ashi", "ema_family")
-    df = ind.apply(df, "adx_mixed", "dynamic_bounds", "range_place", "candle_range", "volume_score")
+    return blocked(bars, lambda b: _zone_scores(b, threshold, smoothing, warm_up), 2048)
+
+
+def _zone_scores(bars: DataFrame, threshold: float, smoothing: int, warm_up: int) -> DataFrame:
+    df = recurrences.apply(bars, "macd", "heikin_ashi", "ema_family", whole=True)
+    df = ind.apply(df, "adx_mixed", "dynamic_bounds", "range_place", "candle_range", "volume_score", whole=True)
     middle = lambda n: (highest("high", n) + lowest("low", n)) / 2
     body, reach = F.abs(F.col("ha_close_rec") - F.col("ha_open_rec")), F.greatest("high", "ha_open_rec", "ha_close_rec") - F.least("low", "ha_open_rec", "ha_close_rec")
     rising = F.when(F.col("ha_close_rec") > F.col("ha_open_rec"), 1).otherwise(-1)
     over = lambda test: F.when(test, 1).otherwise(-1)
     strong = F.col("adx_mixed") >= 20
     df = df.withColumns({
-        "__n": F.row_number().over(ordered()), "__fast": mean("close", 20), "__slow": mean("close", 50), "__a": middle(9), "__b": middle(26), "__sd": deviation("close", 20),
+        "__fast": mean("close", 20), "__slow": mean("close", 50), "__a": middle(9), "__b": middle(26), "__sd": deviation("close", 20),
         "__tr": F.when(before("close").isNotNull(), ind.true_range()), "__ha": F.when(safe(body, reach) < 0.1, 0).otherwise(rising),
         "__adx": F.when(strong & (F.col("plus_di_mixed") > F.col("minus_di_mixed")), 1).when(strong & (F.col("minus_di_mixed") > F.col("plus_di_mixed")), -1).otherwise(0),
     })
@@ -50,7 +54,7 @@ def zone_scores(bars: DataFrame, threshold: float = 2.0, smoothing: int = 2, war
     weight = lambda k: F.when(F.col("activity") == "High", ZONE_WEIGHTS["High"][k]).when(F.col("activity") == "Low", ZONE_WEIGHTS["Low"][k]).otherwise(ZONE_WEIGHTS["Medium"][k])
     df = df.withColumn("__net", F.col("trend_score") * weight(0) + F.col("momentum_score") * weight(1) + F.col("price_score") * weight(2))
     df = df.withColumn("score", mean("__net", smoothing))
-    zone = F.when(F.col("__n") <= warm_up, 0).when(F.col("score") >= threshold, 1).when(F.col("score") <= -threshold, -1).otherwise(0)
+    zone = F.when(F.col("__row") < warm_up, 0).when(F.col("score") >= threshold, 1).when(F.col("score") <= -threshold, -1).otherwise(0)
     return df.withColumn("zone", zone).select(*bars.columns, "trend_score", "momentum_score", "price_score", "activity_score", "activity", "score", "zone")
 
 
@@ -64,7 +68,11 @@ def band_zones(bars: DataFrame, n: int = 20, k: float = 0.5) -> DataFrame:
 
 def rule_regimes(bars: DataFrame, n: int = 100) -> DataFrame:
     """The first of ordered rules that holds, on quantiles of the n bars before."""
-    df = ind.apply(bars, "adx_sma", "realised", "rsi_sma")
+    return blocked(bars, lambda b: _rule_regimes(b, n), 2 * ind.LOOKBACK + n)
+
+
+def _rule_regimes(bars: DataFrame, n: int) -> DataFrame:
+    df = ind.apply(bars, "adx_sma", "realised", "rsi_sma", whole=True)
     df = df.withColumns({"__hot": quantile("realised", 0.8, n, shift=1, least=20), "__calm": quantile("realised", 0.2, n, shift=1, least=20), "__m": mean("close", 50)})
     trending, hot, calm = F.col("adx_sma") > 25, F.col("realised") > F.col("__hot"), F.col("realised") < F.col("__calm")
     up = F.col("close") > F.col("__m")

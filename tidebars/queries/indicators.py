@@ -24,7 +24,7 @@ def _register(name: str, build, stages: list[dict[str, str]] | None, outputs: li
 
 
 def _window(name: str, stages: list[dict[str, str]], outputs: list[str], plain: tuple[str, ...] = ()) -> None:
-    _register(f"ind_{name}", ind.INDICATORS[name].build, stages, outputs, plain)
+    _register(f"ind_{name}", lambda b: ind.apply(b, name), stages, outputs, plain)
 
 
 def _weights(x: str, weights: list[float]) -> str:
