@@ -161,14 +161,15 @@ class Page:
             dropped[k] = dropped[up] or own and self.tags[k] not in ("body", "html")
         return dropped
 
+    def tagged(self, dropped: list[bool]) -> list[int]:
+        """The article elements that aren't dropped, or the main ones where there are none."""
+        found = {t: [k for k, own in enumerate(self.tags) if own == t and not dropped[k]] for t in ("article", "main")}
+        return found["article"] or found["main"]
+
     def text(self, template: frozenset[int] = frozenset(), slot: int | None = None) -> str:
         """The blocks under slot (without one: the article's), without the own texts of template nodes."""
         dropped = self.dropped()
-        if slot is None:
-            tagged = {t: [k for k, own in enumerate(self.tags) if own == t and not dropped[k]] for t in ("article", "main")}
-            chosen = set(tagged["article"] or tagged["main"])
-        else:
-            chosen = {slot}
+        chosen = set(self.tagged(dropped)) if slot is None else {slot}
         inside = [not chosen] * len(self.tags)
         for k in range(1, len(self.tags)):
             inside[k] = inside[k] or k in chosen or inside[self.parents[k]]
@@ -183,7 +184,8 @@ class Page:
         return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
     def skeleton(self) -> np.ndarray:
-        """Tag hash, depth, text hash (0 without text) and whether it is dropped, of each node in page order."""
+        """Of each node in page order: tag hash, depth, text hash (0 without text), and 1 if it is dropped or 2 if it is the
+        one element that the page's tags name as its content."""
         own: list[list[str]] = [[] for _ in self.tags]
         for node, text in self.items:
             if text is not None:
@@ -194,7 +196,11 @@ class Page:
         out[:, 1] = np.minimum(self.depths, MOST_DEPTH)
         hashes = pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64)
         out[:, 2] = np.where(np.array([bool(t) for t in texts]), hashes | 1, 0)
-        out[:, 3] = self.dropped()
+        dropped = self.dropped()
+        out[:, 3] = dropped
+        tagged = self.tagged(dropped)
+        if len(tagged) == 1:
+            out[tagged[0], 3] = 2
         return out
 
 
@@ -277,7 +283,7 @@ def _text_places(page: np.ndarray, pairs: dict[int, int], same: set[int]) -> lis
     one above; as -1 - node if the text is that of the matching node, so that it may be template."""
     parents, out = _parents(page), []
     for k in range(len(page)):
-        if page[k, 2] and not page[k, 3]:
+        if page[k, 2] and page[k, 3] != 1:
             at = k
             while at not in pairs:
                 at = parents[at]
@@ -320,21 +326,23 @@ def _skeletons(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
 
 
 def _alignments(pages: DataFrame) -> DataFrame:
-    """(host, print, own, reference, same, places): matching nodes of each different page and its reference, those with
-    equal texts, and where its texts lie (_text_places)."""
+    """(host, print, own, reference, same, places, tagged): matching nodes of each different page and its reference, those
+    with equal texts, where its texts lie (_text_places), and the one element that its tags name as content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list] = [[], [], [], []]
+            tagged = []
             for page, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = (np.frombuffer(x, np.int64).reshape(-1, 4) for x in (page, reference))
                 pairs = dict(align(a, b))
                 same = {i for i, j in pairs.items() if a[i, 2] and a[i, 2] == b[j, 2]}
                 for part, values in zip(parts, (list(pairs), list(pairs.values()), [pairs[i] for i in same], _text_places(a, pairs, same))):
                     part.append(values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in parts)], ["host", "print", "own", "reference", "same", "places"])
+                tagged.append(next(iter(np.flatnonzero(a[:, 3] == 2).tolist()), None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in parts), pa.array(tagged, pa.int32())], ["host", "print", "own", "reference", "same", "places", "tagged"])
 
-    return pages.select("host", "print", "skeleton", "reference").mapInArrow(run, "host string, print long, own array<int>, reference array<int>, same array<int>, places array<int>")
+    return pages.select("host", "print", "skeleton", "reference").mapInArrow(run, "host string, print long, own array<int>, reference array<int>, same array<int>, places array<int>, tagged int")
 
 
 def _page_slots(aligned: DataFrame) -> DataFrame:
@@ -358,7 +366,7 @@ def _page_slots(aligned: DataFrame) -> DataFrame:
 
 
 def template_nodes(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
-    """(__key, template, slot): the template nodes and the content slot's node of each page of a host with enough pages. pages: with __key."""
+    """(__key, template, slot): the template nodes and the content slot's node of each page that isn't read the same without. pages: with __key."""
     every = materialize(_skeletons(pages, url_col, text_col), "skeletons")
     different = materialize(every.groupBy("host", "print").agg(F.min("nodes").alias("nodes"), F.min("__key").alias("__key"), F.min("cut").alias("cut")), "different")
     # the reference is a page of the median node count; empty and cut ones only where a host has no other
@@ -384,7 +392,9 @@ def template_nodes(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
     met = lookup(met.drop("reference_skeleton", "places"), materialize(slots, "slots"), "host", "votes")
     pairs = F.filter(F.arrays_zip("own", "reference"), lambda p: F.array_contains("nodes", p["reference"]) & F.array_contains("same", p["reference"]))
     root = F.get("own", F.array_position("reference", F.col("slot")).cast("int") - 1)
-    of_print = met.select("host", "print", F.transform(pairs, lambda p: p["own"]).alias("template"), F.when(F.array_contains("reference", F.col("slot")), root).alias("slot"))
+    of_print = met.select("host", "print", F.transform(pairs, lambda p: p["own"]).alias("template"), F.when(F.array_contains("reference", F.col("slot")), root).alias("slot"), "tagged")
+    # a page without template nodes whose slot is the element that its tags name too reads the same without a row here
+    of_print = of_print.where((F.size("template") > 0) | (F.col("slot").isNotNull() & ~F.col("slot").eqNullSafe(F.col("tagged")))).drop("tagged")
     return materialize(every.select("__key", "host", "print").join(of_print, ["host", "print"]).select("__key", "template", "slot").dropDuplicates(["__key"]), "template")
 
 
