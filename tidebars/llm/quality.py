@@ -56,10 +56,13 @@ def _grams(raw: bytes) -> np.ndarray:
 def count(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, trusted, corpus): n-gram counts of the trusted documents and of all. trusted: different ids, of any number.
 
-    Ids and texts are shuffled to be joined; each task then adds up its own documents, so at most BUCKETS rows of each
-    are shuffled again.
+    Texts are shuffled once by id, whatever the number of ids, since that has no bound for a broadcast; rows without an
+    id, which are never trusted, stay where they lie. Each task then adds up its own documents, so at most BUCKETS rows of
+    each are shuffled again.
     """
-    marked = docs.select(id_col, text_col).join(trusted.select(id_col, F.lit(True).alias("__trusted")), id_col, "left")
+    named, ids = docs.select(id_col, text_col), trusted.select(id_col, F.lit(True).alias("__trusted"))
+    marked = named.where(F.col(id_col).isNotNull()).join(ids.hint("shuffle_hash"), id_col, "left")
+    marked = marked.select(text_col, "__trusted").unionByName(named.where(F.col(id_col).isNull()).select(text_col, F.lit(None).cast("boolean").alias("__trusted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
