@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re._constants as rx_kinds
 import re._parser as rx_parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -148,6 +149,27 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return found.where(F.size("__rules") > 0)
 
 
+#: A fold copies what it has gathered at each step, so spans are gathered in blocks of so many.
+BLOCK = 128
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _by_blocks(xs: Column, total: Callable[[Column], Column], so_far: Callable[[Column], Column], build: Callable[[Column, Column], Column]) -> Column:
+    """The arrays build(block, start) of the blocks of xs (not empty), joined; start is so_far of the totals of the blocks before."""
+
+    def cut(all_of: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_of, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(blocks: Column) -> Column:
+        return _bound(F.transform(blocks, total), lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda b: so_far(F.slice(t, F.lit(1), b))))
+
+    return _bound(xs, lambda all_of: _bound(cut(all_of), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), build))))
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """Spans (start, kind number, end) of the rule's matches in code points, leftmost and non-overlapping.
 
@@ -157,17 +179,20 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     value = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.regex, -1)
     parts = F.zip_with(F.transform(whole, F.length), F.transform(gaps, F.length), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    parts = F.zip_with(parts, F.transform(value, F.length), lambda p, v: F.struct(p["m"].alias("m"), p["g"].alias("g"), v.alias("v")))
+    parts = F.zip_with(parts, F.transform(value, F.length), lambda p, v: F.struct(F.coalesce(p["m"], F.lit(0)).alias("m"), p["g"].alias("g"), v.alias("v")))
     kind = "struct<at:int,found:array<struct<start:int,kind:int,end:int>>>"
 
     def step(state: Column, p: Column) -> Column:
         start = state["at"] + p["g"]
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + p["m"]).alias("end"))
         fits = p["v"] >= rule.least
-        return F.struct((start + F.coalesce(p["m"], F.lit(0))).alias("at"), F.when(fits, F.array_append(state["found"], span)).otherwise(state["found"]).alias("found")).cast(kind)
+        return F.struct((start + p["m"]).alias("at"), F.when(fits, F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"))
+
+    def build(block: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("found")).cast(kind)
+        return F.aggregate(block, first, step, lambda s: s["found"])
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("found")).cast(kind)
-    return F.aggregate(parts, first, step, lambda s: s["found"])
+    return _by_blocks(parts, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + p["g"] + p["m"]), lambda t: F.aggregate(t, F.lit(0), lambda n, x: n + x), build)
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
@@ -223,11 +248,21 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rule
     found = find_spans(docs, text_col, rules)
     text = F.col(text_col)
 
-    def step(state: Column, s: Column) -> Column:
-        new = s["start"] >= state["at"]
-        kept = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(new, kept).otherwise(state["out"]).alias("out"))
+    def build(block: Column, start: Column) -> Column:
+        """The pieces of the text between the block's spans, taken from the part of the text that the block covers."""
+
+        def step(part: Column) -> Callable[[Column, Column], Column]:
+            def add(state: Column, s: Column) -> Column:
+                piece = F.substring(part, state["at"] - start + 1, s["start"] - state["at"])
+                return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.array_append(state["out"], piece)).otherwise(state["out"]).alias("out"))
+
+            return add
+
+        first = F.struct(start.alias("at"), F.array().cast("array<string>").alias("out")).cast("struct<at:int,out:array<string>>")
+        last = F.array_max(F.transform(block, lambda s: s["end"]))
+        return _bound(F.substring(text, start + 1, last - start), lambda part: F.aggregate(block, first, step(part), lambda s: s["out"]))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    pieces = _by_blocks(F.col("__spans"), lambda b: F.array_max(F.transform(b, lambda s: s["end"])), lambda t: F.coalesce(F.array_max(t), F.lit(0)), build)
+    rest = F.substring(text, F.array_max(F.transform("__spans", lambda s: s["end"])) + 1, F.length(text))
+    clean = F.array_join(F.concat(pieces, F.array(rest)), mark)
     return found.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans").select(docs.columns)
