@@ -40,7 +40,7 @@ INDICATORS: dict[str, Spec] = {}
 LOOKBACK = 256
 #: These carry a state or running totals, look ahead, or go by calendar days, and run by symbol.
 UNBOUNDED = frozenset(
-    "accumulation cma donchian_trend fractals ichimoku liquidity_zone obv pivots range_filter_direction ssl_channel stages supply_demand swing_labels vwap vwap_anchored".split()
+    "accumulation band_oscillator cma donchian_trend fractals ichimoku liquidity_zone obv pivots range_filter_direction ssl_channel stages supply_demand swing_labels vwap vwap_anchored".split()
 )
 
 
@@ -648,3 +648,43 @@ def rsi_crossings(df, low: float = 30.0, high: float = 70.0):
     df = rsi_sma(df)
     was = before("rsi")
     return df.withColumn("rsi_signal", F.when((was <= low) & (F.col("rsi") > low), 1).when((was >= high) & (F.col("rsi") < high), -1).otherwise(0))
+
+
+def _ahead(x: str, y: str) -> Column:
+    """Whether x is over (1), at (0) or under (-1) y, to nine digits."""
+    return F.signum(F.round(F.col(x) - F.col(y), 9))
+
+
+@indicator("momentum")
+def stochastic_signals(df, n: int = 14, d: int = 3, low: float = 20.0, high: float = 80.0):
+    """1 or -1 by the smoothed stochastic and its mean: where they cross; where they cross on the way out of an outer zone; which is over the other."""
+    df = stacked(stochastic(df, n, d), {"__k": F.col("stoch_d")}, {"__d": mean("__k", d)}, {"__side": _ahead("__k", "__d")})
+    was, k, k0 = before("__side"), F.round("__k", 9), F.round(before("__k"), 9)
+    up, down = (was < 0) & (F.col("__side") > 0), (was > 0) & (F.col("__side") < 0)
+
+    def way(long: Column, short: Column) -> Column:
+        return F.when(long, 1).when(short, -1).otherwise(0)
+
+    found = {"stoch_cross": way(up, down), "stoch_cross_zone": way(up & (k0 < low) & (k > low), down & (k0 > high) & (k < high)), "stoch_side": way(F.col("__side") > 0, F.col("__side") < 0)}
+    return df.withColumns(found).drop("__k", "__d", "__side")
+
+
+@indicator("volatility")
+def band_oscillator(df, n: int = 20, k: float = 2.0, smooth: int = 6, trigger: int = 4):
+    """The close's distance from the middle band, smoothed, against those from the outer bands: entries from within and beyond them."""
+    mid, dev = mean("close", n), deviation("close", n, 0)
+    far = {name: weighted(name, _linear(smooth)) for name in ("__up", "__low", "__mid")}
+    df = stacked(
+        df, {"__m": mid, "__s": dev},
+        {name: safe(F.col("__m") + a * F.col("__s") - F.col("close"), F.col("__m") + a * F.col("__s") + F.col("close") / 2) for name, a in (("__up", k), ("__low", -k), ("__mid", 0.0))},
+        far, {"band_osc": -(F.col("__mid") + mean("__mid", 2))}, {"band_osc_trigger": mean("band_osc", trigger)},
+        {"__over": _ahead("band_osc", "__up"), "__under": _ahead("band_osc", "__low"), "__way": _ahead("band_osc", "band_osc_trigger")},
+    )
+    turn = F.when((F.col("__over") > 0) & (before("__over") <= 0), 1).when((F.col("__under") < 0) & (before("__under") >= 0), -1)
+    df = stacked(df, {"__turn": turn}, {"__cycle": carry(F.col("__turn"))})
+    rises, falls = F.col("__way") > 0, F.col("__way") < 0
+    found = {
+        "band_entry": F.when(rises & (F.col("__under") >= 0) & (F.col("__cycle") < 0), 1).when(falls & (F.col("__over") <= 0) & (F.col("__cycle") > 0), -1).otherwise(0),
+        "band_exit": F.when(rises & (F.col("__over") > 0), 1).when(falls & (F.col("__under") < 0), -1).otherwise(0),
+    }
+    return df.withColumns(found).drop("__m", "__s", "__up", "__low", "__mid", "__over", "__under", "__way", "__turn", "__cycle")

@@ -246,6 +246,26 @@ _window(
 _window("thma", [{"raw": f"3 * ({_weights('close', _linear(5))}) - ({_weights('close', _linear(8))}) - ({_weights('close', _linear(16))})"}, {"thma": _weights("raw", _linear(16))}], ["thma"])
 _window("rsi_crossings", [*_RSI, {"was": lag("rsi")}, {"rsi_signal": "CASE WHEN was <= 30 AND rsi > 30 THEN 1 WHEN was >= 70 AND rsi < 70 THEN -1 ELSE 0 END"}], [], ("rsi_signal",))
 
+_STOCH = [{"fast": f"100 * (close - ({roll('min', 'low', 14)})) / nullif({_RANGE14}, 0)"}, {"k": roll("avg", "fast", 3)}, {"d": roll("avg", "k", 3)}, {"side": "sign(round(k - d, 9))"}, {"was": lag("side"), "k0": f"round({lag('k')}, 9)", "k1": "round(k, 9)"}]
+_window(
+    "stochastic_signals",
+    [*_STOCH, {
+        "stoch_cross": "CASE WHEN was < 0 AND side > 0 THEN 1 WHEN was > 0 AND side < 0 THEN -1 ELSE 0 END", "stoch_side": "CASE WHEN side > 0 THEN 1 WHEN side < 0 THEN -1 ELSE 0 END",
+        "stoch_cross_zone": "CASE WHEN was < 0 AND side > 0 AND k0 < 20 AND k1 > 20 THEN 1 WHEN was > 0 AND side < 0 AND k0 > 80 AND k1 < 80 THEN -1 ELSE 0 END",
+    }],
+    [], ("stoch_cross", "stoch_cross_zone", "stoch_side"),
+)
+_window(
+    "band_oscillator",
+    [
+        {"m": roll("avg", "close", 20), "sd": roll("stddev_pop", "close", 20)}, {n: f"(m {e} - close) / nullif(m {e} + close / 2, 0)" for n, e in (("u", "+ 2 * sd"), ("l", "- 2 * sd"), ("b", ""))},
+        {f"{n}s": _weights(n, _linear(6)) for n in "ulb"}, {"band_osc": f"-(bs + ({roll('avg', 'bs', 2)}))"}, {"band_osc_trigger": roll("avg", "band_osc", 4)},
+        {"ov": "sign(round(band_osc - us, 9))", "un": "sign(round(band_osc - ls, 9))", "way": "sign(round(band_osc - band_osc_trigger, 9))"},
+        {"turn": f"CASE WHEN ov > 0 AND {lag('ov')} <= 0 THEN 1 WHEN un < 0 AND {lag('un')} >= 0 THEN -1 END"}, {"cycle": carry("turn")},
+        {"band_entry": "CASE WHEN way > 0 AND un >= 0 AND cycle < 0 THEN 1 WHEN way < 0 AND ov <= 0 AND cycle > 0 THEN -1 ELSE 0 END", "band_exit": "CASE WHEN way > 0 AND ov > 0 THEN 1 WHEN way < 0 AND un < 0 THEN -1 ELSE 0 END"},
+    ],
+    ["band_osc", "band_osc_trigger"], ("band_entry", "band_exit"),
+)
 
 def _states(first: dict[str, str], step: dict[str, str], test: str = "true") -> str:
     """The state of a fold after each bar: a struct of the bar's values and the state's, starting as `first`; in step,
