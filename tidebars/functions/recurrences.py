@@ -306,6 +306,17 @@ def ema_oscillators(b):
     }
 
 
+@fold("waddah_trend", "waddah_band", "waddah_dead", "waddah_side", memory=4096)
+def waddah_explosion(b):
+    """150 times the step of the means of 20 less 40; the width of the band of 2 deviations; 3.7 mean ranges of 100, 0 before there are
+    so many; 1 or -1 where the step is beyond the width and both are beyond the ranges."""
+    c = b["close"]
+    trend = 150 * (ema(c, 20, False) - ema(c, 40, False)).diff()
+    band, dead = 4 * c.rolling(20).std(ddof=0), (3.7 * rma(true_range(b), 100)).fillna(0.0)
+    strong = (trend.abs() > band) & (band > dead) & (trend.abs() > dead)
+    return {"waddah_trend": trend, "waddah_band": band, "waddah_dead": dead, "waddah_side": np.where(strong, np.sign(trend), 0.0)}
+
+
 @fold("chandelier_stop", "chandelier_side")
 def chandelier_exit(b, n: int = 22, k: float = 3.0):
     """Stops k ranges from the extreme that only tighten; the side turns when the close passes the other's last stop."""

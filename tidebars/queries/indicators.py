@@ -364,6 +364,14 @@ def _place_sql(x: str, name: str) -> list[dict[str, str]]:
 
 
 _fold("schaff", [{"line": f"{ema('close', 2 / 24)} - {ema('close', 2 / 51)}"}, *_place_sql("line", "p1"), *_place_sql("p1", "p2"), {"stc": "greatest(0.0, least(100.0, p2))"}], "schaff")
+_fold(
+    "waddah_explosion",
+    [
+        {"m": f"{ema('close', 2 / 21)} - {ema('close', 2 / 41)}", "tr": TR, "waddah_band": f"4 * ({roll('stddev_pop', 'close', 20)})"}, {"waddah_trend": f"150 * (m - {lag('m')})", "waddah_dead": f"coalesce(3.7 * ({wilder('tr', 100)}), 0.0)"},
+        {"waddah_side": "CASE WHEN abs(waddah_trend) > waddah_band AND waddah_band > waddah_dead AND abs(waddah_trend) > waddah_dead THEN sign(waddah_trend)::DOUBLE ELSE 0.0 END"},
+    ],
+    "waddah_explosion",
+)
 _fold("zigzag", None, "zigzag")
 
 
