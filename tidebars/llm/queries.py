@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars import session
-from tidebars.llm import decontaminate, lines, minhash, ordinal, packing, passages, quality, secrets, sharding, sql, warc, wrapper
+from tidebars.llm import decontaminate, lines, minhash, negatives, ordinal, packing, passages, quality, quantize, secrets, sharding, sql, warc, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -60,6 +60,17 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.plan(_read(spark, sf_dir, "documents", "doc_id", "text"), 16)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.compress(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -72,6 +83,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ordinal_classifier": op9_ordinal_classifier,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -79,4 +92,6 @@ ORACLE_SQL = {
     "op4_html_extraction": sql.HTML_EXTRACTION,
     "op5_line_dedup": sql.LINE_DEDUP,
     "op7_warc_reassembly": sql.WARC_REASSEMBLY,
+    "op11_vector_codes": sql.VECTOR_CODES,
+    "op13_hard_negatives": sql.HARD_NEGATIVES,
 }

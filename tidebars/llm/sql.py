@@ -48,3 +48,34 @@ b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>
 replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp$', '&amp;'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
 t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""
+
+#: Codebooks of whole numbers: three assignments to the nearest entries, two rounds of means between them. Parts of 4 components.
+_WHOLE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _assigned(book: str) -> str:
+    far = " + ".join(f"(s.x{k} - c.x{k}) * (s.x{k} - c.x{k})" for k in range(4))
+    return f"SELECT r, p, min(({far}) * 64 + e) AS m FROM s JOIN {book} c USING (p) GROUP BY r, p"
+
+
+def _means(book: str, assigned: str) -> str:
+    means = ", ".join(f"floor(sum(x{k}) / count(*))::BIGINT AS x{k}" for k in range(4))
+    kept = ", ".join(f"coalesce(n.x{k}, c.x{k}) AS x{k}" for k in range(4))
+    return f"SELECT c.p, c.e, {kept} FROM {book} c LEFT JOIN (SELECT p, m % 64 AS e, {means} FROM {assigned} JOIN s USING (r, p) GROUP BY ALL) n USING (p, e)"
+
+
+VECTOR_CODES = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND {_WHOLE}),
+s AS MATERIALIZED (SELECT r, p, v[4 * p + 1] AS x0, v[4 * p + 2] AS x1, v[4 * p + 3] AS x2, v[4 * p + 4] AS x3 FROM k, range(16) t(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x0, x1, x2, x3 FROM s WHERE r <= 64), a0 AS MATERIALIZED ({_assigned("c0")}),
+c1 AS MATERIALIZED ({_means("c0", "a0")}), a1 AS MATERIALIZED ({_assigned("c1")}), c2 AS MATERIALIZED ({_means("c1", "a1")}), a2 AS MATERIALIZED ({_assigned("c2")}),
+g AS (SELECT r, string_agg(format('{{:02x}}', m % 64), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+(SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256 FROM k JOIN g USING (r)"""
+
+HARD_NEGATIVES = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS l,
+list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_WHOLE}),
+s AS MATERIALIZED (SELECT a.r AS ar, a.id AS aid, a.l <> b.l AS far, b.r, b.id, list_dot_product(a.v, b.v)::BIGINT AS score FROM k a JOIN k b ON a.id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE NOT far QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) <= 5)
+SELECT p.aid AS anchor_id, p.id AS positive_id, (row_number() OVER w)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND s.far AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
