@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars import session
-from tidebars.llm import decontaminate, lines, minhash, negatives, ordinal, packing, passages, quality, quantize, secrets, sharding, sql, warc, wrapper
+from tidebars.llm import decontaminate, lines, minhash, negatives, ordinal, packing, passages, pii, pii_sql, quality, quantize, secrets, sharding, sql, warc, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantize.compress(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
@@ -84,6 +88,7 @@ QUERIES = {
     "op9_ordinal_classifier": op9_ordinal_classifier,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
     "op11_vector_codes": op11_vector_codes,
+    "op12_personal_data": op12_personal_data,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -93,5 +98,6 @@ ORACLE_SQL = {
     "op5_line_dedup": sql.LINE_DEDUP,
     "op7_warc_reassembly": sql.WARC_REASSEMBLY,
     "op11_vector_codes": sql.VECTOR_CODES,
+    "op12_personal_data": pii_sql.PERSONAL_DATA,
     "op13_hard_negatives": sql.HARD_NEGATIVES,
 }

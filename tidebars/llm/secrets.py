@@ -32,12 +32,37 @@ class Rule:
     least: int = 0
     base: bool = False
 
+    def __post_init__(self) -> None:
+        if _recurses(rx_parser.parse(self.regex)):
+            raise ValueError(f"{self.kind}: Java matches a repeated group by recursion, so that a long text overflows the stack; repeat it possessively")
+
+
+def _recurses(items) -> bool:
+    """Whether a group of more than one character is repeated often, and not possessively."""
+    for op, arg in items:
+        if op is rx_kinds.BRANCH:
+            parts = arg[1]
+        elif op in (rx_kinds.MAX_REPEAT, rx_kinds.MIN_REPEAT, rx_kinds.POSSESSIVE_REPEAT):
+            parts = [arg[2]]
+            single = len(arg[2]) == 1 and arg[2][0][0] in (rx_kinds.LITERAL, rx_kinds.NOT_LITERAL, rx_kinds.IN, rx_kinds.ANY)
+            if op is not rx_kinds.POSSESSIVE_REPEAT and not single and arg[1] > MOST_REPEATS:
+                return True
+        else:
+            parts = [arg[-1]] if op is rx_kinds.SUBPATTERN else []
+        if any(_recurses(x) for x in parts):
+            return True
+    return False
+
+
+#: A group may be repeated so often without being possessive.
+MOST_REPEATS = 100
+
 
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
-    Rule("private_key", r"-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN(?: (?!PRIVATE KEY-----)[A-Z]+)*+ PRIVATE KEY-----"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abeprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -85,7 +110,7 @@ def _item(op, arg) -> tuple[set[str] | None, Query]:
         return {chr(c).lower() for _, c in arg}, ANY
     if op is rx_kinds.SUBPATTERN:
         return _walk(arg[-1])
-    if op is rx_kinds.AT:
+    if op in (rx_kinds.AT, rx_kinds.ASSERT_NOT):
         return {""}, ANY
     if op is rx_kinds.BRANCH:
         parts = [_walk(x) for x in arg[1]]
@@ -93,7 +118,7 @@ def _item(op, arg) -> tuple[set[str] | None, Query]:
             return set().union(*(s for s, _ in parts)), _short(frozenset().union(*(q for _, q in parts)))
         whole = [q if s is None else _both(q, _grams(s)) for s, q in parts]
         return None, _short(frozenset().union(*whole))
-    if op in (rx_kinds.MAX_REPEAT, rx_kinds.MIN_REPEAT):
+    if op in (rx_kinds.MAX_REPEAT, rx_kinds.MIN_REPEAT, rx_kinds.POSSESSIVE_REPEAT):
         least, most, part = arg
         some, need = _walk(part)
         if (least, most) == (0, 1) and some is not None:
@@ -243,17 +268,15 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return found.select(id_col, *counts, F.sha2(spans_text(of_base, rules), 256).alias("base_sha256"), spans_text(F.col("__spans"), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
-    """docs with every span (overlapping ones as one) in the text replaced by mark; null texts stay null."""
-    found = find_spans(docs, text_col, rules)
-    text = F.col(text_col)
+def mask(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """text with its spans (structs with start and end, ascending, at least one) replaced by mark(span), overlapping ones by the first one's."""
 
     def build(block: Column, start: Column) -> Column:
-        """The pieces of the text between the block's spans, taken from the part of the text that the block covers."""
+        """What stands before each of the block's spans, and its mark, taken from the part of the text that the block covers."""
 
         def step(part: Column) -> Callable[[Column, Column], Column]:
             def add(state: Column, s: Column) -> Column:
-                piece = F.substring(part, state["at"] - start + 1, s["start"] - state["at"])
+                piece = F.concat(F.substring(part, state["at"] - start + 1, s["start"] - state["at"]), mark(s))
                 return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.array_append(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
             return add
@@ -262,7 +285,14 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rule
         last = F.array_max(F.transform(block, lambda s: s["end"]))
         return _bound(F.substring(text, start + 1, last - start), lambda part: F.aggregate(block, first, step(part), lambda s: s["out"]))
 
-    pieces = _by_blocks(F.col("__spans"), lambda b: F.array_max(F.transform(b, lambda s: s["end"])), lambda t: F.coalesce(F.array_max(t), F.lit(0)), build)
-    rest = F.substring(text, F.array_max(F.transform("__spans", lambda s: s["end"])) + 1, F.length(text))
-    clean = F.array_join(F.concat(pieces, F.array(rest)), mark)
+    pieces = _by_blocks(spans, lambda b: F.array_max(F.transform(b, lambda s: s["end"])), lambda t: F.coalesce(F.array_max(t), F.lit(0)), build)
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+    return F.array_join(F.concat(pieces, F.array(rest)), "")
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
+    """docs with every span (overlapping ones as one) in the text replaced by mark; null texts stay null."""
+    found = find_spans(docs, text_col, rules)
+    text = F.col(text_col)
+    clean = mask(text, F.col("__spans"), lambda s: F.lit(mark))
     return found.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans").select(docs.columns)
