@@ -182,9 +182,7 @@ def candidates(text: Column) -> Column:
     def of(number: int, kind: Kind) -> Column:
         return F.transform(F.filter(_matches(text, kind.regex), lambda m: _passes(kind, m)), lambda m: _judged(number, kind, m))
 
-    def with_company(every: Column) -> Column:
-        company = F.when(F.array_min(F.transform(every, lambda c: c["kind"])) < F.array_max(F.transform(every, lambda c: c["kind"])), 1).otherwise(0)
-
+    def finished(every: Column, company: Column) -> Column:
         def finish(c: Column) -> Column:
             votes = F.concat(c["votes"], F.array(company))
             pattern = F.aggregate(votes, F.lit(0), lambda n, v: n * 3 + v + 1)
@@ -192,6 +190,10 @@ def candidates(text: Column) -> Column:
 
         return F.transform(every, finish)
 
+    def with_company(every: Column) -> Column:
+        kinds = F.transform(every, lambda c: c["kind"])
+        return _bound(F.when(F.array_min(kinds) < F.array_max(kinds), 1).otherwise(0), lambda company: finished(every, company))
+
     return _bound(F.concat(*[of(n, k) for n, k in enumerate(KINDS)]), with_company).cast(FOUND)
 
 

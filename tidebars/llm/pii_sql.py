@@ -48,7 +48,7 @@ def build(rounds: int = 12) -> str:
     first = " UNION ALL ".join(f"SELECT r, {k} AS k, regexp_extract_all(t, '{rx}') AS ms, string_split_regex(t, '{rx}') AS gs FROM d WHERE regexp_matches(t, '{rx}')" for k, (_, rx, *_) in enumerate(_KINDS))
     n = len(_KINDS)
     luhn = f"len(d) BETWEEN 16 AND 19 AND {_LUHN}"
-    passes = [(1, "list_min(list_transform(string_split(v, '.'), lambda x: len(ltrim(x, '0')) <= 3 AND ('0' || x[-3:])::INT <= 255 AND (len(ltrim(x, '0')) < 3 OR ltrim(x, '0')::INT <= 255)))"), (2, luhn), (4, f"len(d) BETWEEN 12 AND 19 AND NOT ({luhn})"), (3, "len(d) BETWEEN 8 AND 15")]
+    passes = [(1, "list_min(list_transform(string_split(v, '.'), lambda x: len(ltrim(x, '0')) <= 3 AND ('0' || ltrim(x, '0'))[-4:]::INT <= 255))"), (2, luhn), (4, f"len(d) BETWEEN 12 AND 19 AND NOT ({luhn})"), (3, "len(d) BETWEEN 8 AND 15")]
     passes += [(k, r"NOT regexp_matches(l, '[0-9+][ ().-]{0,2}$') AND NOT regexp_matches(a, '^[ .-]?[0-9]')") for k in (6, 7, 9)]
     good = _case("k", [(k, _IBAN if name == "iban" else _like("v", form)) for k, (name, _, form, _, _) in enumerate(_KINDS)], "false")
     known = _case("k", [(k, _like("v", x)) for k, (_, _, _, x, _) in enumerate(_KINDS)], "false")
