@@ -36,30 +36,6 @@ def two_states(spark):
     return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double, y double, truth int").cache()
 
 
-def test_hidden_states_are_the_planted_ones(two_states):
-    model = learn.fit_states(two_states, ["x", "y"], 2)
-    found = learn.states(two_states, model, ["x", "y"]).toPandas()
-    assert (found["state"] == found["truth"]).mean() > 0.99 and len(found) == 1200
-    np.testing.assert_allclose(model.means[:, 0], [1, 5], atol=0.2)
-    assert model.moves[0, 0] > 0.95 and learn.fit_states(two_states, ["x", "y"], 2).bic < learn.fit_states(two_states, ["y"], 2, passes=3).bic + 1e4
-
-
-def test_likelihood_by_all_paths():
-    """Forward sums and smoothed states of a short block against every path of states."""
-    from itertools import product
-
-    s = learn.States(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.0], [2.0]]), np.array([[1.0], [0.5]]), 0.0, 4)
-    x = np.array([[0.1], [1.5], [2.2], [-0.3]])
-    density = np.exp(learn._densities(x, s))
-    paths = {p: s.start[p[0]] * density[0, p[0]] * np.prod([s.moves[a, b] * density[t + 1, b] for t, (a, b) in enumerate(zip(p, p[1:]))]) for p in product((0, 1), repeat=4)}
-    gamma, moves, loglik = learn._smooth(x, s)
-    total = sum(paths.values())
-    assert loglik == pytest.approx(np.log(total))
-    for t in range(4):
-        assert gamma[t, 1] == pytest.approx(sum(v for p, v in paths.items() if p[t] == 1) / total)
-    assert moves[0, 1] == pytest.approx(sum(v * sum((a, b) == (0, 1) for a, b in zip(p, p[1:])) for p, v in paths.items()) / total)
-
-
 @pytest.mark.parametrize("kind", ["kmeans", "mixture"])
 def test_clusters_are_the_planted_ones(two_states, kind):
     found = learn.clusters(two_states, ["x"], 2, kind).toPandas()

@@ -1,15 +1,10 @@
-"""Models over bars: scaling, windows for supervised learning, clusters, trees, hidden states, and what predictions are worth.
+"""Models over bars: scaling, windows for supervised learning, clusters, trees, and what predictions are worth.
 
-Fitting that the ML library has goes through it; a hidden Markov model is fitted by expectation and maximisation, where
-each pass sums statistics of time blocks in the tasks and the driver holds the parameters alone.
+Fitting goes through the ML library.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -92,112 +87,6 @@ def name_clusters(table: DataFrame, label: str) -> DataFrame:
     return m.withColumn("name", F.when(up & (F.col("adx") > 25), "strong_up").when(up, "up").when(down & (F.col("adx") > 25), "strong_down").when(down, "down").otherwise("sideways"))
 
 
-@dataclass(frozen=True)
-class States:
-    """A hidden Markov model with independent normal features in each state."""
-
-    start: np.ndarray
-    moves: np.ndarray
-    means: np.ndarray
-    variances: np.ndarray
-    loglik: float
-    rows: int
-
-    @property
-    def bic(self) -> float:
-        k, d = self.means.shape
-        return -2 * self.loglik + (k * k - 1 + 2 * k * d) * float(np.log(max(self.rows, 1)))
-
-
-def _densities(x: np.ndarray, s: States) -> np.ndarray:
-    away = (x[:, None, :] - s.means) ** 2 / s.variances + np.log(2 * np.pi * s.variances)
-    return -0.5 * away.sum(axis=2)
-
-
-def _smooth(x: np.ndarray, s: States) -> tuple[np.ndarray, np.ndarray, float]:
-    """State probabilities of each row, expected moves, and the log-likelihood of one block, scaled row by row."""
-    log_b = _densities(x, s)
-    peak = log_b.max(axis=1)
-    b = np.exp(log_b - peak[:, None])
-    n, k = b.shape
-    alpha, norm = np.empty((n, k)), np.empty(n)
-    for t in range(n):
-        a = (s.start if t == 0 else alpha[t - 1] @ s.moves) * b[t]
-        norm[t] = max(a.sum(), 1e-300)
-        alpha[t] = a / norm[t]
-    beta = np.ones((n, k))
-    for t in range(n - 2, -1, -1):
-        beta[t] = s.moves @ (b[t + 1] * beta[t + 1]) / norm[t + 1]
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    moves = s.moves * (alpha[:-1].T @ (b[1:] * beta[1:] / norm[1:, None]))
-    return gamma, moves, float(np.log(norm).sum() + peak.sum())
-
-
-def in_blocks(bars: DataFrame, block: str = "week") -> DataFrame:
-    """bars with __block: calendar blocks, so that one symbol's history takes many tasks; states restart in each."""
-    return bars.withColumn("__block", F.date_trunc(block, "ts"))
-
-
-def _sums_under(s: States, columns: list[str]):
-    """What a pass adds up of each block: first states, moves, weights, weighted values and squares, log-likelihood."""
-
-    def sums(block: pd.DataFrame) -> pd.DataFrame:
-        x = block.sort_values("ts", kind="stable")[columns].to_numpy()
-        gamma, moves, loglik = _smooth(x, s)
-        parts = [gamma[0], moves.ravel(), gamma.sum(axis=0), (gamma.T @ x).ravel(), (gamma.T @ x**2).ravel(), [loglik]]
-        values = np.concatenate(parts)
-        return pd.DataFrame({"at": np.arange(len(values)), "value": values})
-
-    return sums
-
-
-def fit_states(bars: DataFrame, columns: list[str], k: int, passes: int = 20, block: str = "week", tolerance: float = 1e-4) -> States:
-    """Expectation and maximisation over blocks; starts at quantiles of the first column."""
-    ready = in_blocks(bars.select("symbol", "ts", *[F.col(c).cast("double") for c in columns]).dropna(), block)
-    d = len(columns)
-    first = ready.agg(F.percentile(columns[0], F.array(*[F.lit((i + 0.5) / k) for i in range(k)])).alias("q"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)], F.count("*").alias("n")).first()
-    if not first["n"]:
-        raise ValueError("no rows without nulls")
-    means = np.tile([first[f"m{i}"] for i in range(d)], (k, 1))
-    means[:, 0] = first["q"]
-    variances = np.tile([max(first[f"v{i}"], 1e-12) for i in range(d)], (k, 1))
-    floor = 1e-6 * variances[0]
-    s = States(np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), means, variances, -np.inf, first["n"])
-
-    for _ in range(passes):
-        found = ready.groupBy("symbol", "__block").applyInPandas(_sums_under(s, columns), "at int, value double").groupBy("at").agg(F.sum("value").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
-        start, moves, weight, one, two, loglik = np.split(found, np.cumsum([k, k * k, k, k * d, k * d]))
-        mean = one.reshape(k, d) / np.maximum(weight, 1e-12)[:, None]
-        variance = np.maximum(two.reshape(k, d) / np.maximum(weight, 1e-12)[:, None] - mean**2, floor)
-        moves = moves.reshape(k, k) + 1e-12
-        done = abs(loglik[0] - s.loglik) <= tolerance * max(1.0, abs(loglik[0]))
-        s = States(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), mean, variance, float(loglik[0]), s.rows)
-        if done:
-            break
-    order = np.argsort(s.means[:, 0], kind="stable")
-    return States(s.start[order], s.moves[order][:, order], s.means[order], s.variances[order], s.loglik, s.rows)
-
-
-def states(bars: DataFrame, model: States, columns: list[str], block: str = "week") -> DataFrame:
-    """bars without nulls in columns, with `state`: the likeliest of each row given its block; numbers go up with the first column."""
-    ready = in_blocks(bars.dropna(subset=columns), block)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in bars.dtypes) + ", state int"
-
-    def run(rows_: pd.DataFrame) -> pd.DataFrame:
-        rows_ = rows_.sort_values("ts", kind="stable")
-        gamma = _smooth(rows_[columns].to_numpy(float), model)[0]
-        return rows_.drop(columns="__block").assign(state=gamma.argmax(axis=1).astype(np.int32))
-
-    return ready.groupBy("symbol", "__block").applyInPandas(run, schema)
-
-
-def states_by_bic(bars: DataFrame, columns: list[str], most: int = 4, **kw) -> DataFrame:
-    """Log-likelihood and BIC for each number of states from 2 on."""
-    fitted = [(k, fit_states(bars, columns, k, **kw)) for k in range(2, most + 1)]
-    return bars.sparkSession.createDataFrame([(k, s.loglik, s.bic) for k, s in fitted], "states int, loglik double, bic double")
-
-
 # --- forecasts
 
 

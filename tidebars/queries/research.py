@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.functions import indicators as ind
-from tidebars.plans import learn, search, validation
+from tidebars.plans import hidden, learn, search, validation
 from tidebars.queries.regimes import _B, _ZONED, _zoned
 from tidebars.queries.tables import bars, lag, over, roll, round_sql, rounded
 
@@ -281,8 +281,13 @@ def cluster_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _features(spark, sf_dir)
-    model = learn.fit_states(df, ["std", "momentum"], 3, passes=5)
-    return learn.states(df, model, ["std", "momentum"]).select("symbol", "ts", "state")
+    model = hidden.fit(df, ["std", "momentum"], 3, passes=5)
+    return hidden.states(df, model, ["std", "momentum"]).select("symbol", "ts", "state")
+
+
+@query()
+def hidden_states_by_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden.by_bic(_features(spark, sf_dir), ["std", "momentum"], 3, passes=3)
 
 
 def _forecast(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
