@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.plans import density, hidden
+from tidebars.operators import crossing
+from tidebars.plans import arima, density, hidden, linear, spectrum
 from tidebars.queries.tables import TICKS_SQL, bars, bars_sql, round_sql, rounded
 
 QUERIES: dict = {}
@@ -77,3 +80,75 @@ def hidden_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
     chances = hidden.probabilities(df, _QUIET_WILD, ["move"], block_rows=256)
     path = hidden.states(df, _QUIET_WILD, ["move"], block_rows=256)
     return rounded(path.join(chances, ["symbol", "ts"]).select("symbol", "ts", "state", F.get("chance", F.lit(1)).alias("wild")))
+
+
+# --- fits and forecasts
+
+_I = f"{_B}, i AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b)"
+
+
+def _orthogonal(most: int, extra: int) -> str:
+    """Polynomials that are orthogonal over a symbol's rows, each from the two before, and the fits that add them up."""
+    ctes = ["m AS (SELECT symbol, count(*) AS n FROM i GROUP BY 1)", f"g AS (SELECT symbol, n, unnest(range(n + {extra})) AS i, (2.0 * i - (n - 1)) / (n - 1) AS t FROM m)", "h AS (SELECT g.*, close FROM g LEFT JOIN i USING (symbol, i))", "o0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS before, 1.0::DOUBLE AS p, 0.0::DOUBLE AS fitted, 1.0::DOUBLE AS norm FROM h)"]
+    for k in range(most + 1):
+        sums = f"s{k} AS MATERIALIZED (SELECT symbol, sum(p * p) AS pp, sum(t * p * p) / sum(p * p) AS a, sum(close * p) / sum(p * p) AS c, sum(p * p) / any_value(norm) AS b FROM o{k} WHERE i < n GROUP BY 1)"
+        ctes += [sums, f"o{k + 1} AS MATERIALIZED (SELECT symbol, n, i, t, close, p AS before, (t - a) * p - {'b * before' if k else '0'} AS p, fitted + c * p AS fitted, pp AS norm FROM o{k} JOIN s{k} USING (symbol))"]
+    return ", ".join(ctes)
+
+
+@query(f"WITH {_I}, {_orthogonal(5, 10)}, q AS (" + " UNION ALL ".join(f"SELECT symbol, {d} AS degree, i AS row, fitted, i >= n AS beyond FROM o{d + 1}" for d in range(1, 6)) + f") SELECT symbol, degree, row, beyond, {round_sql('fitted')} FROM q")
+def polynomial_extrapolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = [linear.polynomial_beyond(bars(spark, sf_dir), "close", d, 10).withColumn("degree", F.lit(d)) for d in range(1, 6)]
+    return rounded(reduce(DataFrame.unionByName, fits).select("symbol", "degree", "row", "beyond", "fitted"))
+
+
+@query(f"""WITH {_I}, l AS (SELECT symbol, regr_slope(close, i) AS slope, count(*) AS n FROM i GROUP BY 1), r AS MATERIALIZED (SELECT symbol, n, slope, i, close - slope * i AS x FROM i JOIN l USING (symbol)),
+f AS (SELECT a.symbol, a.n, a.slope, k, sum(x * cos(2 * pi() * ((k * i) % a.n) / a.n)) AS re, -sum(x * sin(2 * pi() * ((k * i) % a.n) / a.n)) AS im FROM r a JOIN (SELECT symbol, unnest(range(n)) AS k FROM l) USING (symbol) GROUP BY ALL),
+t AS MATERIALIZED (SELECT *, sqrt(re * re + im * im) / n AS size FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(sqrt(re * re + im * im) / n, 9) DESC, k DESC) <= 9),
+q AS (SELECT t.symbol, row, sum(size * cos(2 * pi() * ((k * row) % n) / n + atan2(im, re))) + any_value(slope) * row AS fitted, row >= any_value(n) AS beyond FROM t JOIN (SELECT symbol, unnest(range(n + 10)) AS row FROM l) USING (symbol) GROUP BY t.symbol, row) SELECT symbol, row, beyond, {round_sql('fitted')} FROM q""")
+def harmonic_extrapolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectrum.harmonics_beyond(bars(spark, sf_dir), "close", 4, 10))
+
+
+@query()
+def seasonal_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(linear.decompose(bars(spark, sf_dir), "close", 24, 3600))
+
+
+@query(f"""WITH RECURSIVE {_I}, w AS (SELECT symbol, i, close, close - lag(close) OVER (PARTITION BY symbol ORDER BY i) AS w FROM i), m AS (SELECT symbol, avg(w) AS mean, count(w) AS n FROM w GROUP BY 1),
+a AS (SELECT symbol, i, w - mean AS a, n, mean FROM w JOIN m USING (symbol) WHERE w IS NOT NULL), l AS (SELECT *, lag(a) OVER s AS a1, lag(a, 2) OVER s AS a2 FROM a WINDOW s AS (PARTITION BY symbol ORDER BY i)),
+g AS (SELECT symbol, any_value(mean) AS mean, sum(a * a) / any_value(n) AS g0, coalesce(sum(a * a1), 0) / any_value(n) AS g1, coalesce(sum(a * a2), 0) / any_value(n) AS g2, arg_max(a, i) AS a1, arg_max(a1, i) AS a2 FROM l GROUP BY 1),
+p AS (SELECT g.*, g1 * (g0 - g2) / (g0 * g0 - g1 * g1) AS p1, (g0 * g2 - g1 * g1) / (g0 * g0 - g1 * g1) AS p2, (SELECT arg_max(close, i) FROM w WHERE w.symbol = g.symbol) AS x FROM g),
+f(symbol, step, a1, a2, x, p1, p2, mean) AS (SELECT symbol, 0, a1, a2, x, p1, p2, mean FROM p UNION ALL SELECT symbol, step + 1, p1 * a1 + p2 * a2, a1, x + mean + p1 * a1 + p2 * a2, p1, p2, mean FROM f WHERE step < 8),
+q AS (SELECT symbol, step, x AS forecast FROM f WHERE step > 0) SELECT symbol, step, {round_sql('forecast')} FROM q""")
+def arima_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(arima.forecast(bars(spark, sf_dir), "close", (2, 1, 0), 8))
+
+
+@query()
+def arma_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARMA(2, 1) of the hourly moves with a day's season taken out."""
+    moves = arima.differenced(bars(spark, sf_dir), "close", 1, 24)
+    return rounded(arima.fit(moves, "w", 2, 1).select("symbol", "n", "mean", F.get("phi", F.lit(0)).alias("phi_1"), F.get("phi", F.lit(1)).alias("phi_2"), F.get("theta", F.lit(0)).alias("theta_1"), "variance"))
+
+
+# --- crossings
+
+
+def _later(side: str, test: str) -> str:
+    return f"(SELECT min(l.ts) FROM b l WHERE l.symbol = {side}.symbol AND l.ts > {side}.ts AND {test})"
+
+
+@query(f"""WITH {_B}, g AS (SELECT symbol, ts, high, low, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, 'rising' AS side, h2 AS bottom, low AS top, {_later('g', 'l.low <= g.h2')} AS filled FROM g WHERE low > h2 UNION ALL
+SELECT symbol, ts, 'falling', high, l2, {_later('g', 'l.high >= g.l2')} FROM g WHERE high < l2""")
+def gap_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossing.gap_fills(bars(spark, sf_dir))
+
+
+@query(f"""WITH {_B}, s AS (SELECT symbol, ts AS swing_ts, high, low, count(*) OVER around AS n, max(high) OVER around AS top, min(low) OVER around AS bottom, max(high) OVER earlier AS top_before, min(low) OVER earlier AS bottom_before, lead(ts, 5) OVER (PARTITION BY symbol ORDER BY ts) AS ts FROM b
+WINDOW around AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), earlier AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT symbol, swing_ts AS ts, 'high' AS side, high AS level, {_later('s', 'l.close >= s.high')} AS broken FROM s WHERE n = 11 AND high >= top AND high > top_before UNION ALL
+SELECT symbol, swing_ts, 'low', low, {_later('s', 'l.close <= s.low')} FROM s WHERE n = 11 AND low <= bottom AND low < bottom_before""")
+def structure_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossing.structure_breaks(bars(spark, sf_dir))
