@@ -181,11 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id", tex
     """Fit on the labelled documents. grade: a column over labels.
 
     The sample is bounded by `most` ids, so it is broadcast to the documents; their features, at most
-    BUCKETS a document, come to the driver.
+    BUCKETS a document, come to the driver. An id counts once, however many rows have it: with its least
+    grade and the text of the least hash.
     """
     chosen = labels.select(id_col, grade.alias("__grade")).where(F.col(id_col).isNotNull() & F.col("__grade").isNotNull())
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col, "__grade").limit(most)
-    rows = _feature_rows(docs.join(F.broadcast(chosen), id_col), text_col, "__grade", id_col).toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
+    chosen = chosen.groupBy(id_col).agg(F.min("__grade").alias("__grade")).orderBy(F.xxhash64(id_col), id_col).limit(most)
+    least = F.min_by(text_col, F.struct(F.xxhash64(text_col), F.col(text_col)))
+    one = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "__grade").agg(least.alias(text_col))
+    rows = _feature_rows(one, text_col, "__grade", id_col).toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     if not rows.num_rows:
         return Model(np.zeros(BUCKETS), np.full(1, -10.0))
     sizes = pa.compute.list_value_length(rows["features"]).to_numpy()
