@@ -47,6 +47,8 @@ RADIUS = PRINT_BITS // BLOCK_BITS * (BLOCK_RADIUS + 1) - 1
 COUNT_BUCKETS = 1 << 22
 #: Items that are held against the documents at once.
 ITEMS_AT_ONCE = 20_000
+#: Characters of items that are indexed at once; one item longer than that is still a part of its own.
+CHARS_AT_ONCE = 20_000_000
 
 _BITS = np.arange(64, dtype=np.uint64)
 #: All patterns of at most BLOCK_RADIUS bits of a block.
@@ -239,9 +241,14 @@ def count_spread(benchmark: DataFrame, item_text: str = "text") -> Spread:
     return Spread(int(n[bucket < 0].sum()), bucket[bucket >= 0], n[bucket >= 0])
 
 
-def _parts(benchmark: DataFrame, item_col: str, item_text: str, most: int) -> Iterator[Index]:
-    """The index of each part of the benchmark: at most about `most` items each, by hash."""
-    parts = max(1, -(-benchmark.count() // most))
+def _part_count(benchmark: DataFrame, item_text: str, most: int) -> int:
+    """In how many parts the benchmark is indexed, so that each has at most about `most` items and CHARS_AT_ONCE characters."""
+    n, chars = benchmark.agg(F.count("*"), F.sum(F.length(item_text))).first()
+    return max(1, -(-n // most), -(-(chars or 0) // CHARS_AT_ONCE))
+
+
+def _parts(benchmark: DataFrame, item_col: str, item_text: str, parts: int) -> Iterator[Index]:
+    """The index of each part of the benchmark, dealt by hash."""
     spread = count_spread(benchmark, item_text)
     for part in range(parts):
         items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where(F.pmod(F.xxhash64(item_col, item_text), F.lit(parts)) == part)
@@ -255,7 +262,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, start_word long, n_words long, similarity double"
     arrow_type = to_arrow_type(item_type)
     found: list[DataFrame] = []
-    for own in _parts(benchmark, item_col, item_text, most_items):
+    for own in _parts(benchmark, item_col, item_text, _part_count(benchmark, item_text, most_items)):
         if found:  # what the last part found is written before the next one's index is shared
             found[-1] = materialize(found[-1], "leaks")
             shared.unpersist()
@@ -283,9 +290,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     texts that go, and the documents are then held against all of these.
     """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
-    parts = _parts(benchmark, item_col, item_text, most_items)
-    if benchmark.count() <= most_items:
-        shared = spark.sparkContext.broadcast(next(parts))
+    if _part_count(benchmark, item_text, most_items) == 1:
+        shared = spark.sparkContext.broadcast(next(_parts(benchmark, item_col, item_text, 1)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
