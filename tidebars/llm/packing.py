@@ -309,25 +309,29 @@ def fill(lengths: np.ndarray, most: int, nodes: int | None = NODES) -> tuple[np.
     return sequence, offset
 
 
-def pack(pieces: DataFrame, most: int, length_col: str = "length") -> DataFrame:
-    """pieces with sequence_id and offset. Only these columns are shuffled, so leave ids out and join them later."""
+def pack(pieces: DataFrame, most: int, length_col: str = "length", nodes: int | None = NODES, group_pieces: int | None = GROUP_PIECES) -> DataFrame:
+    """pieces with sequence_id and offset. Only these columns are shuffled, so leave ids out and join them later.
+
+    nodes: fillings that the search of a group looks at; None searches all its sequences to the end, which gives the fewest
+    there can be. group_pieces: pieces of a group; None packs all in one task.
+    """
     pieces = materialize(pieces.drop("sequence_id", "offset"), "pieces")
-    groups = max(1, -(-pieces.count() // GROUP_PIECES))
+    groups = max(1, -(-pieces.count() // group_pieces)) if group_pieces else 1
     by = [F.col(c) for c, kind in pieces.dtypes if not kind.startswith(("map", "array", "struct"))]
     schema = ", ".join(f"`{c}` {kind}" for c, kind in pieces.dtypes) + ", sequence_id long, offset long"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="__group")
-        sequence, offset = fill(rows[length_col].to_numpy(np.int64), most)
+        sequence, offset = fill(rows[length_col].to_numpy(np.int64), most, nodes)
         return rows.assign(sequence_id=sequence + (int(key[0]) << 32), offset=offset)
 
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*by), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(tokenize(docs, most, tokenizer or default_tokenizer(), id_col, text_col), most)
+def pack_documents(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", nodes: int | None = NODES, group_pieces: int | None = GROUP_PIECES) -> DataFrame:
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset; nodes and group_pieces as in `pack`."""
+    return pack(tokenize(docs, most, tokenizer or default_tokenizer(), id_col, text_col), most, "length", nodes, group_pieces)
 
 
 def sequences(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
