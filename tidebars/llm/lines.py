@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import in_blocks, lookup, materialize
+from tidebars.llm.secrets import _bound
 
 #: Shorter units are left alone: headings, signatures and the like repeat in clean text as well.
 LEAST_WORDS = 20
@@ -75,7 +76,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     docs = docs.drop("removed")
     joined = docs.withColumn("__of", F.xxhash64(F.col(id_col), F.col(text_col))).join(each.withColumnRenamed("__key", "__of"), "__of", "left")
     gone = F.transform("__removed", lambda r: r["unit"])
-    lines = F.split(F.col(text_col), "\n", -1)
-    clean = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    clean = F.array_join(_bound(F.split(F.col(text_col), "\n", -1), lambda lines: F.transform(left(lines), lambda i: F.get(lines, i))), "\n")
     removed = F.transform("__removed", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
     return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns, removed.alias("removed"))

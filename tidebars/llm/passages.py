@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import in_blocks, lookup, materialize, mix64
+from tidebars.llm.secrets import mask
 
 #: Words of a window: the shortest passage that is removed.
 WINDOW_WORDS = 50
@@ -186,10 +187,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW_WORDS) -> DataFrame:
-    """docs without repeated passages and with `removed`: their original (start, end)."""
-    each = repeats(docs, id_col, text_col, size).groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).join(each, "__key", "left")
-    text = F.col(text_col)
-    none = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    rest = F.aggregate("removed", none, lambda done, r: F.struct(F.concat(done["text"], F.substr(text, (done["at"] + 1).cast("int"), (r["start"] - done["at"]).cast("int"))).alias("text"), r["end"].alias("at")), lambda done: F.concat(done["text"], F.substr(text, (done["at"] + 1).cast("int"))))
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull(), text).otherwise(rest)).select(*docs.columns, "removed")
+    """docs without repeated passages and with `removed`, in place of a column so named: their original (start, end)."""
+    docs = docs.drop("removed")
+    spans = repeats(docs.select(id_col, text_col), id_col, text_col, size).distinct()
+    each = spans.groupBy(F.col("__key").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__removed"))
+    joined = docs.withColumn("__of", F.xxhash64(F.col(id_col), F.col(text_col))).join(each, "__of", "left")
+    places = F.transform("__removed", lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end")))
+    rest = mask(F.col(text_col), places, lambda _: F.lit(""))
+    return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns, F.col("__removed").alias("removed"))
