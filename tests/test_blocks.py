@@ -41,11 +41,23 @@ def test_windows(bars):
 
 
 def test_folds_that_forget(bars, monkeypatch):
-    monkeypatch.setattr(recurrences, "MEMORY", {n: 600 for n in recurrences.MEMORY})
-    names = sorted(set(recurrences.MEMORY) - {"ema_crosses"})
+    names = sorted(n for n, memory in recurrences.MEMORY.items() if memory <= 1024)
+    monkeypatch.setattr(recurrences, "MEMORY", {n: 600 for n in names})
     same(recurrences.apply(bars, *names, block_rows=100), recurrences.apply(bars, *names, whole=True))
 
 
+def test_folds_of_long_memory(spark):
+    """A mean of 100 needs 2000 bars to forget, so this history is longer than the memory as it is."""
+    r = np.random.default_rng(1)
+    close = 100 + np.cumsum(r.normal(0, 1, 6000))
+    high, low = close + r.uniform(0, 2, 6000), close - r.uniform(0, 2, 6000)
+    rows = [("a", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=k), *map(float, v)) for k, v in enumerate(zip(close, high, low, close, np.ones(6000)))]
+    long = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    names = sorted(n for n, memory in recurrences.MEMORY.items() if memory > 1024)
+    assert len(rows) > max(recurrences.MEMORY[n] for n in names) + 500
+    same(recurrences.apply(long, *names, block_rows=500), recurrences.apply(long, *names, whole=True))
+
+
 def test_memories_are_long_enough():
     for name, span in (("ema_crosses", 200), ("ema_family", 26), ("adx_wilder", 27)):
         assert (1 - 2 / (span + 1)) ** recurrences.MEMORY[name] < 2**-53

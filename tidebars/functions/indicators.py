@@ -338,6 +338,14 @@ def choppiness(df, n: int = 14):
     return df.withColumn("chop", 100 * F.log10(F.when(ratio > 0, ratio)) / math.log10(n)).drop("__tr")
 
 
+@indicator("volatility")
+def choppiness_summed(df, n: int = 14):
+    """100 log(sum of true ranges / sum of the last n ranges of n bars) / log n."""
+    df = df.withColumns({"__tr": true_range(), "__range": highest("high", n) - lowest("low", n)})
+    ratio = safe(total("__tr", n), total("__range", n))
+    return df.withColumn("chop_summed", 100 * F.log10(F.when(ratio > 0, ratio)) / math.log10(n)).drop("__tr", "__range")
+
+
 @indicator("volatility")
 def realised(df, n: int = 20):
     """Deviation of returns times sqrt(n)."""
@@ -549,8 +557,9 @@ def adx_mixed(df, n: int = 14):
 @indicator("trend")
 def adx_clip(df, n: int = 14):
     """Directional movement where rises of the high and falls of the low both count, whichever is larger."""
-    df = df.withColumns({"__p": F.greatest(F.coalesce(change("high"), F.lit(0.0)), F.lit(0.0)), "__m": F.greatest(F.coalesce(-change("low"), F.lit(0.0)), F.lit(0.0)), "__tr": true_range()})
-    df = stacked(df, {"__a": mean("__tr", n)}, {"plus_di_clip": 100 * mean("__p", n) / (F.col("__a") + 0.001), "minus_di_clip": 100 * mean("__m", n) / (F.col("__a") + 0.001)})
+    moved = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+    df = df.withColumns({"__p": moved(change("high")), "__m": moved(-change("low")), "__tr": true_range()})
+    df = stacked(df, {"__a": mean("__tr", n)}, {"plus_di_clip": 100 * safe(mean("__p", n), F.col("__a")), "minus_di_clip": 100 * safe(mean("__m", n), F.col("__a"))})
     dx = 100 * F.abs(F.col("plus_di_clip") - F.col("minus_di_clip")) / (F.col("plus_di_clip") + F.col("minus_di_clip") + 0.001)
     return stacked(df, {"__dx": dx}, {"adx_clip": mean("__dx", n)}).drop("__p", "__m", "__tr", "__a", "__dx")
 

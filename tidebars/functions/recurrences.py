@@ -265,8 +265,11 @@ def mcginley(b, n: int = 14):
 
 @fold("mcginley_free")
 def mcginley_free(b, n: int = 14):
-    """The path as published, for prices well above 0; here of the close plus 100."""
-    return {"mcginley_free": mcginley_path(b["close"].to_numpy() + 100, n, False)}
+    """The path as published, for prices well above 0: from the mean of the first n closes on, nothing before it."""
+    x = b["close"].to_numpy(float)
+    if len(x) < n:
+        return {"mcginley_free": np.full(len(x), np.nan)}
+    return {"mcginley_free": np.concatenate([np.full(n - 1, np.nan), mcginley_path(np.concatenate([[x[:n].mean()], x[n:]]), n, False)])}
 
 
 @fold("b_xtrender", "ema_stack", "ema_cross", memory=4096)
@@ -281,13 +284,20 @@ def ema_crosses(b):
     }
 
 
+def conditional(column: str = "close", threshold: float = 0.0, n: int = 14):
+    """A step for by_symbol: the exponential mean of the close, taken over only where column exceeds threshold; the first bar always counts."""
+
+    def step(b):
+        mean, on = ema(b["close"], n), (b[column] > threshold).to_numpy()
+        on[:1] = True
+        return {"conditional_ema": mean.where(on).ffill()}
+
+    return step
+
+
 @fold("conditional_ema")
-def conditional_ema(b, n: int = 14):
-    """The exponential mean, taken over only where the bar rises; the first bar always counts."""
-    mean, up = ema(b["close"], n), (b["close"] > b["open"]).to_numpy()
-    if len(up):
-        up[0] = True
-    return {"conditional_ema": mean.where(up).ffill()}
+def conditional_ema(b):
+    return conditional()(b)
 
 
 @fold("wolfpack", "tdfi", "range_size", "ehma", memory=1024)

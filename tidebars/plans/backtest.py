@@ -6,10 +6,11 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.frames import before, ordered, safe, so_far
+from tidebars.functions.frames import before, blocked, deviation, ordered, rows, safe, so_far
+from tidebars.plans.linear import numbered
 
 
 def cumulative(bars: DataFrame, signal: str = "signal", cash: float = 10_000.0) -> DataFrame:
@@ -137,36 +138,74 @@ def on_off(bars: DataFrame, position: str) -> DataFrame:
     return out.withColumns({f"{n}_sharpe": safe(F.col(f"{n}_mean"), F.col(f"{n}_std")) for n in ("strategy", "holding")})
 
 
-# Weights of an indicator class's measures.
+# What counts for a class of indicators, and how much.
 CLASS_WEIGHTS = {
-    "trend": {"capture": 0.4, "win_rate": 0.2, "profit_factor": 0.2, "calm": 0.2},
-    "momentum": {"reversal": 0.4, "win_rate": 0.3, "profit_factor": 0.2, "calm": 0.1},
-    "volume": {"volume": 0.4, "win_rate": 0.2, "profit_factor": 0.2, "calm": 0.2},
-    "volatility": {"volatility": 0.4, "win_rate": 0.2, "profit_factor": 0.2, "calm": 0.2},
+    "trend_following": {"total_return": 0.25, "sharpe_ratio": 0.20, "max_drawdown": 0.15, "win_rate": 0.08, "profit_factor": 0.10, "avg_trade_pnl": 0.05, "trend_capture_ratio": 0.12, "avg_holding_period": 0.05},
+    "oscillators": {"total_return": 0.20, "sharpe_ratio": 0.15, "max_drawdown": 0.20, "win_rate": 0.20, "profit_factor": 0.10, "avg_trade_pnl": 0.05, "reversal_accuracy": 0.10},
+    "volume_based": {"total_return": 0.15, "sharpe_ratio": 0.15, "max_drawdown": 0.15, "win_rate": 0.15, "profit_factor": 0.15, "volume_confirmation_rate": 0.25},
+    "volatility": {"total_return": 0.20, "sharpe_ratio": 0.20, "max_drawdown": 0.25, "win_rate": 0.10, "profit_factor": 0.10, "volatility_adaptation": 0.15},
+    "levels_zones": {"total_return": 0.25, "sharpe_ratio": 0.15, "max_drawdown": 0.15, "win_rate": 0.25, "profit_factor": 0.10, "level_accuracy": 0.10},
+    "systemic": {"total_return": 0.25, "sharpe_ratio": 0.20, "max_drawdown": 0.20, "win_rate": 0.15, "profit_factor": 0.10, "time_based_consistency": 0.10},
 }
+# Fixed values: (added, divisor) that bring a measure into 0 to 1, where it is then cut; others count as they are.
+CLASS_RANGES = {"total_return": (0.5, 1.0), "sharpe_ratio": (1.0, 3.0), "profit_factor": (0.0, 3.0), "avg_trade_pnl": (100.0, 200.0), "max_drawdown": (-0.5, -0.5), "avg_holding_period": (-604800.0, -604800.0)}
+#: Quarter hours of 252 days.
+_YEAR = 252 * 24 * 4
 
 
-def class_scores(found: DataFrame, bars: DataFrame, indicator_class: str, weights: dict[str, dict[str, float]] = CLASS_WEIGHTS) -> DataFrame:
-    """Per symbol the measures of its trades, each within 0 and 1, and their weighted sum for a class of indicators.
+def trade_measures(found: DataFrame, bars: DataFrame, capital: float = 10_000.0, order: tuple[str, ...] = ("entry_ts",)) -> DataFrame:
+    """A row for each symbol with trades: what CLASS_WEIGHTS weighs. found: symbol, entry_ts, pnl, pnl_pct, holding (seconds).
 
-    capture: mean gain, where positive, of which 4 percent count as all; reversal: trades that end with the move of the
-    bar before their entry turned; volume, volatility: entries above the symbol's median volume and bar range; calm:
-    one less the share of trades that a stop ended. found: of trades(), at bars' times.
+    trend_capture_ratio: the share of the profit from trades that begin in a bar whose move exceeds 1.5 deviations of 20 moves;
+    reversal_accuracy: winners among trades that begin where the move turned; volume_confirmation_rate: trades that begin on more
+    volume than the mean of three bars before, the bar itself and one after; volatility_adaptation: profit of trades that begin
+    in the upper 30 percent of deviations, to that of the others; level_accuracy: winners; time_based_consistency: how alike the
+    hours of entry are. avg_holding_period is in seconds. A measure without trades to go by is 0.
     """
-    shown = bars.withColumns({"__was": safe(F.col("close"), before("close")) - 1, "__range": F.col("high") - F.col("low")})
-    middle = shown.groupBy("symbol").agg(F.percentile("volume", F.lit(0.5)).alias("__v"), F.percentile("__range", F.lit(0.5)).alias("__w"))
-    entry = shown.select("symbol", F.col("ts").alias("entry_ts"), "__was", "__range", F.col("volume").alias("__volume"))
-    df = found.join(entry, ["symbol", "entry_ts"], "left").join(F.broadcast(middle), "symbol")
-    yes = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
-    g = F.col("pnl_pct")
-    gains, losses = F.sum(F.when(g > 0, g).otherwise(0.0)), -F.sum(F.when(g < 0, g).otherwise(0.0))
-    turned = (F.signum("__was") == -F.col("side")) & (g > 0)
+    move = safe(F.col("close"), before("close")) - 1
+    shown = blocked(
+        bars.select("symbol", "ts", "close", "volume"),
+        lambda df: df.withColumn("x_r", move).withColumns({"x_sd": deviation("x_r", 20), "x_was": before("x_r")}).withColumn("x_before", F.sum("volume").over(rows(-3, 0))),
+        21,
+    )
+    # the bar after is needed too: a lead of two tells whether it isn't one of the last two
+    ends = bars.groupBy("symbol").agg(F.count("*").alias("__all"))
+    after = numbered(shown).join(ends, "symbol")
+    later = after.select("symbol", (F.col("row") - 1).alias("row"), F.col("volume").alias("__next"))
+    after = after.join(later, ["symbol", "row"], "left")
+    high = shown.groupBy("symbol").agg(F.percentile("x_sd", F.lit(0.7)).alias("__high"))
+    entry = after.join(high, "symbol").select(
+        "symbol", F.col("ts").alias("entry_ts"), F.coalesce(F.abs("x_r") > 1.5 * F.col("x_sd"), F.lit(False)).alias("__trend"), F.coalesce(F.col("x_r") * F.col("x_was") < 0, F.lit(False)).alias("__turn"),
+        F.coalesce(F.col("x_sd") > F.col("__high"), F.lit(False)).alias("__wild"), F.when((F.col("row") >= 3) & (F.col("row") < F.col("__all") - 2), F.col("volume") > (F.col("x_before") + F.col("__next")) / 5).alias("__full"),
+    )
+    at_bar = {c: F.coalesce(c, F.lit(False)) for c in ("__trend", "__turn", "__wild")}
+    df = found.join(entry, ["symbol", "entry_ts"], "left").withColumns(at_bar)
+    run = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__equity", capital + F.sum("pnl").over(run)).withColumn("__peak", F.greatest(F.lit(capital), F.max("__equity").over(run)))
+    pnl, won = F.col("pnl"), F.col("pnl") > 0
+    part = lambda test: F.sum(F.when(test, pnl).otherwise(0.0))
+    share = lambda yes, of: F.coalesce(safe(F.sum(F.when(yes & of, 1.0).otherwise(0.0)), F.sum(F.when(of, 1.0).otherwise(0.0))), F.lit(0.0))
+    loss, wild, calm = -part(pnl < 0), part(F.col("__wild")), part(~F.col("__wild"))
     out = df.groupBy("symbol").agg(
-        F.count("*").alias("trades"), yes(g > 0).alias("win_rate"), F.coalesce(safe(gains, gains + losses), F.lit(0.0)).alias("profit_factor"), F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(g / 100, F.lit(0.0)) * 25))).alias("capture"),
-        yes(turned).alias("reversal"), yes(F.col("__volume") > F.col("__v")).alias("volume"), yes(F.col("__range") > F.col("__w")).alias("volatility"), (1 - yes(F.col("reason") == "stop")).alias("calm"),
+        F.count("*").alias("trades"), (F.sum(pnl) / capital).alias("total_return"), F.coalesce(safe(F.avg("pnl_pct"), F.stddev_pop("pnl_pct")) * _YEAR**0.5, F.lit(0.0)).alias("sharpe_ratio"),
+        F.max((F.col("__peak") - F.col("__equity")) / F.col("__peak")).alias("max_drawdown"), share(won, F.lit(True)).alias("win_rate"), F.when(loss > 0, part(won) / loss).otherwise(F.lit(float("inf"))).alias("profit_factor"),
+        F.avg(pnl).alias("avg_trade_pnl"), F.avg("holding").alias("avg_holding_period"), F.coalesce(F.abs(safe(part(F.col("__trend")), F.sum(pnl))), F.lit(0.0)).alias("trend_capture_ratio"), share(won, F.col("__turn")).alias("reversal_accuracy"),
+        F.coalesce(F.avg(F.col("__full").cast("double")), F.lit(0.0)).alias("volume_confirmation_rate"),
+        F.when(~F.bool_or("__wild"), 0.0).when(calm == 0, F.when(wild > 0, 1.0).otherwise(0.0)).otherwise(wild / F.abs(calm)).alias("volatility_adaptation"), share(won, F.lit(True)).alias("level_accuracy"),
     )
-    parts = [F.col(c) * w for c, w in weights[indicator_class].items()]
-    return out.withColumn("score", sum(parts[1:], parts[0]))
+    hours = found.groupBy("symbol", F.hour("entry_ts").alias("h")).agg(F.avg("pnl").alias("m")).groupBy("symbol").agg(F.when(F.count("*") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.stddev_pop("m") / (F.abs(F.avg("m")) + 1e-8))).alias("time_based_consistency"))
+    return out.join(hours, "symbol")
+
+
+def class_scores(measures: DataFrame, weights: dict[str, dict[str, float]] = CLASS_WEIGHTS) -> DataFrame:
+    """measures (of trade_measures) with a row for each class of indicators: class, score, the weighted mean of its measures within 0 and 1."""
+
+    def scaled(name: str):
+        add, by = CLASS_RANGES.get(name, (0.0, 1.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(name) + add) / by))
+
+    scores = [F.struct(F.lit(c).alias("class"), (sum((scaled(n) * w for n, w in own.items()), F.lit(0.0)) / sum(own.values())).alias("score")) for c, own in weights.items()]
+    return measures.select("*", F.inline(F.array(*scores)))
 
 
 def by_part(parted: DataFrame, rules: Rules = Rules(), signal: str = "signal") -> DataFrame:

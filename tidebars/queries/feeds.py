@@ -173,15 +173,22 @@ def regime_on_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.on_off(_zoned(spark, sf_dir), "zone"))
 
 
-_MEASURES = ["win_rate", "profit_factor", "capture", "reversal", "volume", "volatility", "calm", "score"]
-
-
-@query(f"""{_B}, s AS (SELECT *, close / nullif({lag('close')}, 0) - 1 AS was, high - low AS rg FROM b), m AS (SELECT symbol, quantile_cont(volume, 0.5) AS mv, quantile_cont(rg, 0.5) AS mw FROM s GROUP BY 1),
-t AS (SELECT event_type AS symbol, {_HOUR} AS ts, value - 50 AS g, CASE WHEN value > 30 THEN 1 ELSE -1 END AS side, CASE WHEN value < 20 THEN 'stop' ELSE 'target' END AS reason FROM events), j AS (SELECT t.*, was, rg, volume, mv, mw FROM t LEFT JOIN s USING (symbol, ts) JOIN m USING (symbol)),
-a AS (SELECT symbol, count(*) AS trades, avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, coalesce(sum(CASE WHEN g > 0 THEN g ELSE 0 END) / nullif(sum(abs(g)), 0), 0) AS profit_factor, avg(greatest(0.0, least(1.0, g / 100 * 25))) AS capture, avg(CASE WHEN sign(was) = -side AND g > 0 THEN 1.0 ELSE 0.0 END) AS reversal,
-avg(CASE WHEN volume > mv THEN 1.0 ELSE 0.0 END) AS volume, avg(CASE WHEN rg > mw THEN 1.0 ELSE 0.0 END) AS volatility, 1 - avg(CASE WHEN reason = 'stop' THEN 1.0 ELSE 0.0 END) AS calm FROM j GROUP BY 1), q AS (SELECT *, 0.4 * capture + 0.2 * win_rate + 0.2 * profit_factor + 0.2 * calm AS score FROM a) SELECT symbol, trades, {round_sql(*_MEASURES)} FROM q""")
+_MEASURES = ["total_return", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor", "avg_trade_pnl", "avg_holding_period", "trend_capture_ratio", "reversal_accuracy", "volume_confirmation_rate", "volatility_adaptation", "level_accuracy", "time_based_consistency"]
+
+
+@query(f"""{_B}, r AS (SELECT *, close / nullif({lag('close')}, 0) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS near FROM b),
+d AS (SELECT *, {lag('r')} AS was, CASE WHEN count(r) OVER w = 20 THEN stddev_samp(r) OVER w END AS sd FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), h AS (SELECT symbol, quantile_cont(sd, 0.7) AS upper FROM d GROUP BY 1),
+t AS (SELECT event_id, event_type AS symbol, {_HOUR} AS ts, value - 50 AS pnl, (value - 50) / 100 AS pct, minute(ts) * 3600 AS holding FROM events),
+j AS (SELECT t.*, coalesce(abs(r) > 1.5 * sd, false) AS trend, coalesce(r * was < 0, false) AS turn, coalesce(sd > upper, false) AS wild, CASE WHEN i >= 3 AND i < n - 2 THEN (volume > near)::INT END AS fuller, 10000 + sum(pnl) OVER w AS equity FROM t LEFT JOIN d USING (symbol, ts) JOIN h USING (symbol) WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM j),
+o AS (SELECT symbol, CASE WHEN count(*) < 2 THEN 0 ELSE greatest(0, 1 - stddev_pop(m) / (abs(avg(m)) + 1e-8)) END AS time_based_consistency FROM (SELECT symbol, hour(ts) AS h, avg(pnl) AS m FROM t GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT symbol, count(*) AS trades, sum(pnl) / 10000 AS total_return, avg(pct) / stddev_pop(pct) * sqrt(24192) AS sharpe_ratio, max((peak - equity) / peak) AS max_drawdown, avg((pnl > 0)::INT) AS win_rate, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor, avg(pnl) AS avg_trade_pnl, avg(holding) AS avg_holding_period,
+coalesce(abs(sum(pnl) FILTER (trend) / sum(pnl)), 0) AS trend_capture_ratio, coalesce(avg((pnl > 0)::INT) FILTER (turn), 0) AS reversal_accuracy, coalesce(avg(fuller), 0) AS volume_confirmation_rate, coalesce(sum(pnl) FILTER (wild), 0) / abs(sum(pnl) FILTER (NOT wild)) AS volatility_adaptation, avg((pnl > 0)::INT) AS level_accuracy FROM k GROUP BY 1),
+n AS (SELECT *, greatest(0, least(1, total_return + 0.5)) AS tr, greatest(0, least(1, (sharpe_ratio + 1) / 3)) AS sh, greatest(0, least(1, 1 - max_drawdown / 0.5)) AS dd, win_rate AS wr, least(1, profit_factor / 3) AS pf, greatest(0, least(1, (avg_trade_pnl + 100) / 200)) AS ap, greatest(0, least(1, 1 - avg_holding_period / 86400 / 7)) AS hp FROM g JOIN o USING (symbol)),
+q AS (SELECT *, 'trend_following' AS class, 0.25 * tr + 0.2 * sh + 0.15 * dd + 0.08 * wr + 0.1 * pf + 0.05 * ap + 0.12 * least(1, trend_capture_ratio) + 0.05 * hp AS score FROM n UNION ALL SELECT *, 'oscillators' AS class, 0.2 * tr + 0.15 * sh + 0.2 * dd + 0.2 * wr + 0.1 * pf + 0.05 * ap + 0.1 * reversal_accuracy AS score FROM n UNION ALL SELECT *, 'volume_based' AS class, 0.15 * tr + 0.15 * sh + 0.15 * dd + 0.15 * wr + 0.15 * pf + 0.25 * volume_confirmation_rate AS score FROM n UNION ALL SELECT *, 'volatility' AS class, 0.2 * tr + 0.2 * sh + 0.25 * dd + 0.1 * wr + 0.1 * pf + 0.15 * greatest(0, least(1, volatility_adaptation)) AS score FROM n UNION ALL SELECT *, 'levels_zones' AS class, 0.25 * tr + 0.15 * sh + 0.15 * dd + 0.25 * wr + 0.1 * pf + 0.1 * level_accuracy AS score FROM n UNION ALL SELECT *, 'systemic' AS class, 0.25 * tr + 0.2 * sh + 0.2 * dd + 0.15 * wr + 0.1 * pf + 0.1 * time_based_consistency AS score FROM n) SELECT symbol, trades, class, {round_sql(*_MEASURES, 'score')} FROM q""")
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is a trade that its hour's bar begins."""
+    """Every event is a trade that its hour's bar begins, held for as many hours as its minute says."""
     start = F.window("ts", "1 hour")["start"].cast("timestamp_ntz")
-    found = read(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), start.alias("entry_ts"), (F.col("value") - 50).alias("pnl_pct"), F.when(F.col("value") > 30, 1).otherwise(-1).alias("side"), F.when(F.col("value") < 20, "stop").otherwise("target").alias("reason"))
-    return rounded(backtest.class_scores(found, bars(spark, sf_dir), "trend"))
+    gain = F.col("value") - 50
+    found = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), start.alias("entry_ts"), gain.alias("pnl"), (gain / 100).alias("pnl_pct"), (F.minute("ts") * 3600).alias("holding"))
+    return rounded(backtest.class_scores(backtest.trade_measures(found, bars(spark, sf_dir), order=("entry_ts", "event_id"))))

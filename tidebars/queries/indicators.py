@@ -99,6 +99,7 @@ _window("bollinger_population", [{"mid": roll("avg", "close", 20), "sd": roll("s
 _window("donchian", [{"dc_up": roll("max", "high", 20), "dc_low": roll("min", "low", 20)}, {"dc_mid": "(dc_up + dc_low) / 2", "dc_width": "dc_up - dc_low"}], ["dc_up", "dc_low", "dc_mid", "dc_width"])
 _window("chandelier", [{"tr": TR}, {"atr": roll("avg", "tr", 22)}, {"chandelier_long": f"({roll('max', 'high', 22)}) - 3 * atr", "chandelier_short": f"({roll('min', 'low', 22)}) + 3 * atr"}], ["chandelier_long", "chandelier_short"])
 _window("choppiness", [{"tr": TR}, {"ratio": f"({roll('sum', 'tr', 14)}) / nullif({_RANGE14}, 0)"}, {"chop": "100 * log10(ratio) / log10(14.0)"}], ["chop"])
+_window("choppiness_summed", [{"tr": TR, "rg": _RANGE14}, {"ratio": f"({roll('sum', 'tr', 14)}) / nullif({roll('sum', 'rg', 14)}, 0)"}, {"chop_summed": "100 * log10(ratio) / log10(14.0)"}], ["chop_summed"])
 _window("realised", [{"r": f"close / nullif({lag('close')}, 0) - 1"}, {"realised": f"({roll('stddev_samp', 'r', 20)}) * sqrt(20.0)"}], ["realised"])
 _window("vix_fix", [{"vix_fix": f"100 * (({roll('max', 'close', 22)}) - low) / nullif({roll('max', 'close', 22)}, 0)"}], ["vix_fix"])
 _window("spike", [{"spike": "close - open"}, {"spike_sd": roll("stddev_pop", "spike", 20)}], ["spike", "spike_sd"])
@@ -160,7 +161,13 @@ _fold("tsi", [{"d": _STEP}, {"d1": ema_adjusted("d", 2 / 26), "a1": ema_adjusted
 _fold("power", [{"mid": ema_adjusted("close", 2 / 14)}, {"bull_power": "high - mid", "bear_power": "low - mid"}], "power")
 _fold("heikin_ashi", [{"ha_close_rec": "(open + high + low + close) / 4"}, {"seed": f"coalesce({lag('ha_close_rec')}, (open + close) / 2)"}, {"ha_open_rec": ema("seed", 0.5)}], "heikin_ashi")
 _fold("mcginley", [{"mcginley": "list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: CASE WHEN a = 0 THEN x WHEN x = 0 THEN a ELSE a + (x - a) / greatest(1.0, 14 * (x / a) ** 4) END)"}], "mcginley")
-_fold("mcginley_free", [{"mcginley_free": "list_reduce(list(close + 100) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: CASE WHEN a = 0 THEN x WHEN x = 0 THEN a ELSE a + (x - a) / (14 * (x / a) ** 4) END)"}], "mcginley_free")
+# prices here can be near 0, so the published path runs over the close plus 100
+_register(
+    "fold_mcginley_free", lambda b: recurrences.apply(b.withColumn("close", F.col("close") + 100), "mcginley_free"),
+    [{"i": "row_number() OVER (PARTITION BY symbol ORDER BY ts)", "seed": roll("avg", "close + 100", 14)}, {"x": "CASE WHEN i = 14 THEN seed WHEN i > 14 THEN close + 100 END"},
+     {"mcginley_free": "list_reduce(list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: a + (x - a) / (14 * (x / a) ** 4))"}],
+    ["mcginley_free"],
+)
 _EMAS = {f"e{n}": ema_adjusted("close", 2 / (n + 1)) for n in (7, 14, 20, 50, 200)}
 _fold(
     "ema_crosses",
@@ -170,7 +177,11 @@ _fold(
     ],
     "ema_crosses",
 )
-_fold("conditional_ema", [{"e14": _EMAS["e14"], "first": f"{lag('close')} IS NULL"}, {"held": "CASE WHEN close > open OR first THEN e14 END"}, {"conditional_ema": carry("held")}], "conditional_ema")
+_fold("conditional_ema", [{"e14": _EMAS["e14"], "first": f"{lag('close')} IS NULL"}, {"held": "CASE WHEN close > 0 OR first THEN e14 END"}, {"conditional_ema": carry("held")}], "conditional_ema")
+_register(
+    "fold_conditional_ema_volume", lambda b: recurrences.by_symbol(b, recurrences.conditional("volume", 150.0), ["conditional_ema"]),
+    [{"e14": _EMAS["e14"], "first": f"{lag('close')} IS NULL"}, {"held": "CASE WHEN volume > 150 OR first THEN e14 END"}, {"conditional_ema": carry("held")}], ["conditional_ema"],
+)
 _fold(
     "ema_oscillators",
     [
@@ -202,8 +213,8 @@ _window("adx_mixed", _MIXED, ["adx_mixed", "plus_di_mixed", "minus_di_mixed"])
 _window(
     "adx_clip",
     [
-        {"p": f"greatest(coalesce(high - {lag('high')}, 0.0), 0.0)", "m": f"greatest(coalesce({lag('low')} - low, 0.0), 0.0)", "tr": TR},
-        {"plus_di_clip": f"100 * ({roll('avg', 'p', 14)}) / (({roll('avg', 'tr', 14)}) + 0.001)", "minus_di_clip": f"100 * ({roll('avg', 'm', 14)}) / (({roll('avg', 'tr', 14)}) + 0.001)"},
+        {"p": f"CASE WHEN high > {lag('high')} THEN high - {lag('high')} WHEN high <= {lag('high')} THEN 0.0 END", "m": f"CASE WHEN low < {lag('low')} THEN {lag('low')} - low WHEN low >= {lag('low')} THEN 0.0 END", "tr": TR},
+        {"plus_di_clip": f"100 * (({roll('avg', 'p', 14)}) / nullif({roll('avg', 'tr', 14)}, 0))", "minus_di_clip": f"100 * (({roll('avg', 'm', 14)}) / nullif({roll('avg', 'tr', 14)}, 0))"},
         {"dx": "100 * abs(plus_di_clip - minus_di_clip) / (plus_di_clip + minus_di_clip + 0.001)"}, {"adx_clip": roll("avg", "dx", 14)},
     ],
     ["adx_clip", "plus_di_clip", "minus_di_clip"],
