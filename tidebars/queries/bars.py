@@ -184,25 +184,23 @@ def flux_count_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("user_id").alias("users"), F.min_by("event_id", "ts").alias("first_id"))
 
 
-_REF = "f AS (SELECT ts, last(value ORDER BY event_id) AS reference FROM events WHERE event_type = 'error' AND event_id % 7 = 0 GROUP BY ts)"
+_REF = "f AS (SELECT symbol, ts, last(price ORDER BY id) AS reference FROM e GROUP BY symbol, ts)"
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse series, known to every symbol."""
-    rows = read(spark, sf_dir, "events").where("event_type = 'error' and event_id % 7 = 0")
-    kinds = read(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
-    return rows.select("ts", F.col("value").alias("reference"), F.col("event_id").alias("id")).join(F.broadcast(kinds), how="cross")
+    """Every event of a symbol."""
+    return ticks(spark, sf_dir).select("symbol", "ts", F.col("price").alias("reference"), "id")
 
 
-@query(f"{_B}, {_REF} SELECT b.symbol, b.ts, {round_sql('close')}, f.reference FROM b ASOF LEFT JOIN f ON b.ts >= f.ts")
+@query(f"{_B}, {_REF} SELECT b.symbol, b.ts, {round_sql('close')}, f.reference FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts")
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = bars(spark, sf_dir).select("symbol", "ts", "close")
     return rounded(joins.asof(left, _reference(spark, sf_dir), ["reference"], tie="id"), "close")
 
 
-@query(f"{_B}, {_REF} SELECT b.symbol, b.ts, CASE WHEN f.ts >= b.ts - INTERVAL '2 hours' THEN f.reference END AS reference FROM b ASOF LEFT JOIN f ON b.ts >= f.ts")
+@query(f"{_B}, {_REF} SELECT b.symbol, b.ts, CASE WHEN f.ts >= b.ts - INTERVAL '30 minutes' THEN f.reference END AS reference FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts")
 def asof_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.asof(bars(spark, sf_dir).select("symbol", "ts"), _reference(spark, sf_dir), ["reference"], "2 hours", tie="id")
+    return joins.asof(bars(spark, sf_dir).select("symbol", "ts"), _reference(spark, sf_dir), ["reference"], "30 minutes", tie="id")
 
 
 @query(f"""WITH {TICKS_SQL}, a AS ({bars_sql('15 minutes')}), b AS ({bars_sql('4 hours')}), k AS (SELECT symbol, ts + INTERVAL '4 hours' AS ts, close AS close_4h FROM b)
@@ -212,13 +210,13 @@ def merge_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.merge_timeframes(base, {"4h": bars(spark, sf_dir, "4h")}, ["close"]))
 
 
-_DAYS = f"z AS (SELECT symbol, ts AS start, ts + INTERVAL '36 hours' AS stop, high AS zone_high FROM ({bars_sql('1 day')}) WHERE day(ts) % 5 = 0)"
+_DAYS = f"z AS (SELECT symbol, ts AS start, ts + INTERVAL '36 hours' AS stop, high AS zone_high FROM ({bars_sql('1 day')}))"
 
 
 @query(f"{_B}, {_DAYS} SELECT b.symbol, b.ts, z.start, {round_sql('zone_high')} FROM b JOIN z ON b.symbol = z.symbol AND b.ts >= z.start AND b.ts < z.stop")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars of each zone, which may overlap."""
-    zones = bars(spark, sf_dir, "1d").where(F.dayofmonth("ts") % 5 == 0).select("symbol", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 36 hours")).alias("stop"), F.col("high").alias("zone_high"))
+    zones = bars(spark, sf_dir, "1d").select("symbol", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 36 hours")).alias("stop"), F.col("high").alias("zone_high"))
     return rounded(joins.within(bars(spark, sf_dir).select("symbol", "ts"), zones).select("symbol", "ts", "start", "zone_high"))
 
 

@@ -62,17 +62,17 @@ def depth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "ts", "update_id", F.size("bids").alias("bids"), F.size("asks").alias("asks"), F.col("bids")[0]["price"].alias("best_bid"), F.col("asks")[0]["price"].alias("best_ask"))
 
 
-@query(f"{_B} SELECT 'click' AS symbol, ts, {round_sql('close')} FROM b WHERE symbol = 'click'")
+@query(f"{_B} SELECT symbol, ts, {round_sql('close')} FROM b")
 def funding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = bars(spark, sf_dir).where("symbol = 'click'").select(F.to_json(F.struct(_millis("ts").alias("fundingTime"), F.col("close").cast("string").alias("fundingRate"))).alias("value"))
-    return rounded(exchange.funding(lines, "click").withColumnRenamed("funding_rate", "close"))
+    lines = bars(spark, sf_dir).select(F.col("symbol").alias("of"), F.to_json(F.struct(_millis("ts").alias("fundingTime"), F.col("close").cast("string").alias("fundingRate"))).alias("value"))
+    return rounded(exchange.funding(lines, F.col("of")).withColumnRenamed("funding_rate", "close"))
 
 
-@query(f"{_B} SELECT 'view' AS symbol, ts, {round_sql('volume')} FROM b WHERE symbol = 'view'")
+@query(f"{_B} SELECT symbol, ts, {round_sql('volume')} FROM b")
 def open_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct(_millis("ts").alias("time"), F.col("volume").cast("string").alias("openInterest"))
-    pages = bars(spark, sf_dir).where("symbol = 'view'").groupBy(F.to_date("ts")).agg(F.to_json(F.collect_list(row)).alias("value"))
-    return rounded(exchange.open_interest(pages, "view").withColumnRenamed("open_interest", "volume"))
+    pages = bars(spark, sf_dir).groupBy(F.col("symbol").alias("of"), F.to_date("ts")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    return rounded(exchange.open_interest(pages, F.col("of")).withColumnRenamed("open_interest", "volume"))
 
 
 @query("SELECT 'ALL' AS symbol, event_id AS id, date_trunc('millisecond', ts) AS ts, CASE WHEN event_type IN ('error', 'view') THEN 'long' WHEN event_type = 'click' THEN NULL ELSE 'short' END AS liquidation_type, value AS price, value AS liquidation_quantity FROM events")
@@ -82,11 +82,11 @@ def forced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.liquidations(read(spark, sf_dir, "events").select(F.to_json(F.array(one)).alias("value")), "ALL")
 
 
-@query(f"{_B} SELECT 'signup' AS symbol, ts, {round_sql(*_PRICES)} FROM b WHERE symbol = 'signup'")
+@query(f"{_B} SELECT symbol, ts, {round_sql(*_PRICES)} FROM b")
 def nested_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timeOpen"), F.struct(F.struct(*_PRICES).alias("USD")).alias("quote"))
-    lines = bars(spark, sf_dir).where("symbol = 'signup'").select(F.to_json(F.struct(F.struct(F.array(q).alias("quotes")).alias("data"))).alias("value"))
-    return rounded(exchange.quotes(lines, "signup"))
+    lines = bars(spark, sf_dir).select(F.col("symbol").alias("of"), F.to_json(F.struct(F.struct(F.array(q).alias("quotes")).alias("data"))).alias("value"))
+    return rounded(exchange.quotes(lines, F.col("of")))
 
 
 @query(f"{_B} SELECT symbol, ts, {round_sql('close')} FROM b WHERE ts > TIMESTAMP '2024-01-10 00:00:00' OR symbol = 'view'")

@@ -30,9 +30,9 @@ def _number(x: Column) -> Column:
 
 
 def _latest(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row for each key, the one with the largest __at."""
+    """One row for each key, the one with the largest __at; of rows that differ at the same __at the greatest, column by column."""
     rest = [c for c in rows.columns if c not in keys and c != "__at"]
-    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("__at")).alias("__r"))
+    out = rows.groupBy(*keys).agg(F.max(F.struct("__at", *rest)).alias("__r"))
     return out.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
@@ -65,19 +65,20 @@ def depth(answers: DataFrame, symbol: str, value: str = "value") -> DataFrame:
     return read.select(F.lit(symbol).alias("symbol"), parse_time(F.col("d.fetched_at")).alias("ts"), F.col("d.lastUpdateId").alias("update_id"), side(F.col("d.bids")).alias("bids"), side(F.col("d.asks")).alias("asks")).where("ts is not null and (bids is not null or asks is not null)")
 
 
-def series(answers: DataFrame, symbol: str, x: str, name: str, value: str = "value", times: tuple[str, ...] = TIME_FIELDS) -> DataFrame:
-    """A sparse series (funding rates, open interest) of objects or arrays of objects: the first time field there is, and x as a number."""
+def series(answers: DataFrame, symbol: str | Column, x: str, name: str, value: str = "value", times: tuple[str, ...] = TIME_FIELDS) -> DataFrame:
+    """A sparse series (funding rates, open interest) of objects or arrays of objects: the first time field there is, and x as a number.
+    symbol: a name, or a column of answers."""
     wrapped = F.when(F.trim(value).startswith("["), F.col(value)).otherwise(F.concat(F.lit("["), F.col(value), F.lit("]")))
-    each = answers.select(F.explode(F.from_json(wrapped, "array<map<string,string>>")).alias("m"))
-    typed = each.select(F.lit(symbol).alias("symbol"), F.coalesce(*[parse_time(F.col("m")[t]) for t in times]).alias("ts"), _number(F.col("m")[x]).alias(name), F.lit(0).alias("__at"))
+    each = answers.select(F.lit(symbol).alias("symbol"), F.explode(F.from_json(wrapped, "array<map<string,string>>")).alias("m"))
+    typed = each.select("symbol", F.coalesce(*[parse_time(F.col("m")[t]) for t in times]).alias("ts"), _number(F.col("m")[x]).alias(name), F.lit(0).alias("__at"))
     return _latest(typed.where("ts is not null"), "symbol", "ts")
 
 
-def funding(answers: DataFrame, symbol: str, value: str = "value") -> DataFrame:
+def funding(answers: DataFrame, symbol: str | Column, value: str = "value") -> DataFrame:
     return series(answers, symbol, "fundingRate", "funding_rate", value)
 
 
-def open_interest(answers: DataFrame, symbol: str, value: str = "value") -> DataFrame:
+def open_interest(answers: DataFrame, symbol: str | Column, value: str = "value") -> DataFrame:
     return series(answers, symbol, "openInterest", "open_interest", value)
 
 
@@ -89,18 +90,18 @@ def liquidations(answers: DataFrame, symbol: str, value: str = "value") -> DataF
     return _latest(typed.where("id is not null and ts is not null"), "symbol", "id")
 
 
-def quotes(answers: DataFrame, symbol: str, currency: str = "USD", value: str = "value") -> DataFrame:
+def quotes(answers: DataFrame, symbol: str | Column, currency: str = "USD", value: str = "value") -> DataFrame:
     """Daily bars nested in data.quotes[].quote.<currency>."""
     kind = f"struct<data:struct<quotes:array<struct<timeOpen:string,quote:struct<`{currency}`:struct<open:double,high:double,low:double,close:double,volume:double>>>>>>"
-    q = answers.select(F.explode(F.from_json(value, kind)["data"]["quotes"]).alias("q"))
+    q = answers.select(F.lit(symbol).alias("symbol"), F.explode(F.from_json(value, kind)["data"]["quotes"]).alias("q"))
     prices = F.col(f"q.quote.{currency}")
-    return q.select(F.lit(symbol).alias("symbol"), parse_time(F.col("q.timeOpen")).alias("ts"), *[prices[c].alias(c) for c in ("open", "high", "low", "close", "volume")]).where("ts is not null")
+    return q.select("symbol", parse_time(F.col("q.timeOpen")).alias("ts"), *[prices[c].alias(c) for c in ("open", "high", "low", "close", "volume")]).where("ts is not null")
 
 
 def newer(rows: DataFrame, kept: DataFrame, by: str = "symbol", time: str = "ts") -> DataFrame:
     """The rows after the last time that is kept of each symbol, where an incremental collector goes on."""
     last = kept.groupBy(by).agg(F.max(time).alias("__last"))
-    return rows.join(F.broadcast(last), by, "left").where(F.col("__last").isNull() | (F.col(time) > F.col("__last"))).drop("__last")
+    return rows.join(last, by, "left").where(F.col("__last").isNull() | (F.col(time) > F.col("__last"))).drop("__last")
 
 
 def timeframes(spark: SparkSession, paths: dict[str, str], symbol: str | None = None) -> DataFrame:
