@@ -169,13 +169,15 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPIKES = hidden.States(np.array([0.8, 0.2]), np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([[30.0], [120.0]]), np.array([[900.0], [3600.0]]))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, date_trunc('millisecond', ts) AS ts, event_id AS id, value AS price FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, id) AS i, avg(price) OVER (PARTITION BY symbol ORDER BY ts, id ROWS 19 PRECEDING) AS mean, -0.5 * ((price - 30) ** 2 / 900 + ln(2 * pi() * 900)) AS l0, -0.5 * ((price - 120) ** 2 / 3600 + ln(2 * pi() * 3600)) AS l1 FROM e),
+@query(f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, date_trunc('millisecond', ts) AS ts, event_id AS id, value AS price FROM events), w AS (SELECT *, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts, id) > INTERVAL '1 day' AS anew FROM e),
+h AS (SELECT *, count(*) FILTER (anew) OVER (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS seg FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol, seg ORDER BY ts, id) AS i, avg(price) OVER (PARTITION BY symbol, seg ORDER BY ts, id ROWS 19 PRECEDING) AS mean, -0.5 * ((price - 30) ** 2 / 900 + ln(2 * pi() * 900)) AS l0, -0.5 * ((price - 120) ** 2 / 3600 + ln(2 * pi() * 3600)) AS l1 FROM h),
 d AS MATERIALIZED (SELECT *, exp(l0 - greatest(l0, l1)) AS b0, exp(l1 - greatest(l0, l1)) AS b1 FROM n),
-f(symbol, i, f0, f1) AS (SELECT symbol, i, 0.8 * b0 / (0.8 * b0 + 0.2 * b1), 0.2 * b1 / (0.8 * b0 + 0.2 * b1) FROM d WHERE i = 1 UNION ALL
-SELECT symbol, i, u / (u + v), v / (u + v) FROM (SELECT d.symbol, d.i, (0.9 * f0 + 0.3 * f1) * b0 AS u, (0.1 * f0 + 0.7 * f1) * b1 AS v FROM f JOIN d ON d.symbol = f.symbol AND d.i = f.i + 1)),
-q AS (SELECT d.symbol, ts, id, mean, f1 AS chance FROM d JOIN f USING (symbol, i) WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= {_CLOSED}) SELECT symbol, ts, id, {round_sql('mean', 'chance')} FROM q""")
+f(symbol, seg, i, f0, f1) AS (SELECT symbol, seg, i, 0.8 * b0 / (0.8 * b0 + 0.2 * b1), 0.2 * b1 / (0.8 * b0 + 0.2 * b1) FROM d WHERE i = 1 UNION ALL
+SELECT symbol, seg, i, u / (u + v), v / (u + v) FROM (SELECT d.symbol, d.seg, d.i, (0.9 * f0 + 0.3 * f1) * b0 AS u, (0.1 * f0 + 0.7 * f1) * b1 AS v FROM f JOIN d ON d.symbol = f.symbol AND d.seg = f.seg AND d.i = f.i + 1)),
+q AS (SELECT d.symbol, ts, id, mean, f1 AS chance FROM d JOIN f USING (symbol, seg, i) WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= {_CLOSED}) SELECT symbol, ts, id, {round_sql('mean', 'chance')} FROM q""")
 def stream_live_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of calm and spiking values, run over the stream with its state kept by symbol."""
+    """A model of calm and spiking values, run over the stream with its state kept by symbol; a day of silence begins anew."""
     with live.store(spark):
         out = _stream(spark, sf_dir, lambda e: live.live_states(e.select("symbol", "ts", F.col("event_id").alias("id"), F.col("value").alias("price")), _SPIKES))
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "id", "mean", "chance")
