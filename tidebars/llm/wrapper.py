@@ -20,7 +20,9 @@ and a tag that the page's end cuts short is dropped.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,6 +39,9 @@ LEAST_PAGES = 4
 TEMPLATE_SHARE = 0.9
 #: Deeper nodes count as of this depth in the alignment.
 MOST_DEPTH = 400
+#: Pairs of nodes below the compared siblings, after which the rest are weighed by shape; longer lists are aligned in stretches.
+EXACT_CELLS = 1 << 18
+STRETCH = 2048
 
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -227,46 +232,138 @@ def _children(skeleton: np.ndarray) -> list[list[int]]:
     return out
 
 
-def align(page: np.ndarray, reference: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (node, reference node) of the largest mapping by simple tree matching."""
-    tags, texts, below = (page[:, 0].tolist(), page[:, 2].tolist(), _children(page))
-    rtags, rtexts, rbelow = (reference[:, 0].tolist(), reference[:, 2].tolist(), _children(reference))
+def _classes(page: np.ndarray, reference: np.ndarray) -> list[tuple[list, list, list, list, list]]:
+    """Of both pages: children, text tokens, classes, shapes and sizes of the nodes. Subtrees of equal tags and texts have one
+    class, those of equal tags one shape. A text that the other page doesn't have can match nothing, so all such texts of a
+    page are one token: what varies between pages doesn't make classes of its own."""
+    known: dict[tuple, int] = {}
+    common = set(page[:, 2].tolist()) & set(reference[:, 2].tolist()) | {0}
+    out = []
+    for side, missing in ((page, 2), (reference, 4)):  # hashes of texts are odd or 0
+        below, tags = _children(side), side[:, 0].tolist()
+        texts = [t if t in common else missing for t in side[:, 2].tolist()]
+        classes, shapes, sizes = ([0] * len(side) for _ in range(3))
+        for k in range(len(side) - 1, -1, -1):
+            own = below[k]
+            classes[k] = known.setdefault((tags[k], texts[k], *[classes[c] for c in own]), len(known))
+            shapes[k] = known.setdefault((tags[k], None, *[shapes[c] for c in own]), len(known))
+            sizes[k] = 1 + sum(sizes[c] for c in own)
+        out.append((below, texts, classes, shapes, sizes))
+    return out
+
+
+def _best_mapping(weights: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and pairs of the largest ordered mapping of rows to columns; of equally large ones the one of earliest places."""
+    n, m = weights.shape
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n):
+        with_it = np.where(weights[i] > 0, best[i, :-1] + weights[i], 0)
+        np.maximum.accumulate(np.maximum(best[i, 1:], with_it), out=best[i + 1, 1:])
+    i, j, chosen = n, m, []
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            chosen.append((i, j))
+    return int(best[n, m]), chosen
+
+
+def _best_mapping_small(weights: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
+    """As _best_mapping, faster for few cells."""
+    best = [[0] * (len(weights[0]) + 1)]
+    for row in weights:
+        above, line, left = best[-1], [0], 0
+        for j, w in enumerate(row):
+            left = max(above[j + 1], left, above[j] + w if w else 0)
+            line.append(left)
+        best.append(line)
+    i, j, chosen = len(weights), len(weights[0]), []
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            chosen.append((i, j))
+    return best[-1][-1], chosen
+
+
+def _by_shape(page: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Weights of pairs of subtrees by their (tag, text, class, shape, size) alone."""
+    tags, texts, classes, shapes, _ = (x[:, None] == y[None, :] for x, y in zip(page, reference))
+    sizes = page[4][:, None]
+    return np.where(tags, np.where(classes, 3 * sizes, np.where(shapes, 2 * sizes, 2) + texts), 0)
+
+
+def align(page: np.ndarray, reference: np.ndarray, exact_cells: int | None = EXACT_CELLS, stretch: int = STRETCH) -> list[tuple[int, int]]:
+    """Pairs (node, reference node) of the largest mapping by simple tree matching: a pair weighs 2, equal texts 1 more.
+
+    Lists of siblings lose their equal heads and tails first (no mapping is larger without those pairs), and a pair of
+    classes is weighed once. Where exact_cells pairs of their children (None: any number) don't reach any more, a pair of subtrees not weighed yet
+    counts by its shape: 3 a node where all is equal, 2 a node where the tags are, else by its two roots alone; subtrees so
+    paired are still aligned in themselves. Two lists of more than stretch ** 2 pairs are aligned in stretches at like places.
+    So the time and memory for a page grow with its nodes, not with the square of a list."""
+    if page[0, 0] != reference[0, 0]:
+        return []
+    (below, texts, classes, shapes, sizes), (rbelow, rtexts, rclasses, rshapes, rsizes) = _classes(page, reference)
+    tags, rtags = page[:, 0].tolist(), reference[:, 0].tolist()
+    page_side, reference_side = (np.array(x, np.int64) for x in ((tags, texts, classes, shapes, sizes), (rtags, rtexts, rclasses, rshapes, rsizes)))
+    left = exact_cells
+    known: dict[tuple[int, int], int] = {}
     paths: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def weigh(a: int, b: int) -> int:
-        """2 for a pair, 1 more for equal texts, and the best of the children's mappings."""
-        own = 3 if texts[a] == rtexts[b] else 2
+        """The weight of a pair with the best mapping of its children, whose places are left in paths."""
+        nonlocal left
+        key = classes[a], rclasses[b]
+        if key in known:
+            return known[key]
+        total = 3 if texts[a] == rtexts[b] else 2
         xs, ys = below[a], rbelow[b]
-        if not xs or not ys:
-            return own
-        pair = [[weigh(x, y) if tags[x] == rtags[y] else 0 for y in ys] for x in xs]
-        best = [[0] * (len(ys) + 1)]
-        for row in pair:
-            above, line, left = best[-1], [0], 0
-            for j, w in enumerate(row):
-                left = max(above[j + 1], left, above[j] + w if w else 0)
-                line.append(left)
-            best.append(line)
-        i, j, chosen = len(xs), len(ys), []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
+        head, tail, least = 0, 0, min(len(xs), len(ys))
+        while head < least and classes[xs[head]] == rclasses[ys[head]]:
+            head += 1
+        while tail < least - head and classes[xs[-1 - tail]] == rclasses[ys[-1 - tail]]:
+            tail += 1
+        chosen = [(k, k) for k in range(head)] + [(len(xs) - k, len(ys) - k) for k in range(1, tail + 1)]
+        total += sum(3 * sizes[xs[i]] for i, _ in chosen)
+        n, m = len(xs) - head - tail, len(ys) - head - tail
+        cuts = math.ceil(math.sqrt(n * m) / stretch)
+        for k in range(cuts):
+            i0, i1, j0, j1 = (head + size * at // cuts for size in (n, m) for at in (k, k + 1))
+            if i0 == i1 or j0 == j1:
+                continue
+            us = {classes[x]: x for x in xs[i0:i1]}
+            vs = {rclasses[y]: y for y in ys[j0:j1]}
+            nested = sum(len(below[x]) for x in us.values()) * sum(len(rbelow[y]) for y in vs.values())
+            exact = left is None or nested <= left
+            if exact and left is not None:
+                left -= nested
+            one_by_one = exact and (nested > 0 or len(us) * len(vs) <= 400)
+            if one_by_one:
+                pair = {(c, d): 0 if tags[x] != rtags[y] else weigh(x, y) if below[x] and rbelow[y] else 3 if texts[x] == rtexts[y] else 2 for c, x in us.items() for d, y in vs.items()}
+            if one_by_one and (i1 - i0) * (j1 - j0) <= 400:
+                more, mapped = _best_mapping_small([[pair[classes[x], rclasses[y]] for y in ys[j0:j1]] for x in xs[i0:i1]])
             else:
-                i, j = i - 1, j - 1
-                chosen.append((xs[i], ys[j]))
-        paths[a, b] = chosen
-        return own + best[-1][-1]
+                rows, columns = ({c: k for k, c in enumerate(of)} for of in (us, vs))
+                table = np.array(list(pair.values())).reshape(len(us), len(vs)) if one_by_one else _by_shape(page_side[:, list(us.values())], reference_side[:, list(vs.values())])
+                more, mapped = _best_mapping(table[[rows[classes[x]] for x in xs[i0:i1]]][:, [columns[rclasses[y]] for y in ys[j0:j1]]])
+            total += more
+            chosen += [(i0 + i, j0 + j) for i, j in mapped]
+        known[key], paths[key] = total, chosen
+        return total
 
-    if tags[0] != rtags[0]:
-        return []
-    weigh(0, 0)
     found, todo = [], [(0, 0)]
     while todo:
-        pair = todo.pop()
-        found.append(pair)
-        todo += paths.get(pair, [])
+        a, b = todo.pop()
+        found.append((a, b))
+        if below[a] and rbelow[b]:
+            weigh(a, b)
+            todo += [(below[a][i], rbelow[b][j]) for i, j in paths[classes[a], rclasses[b]]]
     return found
 
 
@@ -293,12 +390,17 @@ def _text_places(page: np.ndarray, pairs: dict[int, int], same: set[int]) -> lis
 
 def _lowest_over(nodes: set[int], parents: list[int]) -> int | None:
     """The lowest node that all of nodes are, or are under; parents come before their children."""
-    some = sorted(nodes)
-    while len(some) > 1:
-        last = some.pop()
-        if parents[last] not in some:
-            some = sorted([*some, parents[last]])
-    return some[0] if some else None
+    held = set(nodes)
+    last = [-k for k in held]
+    heapq.heapify(last)
+    while len(held) > 1:
+        node = -heapq.heappop(last)
+        held.remove(node)
+        up = parents[node]
+        if up not in held:
+            held.add(up)
+            heapq.heappush(last, -up)
+    return held.pop() if held else None
 
 
 def _cut(text: str) -> bool:
