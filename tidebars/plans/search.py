@@ -133,12 +133,17 @@ def evolve(score: Callable[[list[tuple[int, ...]]], dict[tuple[int, ...], float]
     return best
 
 
+def scored_crossings(bars: DataFrame, settings: list[tuple[int, ...]]) -> DataFrame:
+    """Scores of these pairs (fast, slow) per symbol."""
+    own = [({"fast": f, "slow": s}, F.signum(F.col(f"__m{f}") - F.col(f"__m{s}")).cast("int")) for f, s in settings]
+    return _scores(_held(_with_means(bars, own), own), "symbol", "fast", "slow")
+
+
 def evolve_crossings(bars: DataFrame, ranges: list[tuple[int, int]] = [(2, 20), (10, 60)], **kw) -> list[tuple[tuple[int, ...], float]]:
     """evolve over (fast, slow) with fast < slow, rated by the mean over symbols of return over deviation."""
 
     def score(settings: list[tuple[int, ...]]) -> dict[tuple[int, ...], float]:
-        own = [({"fast": f, "slow": s}, F.signum(F.col(f"__m{f}") - F.col(f"__m{s}")).cast("int")) for f, s in settings]
-        rated = _scores(_held(_with_means(bars, own), own), "symbol", "fast", "slow").groupBy("fast", "slow").agg(F.avg("sharpe").alias("s"))
+        rated = scored_crossings(bars, settings).groupBy("fast", "slow").agg(F.avg("sharpe").alias("s"))
         return {(r["fast"], r["slow"]): r["s"] for r in rated.collect()}
 
     return evolve(score, ranges, lambda p: p[0] < p[1], **kw)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebars import session
 from tidebars.functions import indicators as ind
-from tidebars.plans import hidden, learn, search, validation
+from tidebars.plans import hidden, learn, optimise, search, validation
 from tidebars.queries.regimes import _B, _ZONED, _zoned
 from tidebars.queries.tables import bars, lag, over, roll, round_sql, rounded
 
@@ -162,6 +163,34 @@ def ga_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, *own, score) for k, (own, score) in enumerate(found)], "generation int, fast int, slow int, sharpe double")
 
 
+def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df from a table in the shared folder, so that no round of a search makes the bars again."""
+    path = session.scratch(spark, "search")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_WIDE = [(f, s) for f in range(2, 7) for s in range(8, 14)]
+
+
+@query(f"{_B}{_grid_sql(_WIDE)}, r AS (SELECT fast, slow, round(avg(sharpe), 9) AS sharpe, -sum(trades) AS calm FROM g GROUP BY 1, 2) SELECT fast, slow, {round_sql('sharpe')}, CAST(-calm AS BIGINT) AS trades FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.sharpe >= r.sharpe AND o.calm >= r.calm AND (o.sharpe > r.sharpe OR o.calm > r.calm))")
+def front_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of much return over deviation and few trades, by sorting into fronts; the SQL rates every setting."""
+    b = _written(spark, bars(spark, sf_dir))
+    found = optimise.nondominated(lambda p: optimise.crossings(b, p), [(2, 6), (8, 13)], lambda p: True, population=16, generations=4)
+    return rounded(spark.createDataFrame([(*own, sharpe, int(-calm)) for own, (sharpe, calm) in found], "fast int, slow int, sharpe double, trades long"))
+
+
+def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best (fast, slow) by a model of the score, after each of its rounds."""
+    b = _written(spark, bars(spark, sf_dir))
+    found = optimise.modelled(lambda p: {k: v[0] for k, v in optimise.crossings(b, p).items()}, [(2, 20), (10, 60)], lambda p: p[0] < p[1], first=8, rounds=3, batch=4)
+    return rounded(spark.createDataFrame([(k, *own, score) for k, (own, score) in enumerate(found)], "round int, fast int, slow int, sharpe double"))
+
+
+QUERIES["model_search"] = model_search
+
+
 @query(f"""{_GRID}, a AS (SELECT fast, slow, avg(sharpe) AS sharpe FROM g GROUP BY 1, 2), one AS (SELECT * FROM a WHERE slow = 50 ORDER BY sharpe DESC, fast LIMIT 1), two AS (SELECT * FROM a WHERE fast = (SELECT fast FROM one) ORDER BY sharpe DESC, slow LIMIT 1)
 SELECT step, fast, slow, {round_sql('sharpe')} FROM (SELECT 1 AS step, * FROM one UNION ALL SELECT 2, * FROM two)""")
 def stepwise_search(spark: SparkSession, sf_dir: str) -> DataFrame:
