@@ -107,12 +107,15 @@ def segments(bars: DataFrame, n: int = 24, step: int = 12, slope_jump: float = 0
     return df.withColumn("segment", F.sum("__cut").over(ordered().rowsBetween(Window.unboundedPreceding, 0))).drop("__i", "__slope", "__at", "__look", "__last", "__cut")
 
 
-def segment_matrix(bars: DataFrame) -> DataFrame:
-    """A row for each segment: bounds, prices, slope, volatility and volume, and their classes. bars: segment."""
+def segment_matrix(bars: DataFrame, lone_slope: float | None = None) -> DataFrame:
+    """A row for each segment: bounds, prices, slope, volatility and volume, and their classes. bars: segment.
+
+    A segment with a single close has no line; its slope is lone_slope (null: flat; NaN, as in DuckDB, is over any number: up).
+    """
     df = bars.withColumns({"__i": F.row_number().over(ordered()).cast("double"), "__r": returns("close")})
     out = df.groupBy("symbol", "segment").agg(
         F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("bars"), F.min_by("open", "ts").alias("open"), F.max_by("close", "ts").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.regr_slope("close", "__i").alias("slope"), F.stddev_samp("__r").alias("volatility"), F.sum("volume").alias("volume"), F.avg("volume").alias("mean_volume"),
+        F.when(F.count("close") == 1, F.lit(lone_slope).cast("double")).otherwise(F.regr_slope("close", "__i")).alias("slope"), F.stddev_samp("__r").alias("volatility"), F.sum("volume").alias("volume"), F.avg("volume").alias("mean_volume"),
     )
     out = out.withColumn("change_pct", 100 * safe(F.col("close") - F.col("open"), F.col("open")))
     all_of = Window.partitionBy("symbol")
