@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -63,13 +64,17 @@ def flow_bars(trades: DataFrame, timeframe: str) -> DataFrame:
 def tick_features(trades: DataFrame, timeframe: str, tie: str = "id") -> DataFrame:
     """Micro-structure of each bar: volume, VWAPs, taker ratio, imbalance and the largest tick return within it.
 
-    The previous tick is looked for within the bar, so that a bar is the largest group of any sort.
+    The previous tick is looked for within the bar, so that a bar is the largest group of any sort. A step from or to
+    a price of 0 is infinite, one between two such prices or across 0 NaN, as floating point has it.
     """
     from pyspark.sql.window import Window
 
+    price, inf = F.col("price"), float("inf")
     binned = trades.withColumn("bin", bin_start(timeframe))
     within = Window.partitionBy("symbol", "bin").orderBy("ts", tie)
-    step = F.abs(F.log(F.col("price") / F.lag("price").over(within)))
+    last = F.lag("price").over(within)
+    ratio = F.when(last != 0, price / last).when(last == 0, F.when(price > 0, price * inf).otherwise(price * math.nan))
+    step = F.when(ratio > 0, F.abs(F.log(ratio))).when(ratio == 0, inf).when(ratio < 0, math.nan)
     taker = F.when(~F.col("is_buyer_maker"), F.col("qty")).otherwise(0.0)
     out = binned.withColumns({"step": step, "taker": taker}).groupBy("symbol", "bin").agg(
         F.count("*").alias("trades"), F.sum("qty").alias("volume"), F.sum(F.col("price") * F.col("qty")).alias("amount"),
