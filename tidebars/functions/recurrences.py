@@ -284,11 +284,11 @@ def ema_crosses(b):
     }
 
 
-def conditional(column: str = "close", threshold: float = 0.0, n: int = 14):
-    """A step for by_symbol: the exponential mean of the close, taken over only where column exceeds threshold; the first bar always counts."""
+def conditional(column: str = "close", threshold: float | str = 0.0, n: int = 14):
+    """A step for by_symbol: the exponential mean of the close, taken over only where column exceeds threshold (a number or a column); the first bar always counts."""
 
     def step(b):
-        mean, on = ema(b["close"], n), (b[column] > threshold).to_numpy()
+        mean, on = ema(b["close"], n), (b[column] > (b[threshold] if isinstance(threshold, str) else threshold)).to_numpy()
         on[:1] = True
         return {"conditional_ema": mean.where(on).ffill()}
 
@@ -297,7 +297,8 @@ def conditional(column: str = "close", threshold: float = 0.0, n: int = 14):
 
 @fold("conditional_ema")
 def conditional_ema(b):
-    return conditional()(b)
+    """Taken over only where the bar rises."""
+    return conditional("close", "open")(b)
 
 
 @fold("wolfpack", "tdfi", "range_size", "ehma", memory=1024)
