@@ -1,7 +1,9 @@
-"""Statistics of tables and of labelled bars: counts, shares, spreads and scores, as one or two aggregations each."""
+"""Statistics of tables and of labelled bars: counts, shares, spreads and scores, as a few aggregations each."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,14 +46,55 @@ def metric_trends(metrics: DataFrame, order: str, names: list[str]) -> DataFrame
     return out.withColumn("stability", 1 / (1 + F.coalesce(safe(F.col("std"), F.abs(F.col("mean"))), F.lit(0.0))))
 
 
+#: Approximate quantiles that lead to exact ones err by at most a row in so many.
+NEAR = 1000
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with the columns of right, which is broadcast; null keys are equal."""
+    named = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    return left.join(F.broadcast(named), same, how).drop(*[f"__of_{k}" for k in keys])
+
+
+def quantiles(table: DataFrame, by: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """A row for each group with exact quantiles of x (name: share), interpolated as percentile does it.
+
+    Approximate quantiles around each share cut a group into buckets. Their counts tell which of them hold the wanted ranks, and
+    only the values of those are counted one by one and put in order, so that no task holds more than a small part of a group. Where
+    the cuts lie decides the work, never the result. A group's cuts and counts are broadcast.
+    """
+    near = sorted({min(1.0, max(0.0, q + d)) for q in shares.values() for d in (-2 / NEAR, 2 / NEAR)})
+    values = table.select(*by, F.col(x).cast("double").alias("__x"))
+    cuts = values.groupBy(*by).agg(F.percentile_approx(F.when(~F.isnan("__x"), F.col("__x")), F.array(*[F.lit(q) for q in near]), F.lit(NEAR)).alias("__cuts"))
+    over = [F.coalesce((F.col("__x") > F.col("__cuts")[k]).cast("int"), F.lit(0)) for k in range(len(near))]
+    placed = _beside(values.where("__x is not null"), cuts, by).select(*by, "__x", sum(over[1:], over[0]).alias("__bucket"))
+    group = Window.partitionBy(*by)
+    sizes = placed.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumns({"__all": F.sum("__n").over(group), "__start": F.sum("__n").over(group.orderBy("__bucket")) - F.col("__n")})
+    at = {name: F.lit(q) * (F.col("__all") - 1) for name, q in shares.items()}
+    ranks = [edge(p) for p in at.values() for edge in (F.floor, F.ceil)]
+    held = [(r >= F.col("__start")) & (r < F.col("__start") + F.col("__n")) for r in ranks]
+    chosen = sizes.where(reduce(Column.__or__, held)).drop("__n")
+    each = _beside(placed, chosen, [*by, "__bucket"]).groupBy(*by, "__bucket", "__all", "__start", "__x").agg(F.count("*").alias("__n"))
+    each = each.withColumn("__end", F.col("__start") + F.sum("__n").over(Window.partitionBy(*by, "__bucket").orderBy("__x")))
+    low, high = ({n: F.min(F.when(F.col("__end") > edge(p), F.col("__x"))).alias(f"__{side}_{n}") for n, p in at.items()} for side, edge in (("low", F.floor), ("high", F.ceil)))
+    found = each.groupBy(*by, "__all").agg(*low.values(), *high.values())
+
+    def between(name: str) -> Column:
+        a, b, p = F.col(f"__low_{name}"), F.col(f"__high_{name}"), at[name]
+        return F.when(a == b, a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
+
+    return _beside(cuts.select(*by), found.select(*by, *[between(n).alias(n) for n in shares]), by, "left")
+
+
 def describe(table: DataFrame, *columns: str) -> DataFrame:
-    """A row for each column: count, nulls, mean, std, min, quartiles and max, in one pass over the rows."""
+    """A row for each column: count, nulls, mean, std, min, quartiles and max."""
     long = table.select(*[F.col(c).cast("double") for c in columns]).unpivot([], list(columns), "column", "value")
-    quarter = lambda q: F.percentile("value", F.lit(q))
-    return long.groupBy("column").agg(
-        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        quarter(0.25).alias("p25"), quarter(0.5).alias("p50"), quarter(0.75).alias("p75"), F.max("value").alias("max"),
+    out = long.groupBy("column").agg(
+        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
+    return _beside(out, quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), ["column"]).select("column", "count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def nulls(table: DataFrame, *columns: str) -> DataFrame:
