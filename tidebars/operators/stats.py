@@ -50,7 +50,7 @@ def metric_trends(metrics: DataFrame, order: str, names: list[str]) -> DataFrame
 NEAR = 1000
 
 
-def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left with the columns of right, which is broadcast; null keys are equal."""
     named = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
@@ -68,7 +68,7 @@ def quantiles(table: DataFrame, by: list[str], x: str, shares: dict[str, float])
     values = table.select(*by, F.col(x).cast("double").alias("__x"))
     cuts = values.groupBy(*by).agg(F.percentile_approx(F.when(~F.isnan("__x"), F.col("__x")), F.array(*[F.lit(q) for q in near]), F.lit(NEAR)).alias("__cuts"))
     over = [F.coalesce((F.col("__x") > F.col("__cuts")[k]).cast("int"), F.lit(0)) for k in range(len(near))]
-    placed = _beside(values.where("__x is not null"), cuts, by).select(*by, "__x", sum(over[1:], over[0]).alias("__bucket"))
+    placed = beside(values.where("__x is not null"), cuts, by).select(*by, "__x", sum(over[1:], over[0]).alias("__bucket"))
     group = Window.partitionBy(*by)
     sizes = placed.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
     sizes = sizes.withColumns({"__all": F.sum("__n").over(group), "__start": F.sum("__n").over(group.orderBy("__bucket")) - F.col("__n")})
@@ -76,7 +76,7 @@ def quantiles(table: DataFrame, by: list[str], x: str, shares: dict[str, float])
     ranks = [edge(p) for p in at.values() for edge in (F.floor, F.ceil)]
     held = [(r >= F.col("__start")) & (r < F.col("__start") + F.col("__n")) for r in ranks]
     chosen = sizes.where(reduce(Column.__or__, held)).drop("__n")
-    each = _beside(placed, chosen, [*by, "__bucket"]).groupBy(*by, "__bucket", "__all", "__start", "__x").agg(F.count("*").alias("__n"))
+    each = beside(placed, chosen, [*by, "__bucket"]).groupBy(*by, "__bucket", "__all", "__start", "__x").agg(F.count("*").alias("__n"))
     each = each.withColumn("__end", F.col("__start") + F.sum("__n").over(Window.partitionBy(*by, "__bucket").orderBy("__x")))
     low, high = ({n: F.min(F.when(F.col("__end") > edge(p), F.col("__x"))).alias(f"__{side}_{n}") for n, p in at.items()} for side, edge in (("low", F.floor), ("high", F.ceil)))
     found = each.groupBy(*by, "__all").agg(*low.values(), *high.values())
@@ -85,7 +85,7 @@ def quantiles(table: DataFrame, by: list[str], x: str, shares: dict[str, float])
         a, b, p = F.col(f"__low_{name}"), F.col(f"__high_{name}"), at[name]
         return F.when(a == b, a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
 
-    return _beside(cuts.select(*by), found.select(*by, *[between(n).alias(n) for n in shares]), by, "left")
+    return beside(cuts.select(*by), found.select(*by, *[between(n).alias(n) for n in shares]), by, "left")
 
 
 def describe(table: DataFrame, *columns: str) -> DataFrame:
@@ -94,7 +94,7 @@ def describe(table: DataFrame, *columns: str) -> DataFrame:
     out = long.groupBy("column").agg(
         F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return _beside(out, quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), ["column"]).select("column", "count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return beside(out, quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), ["column"]).select("column", "count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def nulls(table: DataFrame, *columns: str) -> DataFrame:
@@ -112,7 +112,7 @@ def coverage(bars: DataFrame, x: str, by: str = "symbol") -> DataFrame:
 
 def global_quantiles(bars: DataFrame, x: str, shares: list[float], by: str = "symbol") -> DataFrame:
     """Quantiles of x over each symbol's whole history, as <x>_q<percent>."""
-    return bars.groupBy(by).agg(*[F.percentile(x, F.lit(q)).alias(f"{x}_q{round(100 * q)}") for q in shares])
+    return quantiles(bars, [by], x, {f"{x}_q{round(100 * q)}": q for q in shares})
 
 
 def label_economics(bars: DataFrame, label: str) -> DataFrame:
@@ -153,7 +153,9 @@ def event_study(bars: DataFrame, event: Column, falls: bool, window: int = 10) -
     end = F.last("close").over(rows(1, window))
     df = bars.withColumns({"__event": event, "__growth": F.coalesce(safe(end, F.col("close")) - 1, F.lit(0.0))}).where("__event")
     wrong = F.col("__growth") > 0 if falls else F.col("__growth") < 0
-    return df.agg(F.count("*").alias("events"), F.avg("__growth").alias("mean_growth"), F.percentile("__growth", F.lit(0.5)).alias("median_growth"), safe(F.count_if(wrong), F.count("*")).alias("false_rate"))
+    out = df.agg(F.count("*").alias("events"), F.avg("__growth").alias("mean_growth"), safe(F.count_if(wrong), F.count("*")).alias("false_rate"))
+    median = quantiles(df.withColumn("__whole", F.lit(0)), ["__whole"], "__growth", {"median_growth": 0.5})
+    return out.join(F.broadcast(median), how="left", on=F.lit(True)).select("events", "mean_growth", "median_growth", "false_rate")
 
 
 def capacity(bars: DataFrame, label: str, sizes: list[float], impact: float = 0.001) -> DataFrame:

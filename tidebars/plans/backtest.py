@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.frames import before, blocked, deviation, ordered, rows, safe, so_far
+from tidebars.operators.stats import quantiles
 from tidebars.plans.linear import numbered
 
 
@@ -173,7 +174,7 @@ def trade_measures(found: DataFrame, bars: DataFrame, capital: float = 10_000.0,
     after = numbered(shown).join(ends, "symbol")
     later = after.select("symbol", (F.col("row") - 1).alias("row"), F.col("volume").alias("__next"))
     after = after.join(later, ["symbol", "row"], "left")
-    high = shown.groupBy("symbol").agg(F.percentile("x_sd", F.lit(0.7)).alias("__high"))
+    high = quantiles(shown, ["symbol"], "x_sd", {"__high": 0.7})
     entry = after.join(high, "symbol").select(
         "symbol", F.col("ts").alias("entry_ts"), F.coalesce(F.abs("x_r") > 1.5 * F.col("x_sd"), F.lit(False)).alias("__trend"), F.coalesce(F.col("x_r") * F.col("x_was") < 0, F.lit(False)).alias("__turn"),
         F.coalesce(F.col("x_sd") > F.col("__high"), F.lit(False)).alias("__wild"), F.when((F.col("row") >= 3) & (F.col("row") < F.col("__all") - 2), F.col("volume") > (F.col("x_before") + F.col("__next")) / 5).alias("__full"),

@@ -10,6 +10,7 @@ from tidebars.functions import indicators as ind
 from tidebars.functions import recurrences
 from tidebars.functions.frames import before, blocked, deviation, highest, lowest, mean, ordered, quantile, returns, rows, safe, stacked
 from tidebars.operators.runs import with_runs
+from tidebars.operators.stats import beside, quantiles
 
 
 # Weights of trend, momentum and price action by activity.
@@ -133,8 +134,10 @@ def segment_matrix(bars: DataFrame, lone_slope: float | None = None) -> DataFram
 def fingerprints(bars: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """For each label and indicator: min, max, median, mean, deviation, quartiles and count."""
     long = bars.select(label, *columns).unpivot([label], columns, "indicator", "value").where("value is not null")
-    stats = {"min": F.min("value"), "max": F.max("value"), "median": F.percentile("value", F.lit(0.5)), "mean": F.avg("value"), "std": F.stddev_samp("value"), "p25": F.percentile("value", F.lit(0.25)), "p75": F.percentile("value", F.lit(0.75)), "count": F.count("value")}
-    return long.groupBy(label, "indicator").agg(*[e.alias(n) for n, e in stats.items()])
+    keys = [label, "indicator"]
+    plain = {"min": F.min("value"), "max": F.max("value"), "mean": F.avg("value"), "std": F.stddev_samp("value"), "count": F.count("value")}
+    out = beside(long.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()]), quantiles(long, keys, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}), keys)
+    return out.select(*keys, "min", "max", "median", "mean", "std", "p25", "p75", "count")
 
 
 def match_fingerprints(bars: DataFrame, prints: DataFrame, label: str, columns: list[str]) -> DataFrame:
