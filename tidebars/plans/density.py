@@ -17,6 +17,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebars.operators.stats import quantiles
 from tidebars.plans.graph import components, settle
 
 #: Points of one cell that meet others in one task.
@@ -167,4 +168,5 @@ def suggested(table: DataFrame, key: str, columns: list[str]) -> tuple[float, in
     """eps and min_samples from the data: the 75th percentile of the distances to the k-th nearest point, where k is 20 or a tenth of the rows; one row in a hundred, 5 at least."""
     n = _points(table, key, columns).count()
     found = neighbour_distances(table, key, columns, max(1, min(20, n // 10)))
-    return float(found.agg(F.percentile("distance", 0.75)).first()[0] or 0.0), max(5, n // 100)
+    eps = quantiles(found.withColumn("__whole", F.lit(0)), ["__whole"], "distance", {"eps": 0.75}).first()
+    return float(eps and eps["eps"] or 0.0), max(5, n // 100)
